@@ -13,8 +13,8 @@ from pagetrail.llm.components import EDGE, components
 
 SEED = 42
 TILE = 2048
-TILES = 128
-TILE_MOST = 1 << 20
+TILES = 24
+TILE_MOST = 1 << 21
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +22,19 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     sc._pagetrail_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='pagetrail-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, so that what several queries read is computed once and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -256,8 +256,15 @@ def c10_d1_subject_terms(spark, sf_dir):
     return extract.term_matches(texts, terms).select("source_id", "value")
 
 
+_SCANS: dict[tuple, Scan] = {}
+
+
 def _scan(spark, sf_dir) -> Scan:
-    return scan(crawl(spark, sf_dir), enrolled(spark, sf_dir))
+    """The scan of a folder's tables; its own tables are in the shared folder, so an application makes it once for all readers."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCANS:
+        _SCANS[key] = scan(crawl(spark, sf_dir), enrolled(spark, sf_dir))
+    return _SCANS[key]
 
 
 def scan_findings(spark, sf_dir):
@@ -437,7 +444,7 @@ def k3_case_stream(spark, sf_dir):
 def k4_first_sights_stream(spark, sf_dir):
     schema = read(spark, sf_dir, "pages").schema
     src = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parquet*")
-    rows = src.select(F.lit("s1").alias("scan_id"), "url", F.timestamp_seconds(F.col("page_id")).alias("at"))
+    rows = src.select(F.lit("s1").alias("scan_id"), "url", F.timestamp_seconds(F.col("page_id") + 86400).alias("at"))
     return _drain(spark, jobs.first_sights(rows, "30 days"), "append").select("canonical_url")
 
 

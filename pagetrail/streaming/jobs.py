@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -67,6 +69,7 @@ class CaseMachine(StatefulProcessor):
 
 def case_states(stream: DataFrame, start: str = "ACTION_SELECTED") -> DataFrame:
     """stream(case_id, at, event_id, target_state) to each event with the case's state after it (CASE_STATE). Needs the RocksDB state store."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the state worker starts before shipped files are on its path
     return stream.groupBy("case_id").transformWithStateInPandas(statefulProcessor=CaseMachine(start), outputStructType=CASE_STATE, outputMode="Update", timeMode="None")
 
 

@@ -108,7 +108,7 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
         upto = np.searchsorted(sizes, room, side="right")
         if upto:
             total = worth[:upto] + best[room - sizes[:upto]]
-            k = int(total.argmax())
+            k = upto - 1 - int(total[::-1].argmax())  # of equal values the largest size: small pieces are the easier to place later
             if total[k] > best[room - 1]:
                 best[room], took[room] = total[k], sizes[k]
                 continue
@@ -156,32 +156,11 @@ def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, r
     return [(c, t / scale) for c, t in seen.values()]
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Whole-number patterns (counts per size, times) that hold exactly the histogram.
-
-    The fractional times are rounded down; what they leave over is placed by best fit, largest first, on the histogram
-    itself: many equal bins at a time, so the work is bounded by the number of sizes and patterns, not of pieces.
-    """
-    left = histogram.copy()
-    out: dict[bytes, list] = {}
-
-    def use(counts, times):
-        out.setdefault(counts.tobytes(), [counts, 0])[1] += times
-
-    full = int(left[capacity - 1]) if len(left) >= capacity else 0
-    if full:
-        one = np.zeros(len(left), np.int64)
-        one[capacity - 1] = 1
-        use(one, full)
-        left[capacity - 1] = 0
-    for counts, times in sorted(configurations(left, capacity, rounds), key=lambda x: -x[1]):
-        held = counts > 0
-        whole = min(int(times), int((left[held] // counts[held]).min()))
-        if whole > 0 and (counts * np.arange(1, len(left) + 1)).sum() >= capacity * 0.999:
-            use(counts, whole)
-            left -= counts * whole
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns (counts per size, times) by best fit, largest first, on the histogram itself: many equal bins at a time, so the work is bounded by the number of sizes, not of pieces."""
+    left, out = left.copy(), []
     while left.any():
-        # one bin by best fit: the largest piece, then always the largest that fits; repeated as often as pieces allow
+        # one bin: the largest piece, then always the largest that fits; repeated as often as pieces allow
         counts, room = np.zeros(len(left), np.int64), capacity
         while room > 0:
             fits = np.flatnonzero(left[:room] > counts[:room])
@@ -193,9 +172,33 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tup
             room -= n * (k + 1)
         held = counts > 0
         times = int((left[held] // counts[held]).min())
-        use(counts, times)
+        out.append((counts, times))
         left -= counts * times
-    return [(c, t) for c, t in out.values()]
+    return out
+
+
+def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """Whole-number patterns (counts per size, times) that hold exactly the histogram.
+
+    The program's times are rounded down, full patterns only, and what they leave over goes by best fit; if best fit
+    alone needs fewer bins (rounding costs most where pieces are few), it stands instead.
+    """
+    left, out = histogram.copy(), []
+    if len(left) >= capacity and left[capacity - 1]:
+        one = np.zeros(len(left), np.int64)
+        one[capacity - 1] = 1
+        out.append((one, int(left[capacity - 1])))
+        left[capacity - 1] = 0
+    simple, rounded = best_fit(left, capacity), []
+    for counts, times in sorted(configurations(left, capacity, rounds), key=lambda x: -x[1]):
+        held = counts > 0
+        whole = min(int(times), int((left[held] // counts[held]).min()))
+        if whole > 0 and (counts * np.arange(1, len(left) + 1)).sum() == capacity:
+            rounded.append((counts, whole))
+            left -= counts * whole
+    rounded += best_fit(left, capacity)
+    bins = lambda patterns: sum(t for _, t in patterns)
+    return out + (rounded if bins(rounded) <= bins(simple) else simple)
 
 
 def _slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:

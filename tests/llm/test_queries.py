@@ -1,0 +1,41 @@
+"""The operators' queries against their DuckDB oracles, and the pipeline's stages, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from pagetrail.llm.queries import ORACLES, QUERIES
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+here = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+@here
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).fetchdf()
+    key = got.columns[0]
+    import pandas as pd
+
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True)[sorted(got)], want.sort_values(key).reset_index(drop=True)[sorted(want)], check_dtype=False)
+
+
+@here
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == names
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}"
+        after.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert 0 < docs.count() <= 200
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()

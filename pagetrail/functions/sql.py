@@ -11,7 +11,7 @@ DEFINITIONS = {
     "name_tokens(v STRING)": r"filter(split(regexp_replace(lower(coalesce(v, '')), r'(?U)[^\w]+', ' '), ' '), t -> t <> '')",
     "name_match(candidate STRING, names ARRAY<STRING>)": r"size(name_tokens(candidate)) >= 2 AND exists(names, n -> size(filter(split(regexp_replace(lower(n), r'(?U)[^\w]+', ' '), ' '), t -> t <> '')) >= 2 AND array_contains(name_tokens(candidate), filter(split(regexp_replace(lower(n), r'(?U)[^\w]+', ' '), ' '), t -> t <> '')[0]) AND array_contains(name_tokens(candidate), element_at(filter(split(regexp_replace(lower(n), r'(?U)[^\w]+', ' '), ' '), t -> t <> ''), -1)))",
     "severity_rank(s STRING)": "nullif(array_position(array('NONE', 'LOW', 'MODERATE', 'HIGH', 'CRITICAL'), s), 0) - 1",
-    "severity_bump(s STRING, steps INT)": "array('NONE', 'LOW', 'MODERATE', 'HIGH', 'CRITICAL')[CAST(greatest(least(severity_rank(s) + steps, 4), 0) AS INT)]",
+    "severity_bump(s STRING, steps INT)": "CASE WHEN severity_rank(s) IS NOT NULL THEN array('NONE', 'LOW', 'MODERATE', 'HIGH', 'CRITICAL')[CAST(greatest(least(severity_rank(s) + steps, 4), 0) AS INT)] END",
     "is_actionable(state STRING)": "state IN ('CONFIRMED', 'HIGH_CONFIDENCE')",
 }
 

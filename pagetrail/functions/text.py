@@ -161,7 +161,8 @@ def severity_of(rank: Column) -> Column:
 
 
 def severity_bump(s: Column, steps: int) -> Column:
-    return severity_of(F.greatest(F.least(severity_rank(s) + steps, F.lit(4)), F.lit(0)))
+    rank = severity_rank(s)
+    return F.when(rank.isNotNull(), severity_of(F.greatest(F.least(rank + steps, F.lit(4)), F.lit(0))))
 
 
 def severity_max(a: Column, b: Column) -> Column:

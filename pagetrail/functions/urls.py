@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from pagetrail.functions.text import py_strip
 from pagetrail.schema import GENERIC_ROUTING, GOV_SUFFIXES, PLATFORMS, ROUTING, USER_CONTROLLED, literal_map, literals, one_of
@@ -128,7 +129,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, F.aggregate(quad, F.lit(0).cast("long"), lambda n, x: n * 256 + x))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _blocked_v6(ip: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -177,7 +178,7 @@ def url_policy(url: Column, ipv6: bool = False) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 

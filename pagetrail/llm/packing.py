@@ -16,7 +16,7 @@ from pagetrail.llm.common import durable
 CAPACITY = 1024
 END = 2
 ROUNDS = 400
-SALTS = 64
+SALTS = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -219,18 +219,19 @@ def _slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int,
 def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
     """Adds sequence_id and offset to pieces (a table with doc_id, piece, start, length; lengths 1 to capacity).
 
-    Pieces are read twice: once for their histogram (at most capacity numbers), once to be numbered within (length,
+    Full pieces need no place. The others are read twice: once for their histogram (at most capacity numbers), once to be numbered within (length,
     salt), so that pieces of one frequent length meet in no single task. The slots (a row for each size of a pattern,
     of which there are at most as many as rounds plus what rounding leaves) go to each task with its code.
     Equal pieces are interchangeable; ties fall by doc_id and piece. No pieces give no rows.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
-    found = found.withColumn("salt", salt)
-    counts = found.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = counts.collect()  # at most capacity * salts numbers, whatever the input
+    keep = found.columns
+    schema = found.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    # a full piece is a sequence of its own, with a negative number
+    full = found.where(F.col("length") == capacity).select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    found = found.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
+    counts = found.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity * salts numbers, whatever the input
     n = np.zeros((capacity, salts), np.int64)
-    for r in counts:
-        n[r["length"] - 1, r["salt"]] = r["n"]
+    n[counts["length"].to_numpy(np.int64) - 1, counts["salt"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     before = np.cumsum(n, axis=1) - n
     rows = _slots(plan(n.sum(axis=1), capacity, rounds))
     by_length: dict[int, list] = {}
@@ -255,9 +256,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, salts
                 offset[rows] = slot[:, 4] + inner % slot[:, 3] * length[rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
-    keep = [c for c in found.columns if c != "salt"]
-    schema = found.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int | None = END, rounds: int = ROUNDS, with_ids: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import ALNUM, texts_of
+from pagetrail.llm.common import ALNUM, durable, texts_of
 
 BITS = 18
 #: The model is fitted on at most so many rated texts per grade, those of the smallest hash.
@@ -90,14 +90,20 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], grades: int, epochs: int = 8, a
     return Model(w, cuts())
 
 
-def fit(rated: DataFrame, grades: int, sample: int = SAMPLE) -> Model | None:
-    """The model from rated(text, grade 0..grades-1), on at most `sample` rows a grade (SAMPLE, those of the smallest text hash); rows with nulls are left out. None if there are none."""
-    keyed = rated.where("text IS NOT NULL AND grade IS NOT NULL").select("text", "grade", F.xxhash64("text").alias("h"))
-    n = {r["grade"]: r["n"] for r in keyed.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE) -> Model | None:
+    """The model from docs(doc_id, text) and rated(doc_id, grade 0..grades-1; an id once), on at most `sample` texts a grade (SAMPLE, those of the smallest text hash); rows with nulls are left out. None if there are none.
+
+    Ratings meet ids and hashes first; texts are read for the chosen ones alone.
+    """
+    keyed = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    narrow = durable(keyed.select("doc_id", "h").join(rated.where("grade IS NOT NULL"), "doc_id"))
+    n = {r["grade"]: r["n"] for r in narrow.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not n:
         return None
     share = F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(float(min(1.0, 1.2 * sample / c + 50 / c))))])
-    some = keyed.where(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < share[F.col("grade")])
+    # about 1.2 * sample + 50 rows a grade (more only where so many texts are equal)
+    chosen = durable(narrow.where(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < share[F.col("grade")]).groupBy("h").agg(F.min("grade").alias("grade")))
+    some = keyed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -141,7 +147,6 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: floa
 
     keep is false for texts that the model takes for toxic (P(grade >= 1) < keep). Repeated rows each stay.
     """
-    rated = docs.select("doc_id", "text").join(graded(labels), "doc_id")
-    model = fit(rated, 3, sample)
+    model = fit(docs.select("doc_id", "text"), graded(labels), 3, sample)
     out = score(docs.select("doc_id", "text"), model, 3, keep)
     return out.select("doc_id", "expected_grade", F.try_element_at("tails", F.lit(1)).alias("p_acceptable"), F.try_element_at("tails", F.lit(2)).alias("p_good"), "keep")

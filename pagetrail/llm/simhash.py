@@ -209,26 +209,26 @@ def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFra
     skipped; every candidate group is then verified on whole sets. Texts with equal fingerprints link. Texts without
     words (null, blank) are all kept; of rows with the same id and text one stays; a null doc_id comes after any id.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    prints = durable(_prints(keyed.select(F.col("_key").alias("key"), "text"), words))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    prints = durable(_prints(keyed.select(F.col("__key").alias("key"), "text"), words))
     classes = durable(prints.groupBy("fp").agg(F.min("key").alias("id"), F.min("w").alias("w")))
     reach = int(np.ceil(1000 * np.log(1 / jaccard))) + 1
     candidates = components(near_links(classes, RADIUS, reach, LANES))
     candidates = durable(candidates.select("id", F.col("component_id").alias("c")))
-    texts = keyed.select(F.col("_key").alias("id"), "text").join(candidates, "id").dropDuplicates(["id"])
+    texts = keyed.select(F.col("__key").alias("id"), "text").join(candidates, "id").dropDuplicates(["id"])
     linked = components(verified_links(durable(_sets(texts, words)), jaccard))
     whole = durable(classes.join(linked, "id", "left").select("fp", F.coalesce("component_id", "id").alias("c")))
-    of = prints.select("key", "fp").distinct().join(whole, "fp").select(F.col("key").alias("_key"), "c")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("_key"))
-    member = durable(keyed.select("doc_id", "_key").distinct().join(of, "_key").select("_key", "c", order.alias("o")))
-    first = durable(member.groupBy("c").agg(F.min("o").alias("o")).select(F.col("o._key").alias("_key")))
-    later = durable(member.select("_key").join(first, "_key", "left_anti"))
-    kept = keyed.join(later, "_key", "left_anti")
+    of = prints.select("key", "fp").distinct().join(whole, "fp").select(F.col("key").alias("__key"), "c")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("__key"))
+    member = durable(keyed.select("doc_id", "__key").distinct().join(of, "__key").select("__key", "c", order.alias("o")))
+    first = durable(member.groupBy("c").agg(F.min("o").alias("o")).select(F.col("o.__key").alias("__key")))
+    later = durable(member.select("__key").join(first, "__key", "left_anti"))
+    kept = keyed.join(later, "__key", "left_anti")
     return one_of_each(kept).select(*docs.columns)
 
 
 def one_of_each(keyed: DataFrame) -> DataFrame:
-    """Of rows that share a _key (the same id and text) only one; rows whose _key is unique aren't shuffled with their text."""
-    twice = durable(keyed.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
-    single = keyed.join(twice, "_key", "left_anti")
-    return single.unionByName(keyed.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    """Of rows that share a __key (the same id and text) only one; rows whose __key is unique aren't shuffled with their text."""
+    twice = durable(keyed.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
+    single = keyed.join(twice, "__key", "left_anti")
+    return single.unionByName(keyed.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))

@@ -103,14 +103,14 @@ def substring_dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
     docs = docs.drop("n_removed", "removed_words")
     hits = durable(covered(repeated_spans(docs, least, words)))
     schema, names = docs.select("*", F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("removed_words")).schema, docs.columns
-    joined = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(hits.select(F.col("rid").alias("_rid"), "parts"), "_rid", "left").drop("_rid")
+    joined = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(hits.select(F.col("rid").alias("__rid"), F.col("parts").alias("__parts")), "__rid", "left").drop("__rid")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts, removed, lost = [], [], []
-                for text, parts in zip(texts_of(batch), batch.column("parts").to_pylist()):
+                for text, parts in zip(texts_of(batch), batch.column("__parts").to_pylist()):
                     out = text if text is None or not parts else cut(text, parts)
                     texts.append(out)
                     removed.append(len(parts or ()))

@@ -37,6 +37,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that a task's Python holds at once; whole texts are some kilobytes, long ones a hundred.
+BATCH = 2000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with at most BATCH rows a batch: sets spark.sql.execution.arrow.maxRecordsPerBatch, which counts when the plan runs, in df's session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def row_ids():
     """Numbers that are unique over all tasks of a stage; stable once written."""
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36

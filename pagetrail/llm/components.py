@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import Forest, durable
+from pagetrail.llm.common import Forest, durable, in_batches
 
 EDGE = "a long, b long"
 
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     two sums that tell whether a round changed the links. Links first shrink to a forest within each Arrow batch.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = durable(edges.mapInArrow(_contract, EDGE).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = durable(in_batches(edges, _contract, EDGE).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = mark(now)
     while before[0]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import ALNUM, durable, row_ids, texts_of
+from pagetrail.llm.common import ALNUM, durable, in_batches, row_ids, texts_of
 
 WINDOW = 13
 #: Item words in one broadcast set; more items are scanned in further blocks.
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     rows.append({"rid": next(ids), "doc_id": doc, "n_words": len(words), "spans": [{"s": s, "e": e} for s, e in _runs(hit)], "items": sorted(items)})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))]))
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        parts.append(in_batches(docs.select("doc_id", "text"), run, schema))
     if len(parts) == 1:
         return parts[0]
     # every block read the same rows; a row is known by its place in the scan, so blocks join on a written copy of it
@@ -143,7 +143,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
                 out = [None if t is None else blank(t, shared.value) for t in texts_of(batch)]
                 yield batch.set_column(at, "text", pa.array(out, pa.string()))
 
-        kept = kept.mapInArrow(cut, schema)
+        kept = in_batches(kept, cut, schema)
     if not whole:
         return kept
     blocks = [sc.broadcast(Windows(b, window)) for b in blocks_of(benchmark, block_words)]
@@ -160,7 +160,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
                 keep.append(not (n and per_words * n >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(drop, schema)
+    return in_batches(docs, drop, schema)
 
 
 def blank(text: bytes, windows: Windows) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import Forest, durable
+from pagetrail.llm.common import Forest, durable, in_batches
 from pagetrail.llm.components import EDGE, components
 
 #: A direction joins one codeword of each block; CODEWORDS ** BLOCKS directions in all.
@@ -93,7 +93,7 @@ def near_vectors(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
                     filters.append(code.decode(code.partial((x / np.linalg.norm(x))[None, :])[0]).tolist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters, pa.list_(pa.int32()))], names=[*batch.schema.names, "filters"])
 
-    found = durable(rows.mapInArrow(decode, rows.select("*", F.array(F.lit(0)).alias("filters")).schema))
+    found = durable(in_batches(rows, decode, rows.select("*", F.array(F.lit(0)).alias("filters")).schema))
     narrow = found.select("grp", F.explode("filters").alias("f"))
     large = durable(narrow.groupBy("grp", "f").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k")).where("k > 1"))
     dealt = found.select("id", "grp", "v", "times", "filters", F.explode("filters").alias("f"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import mod_crc32
+from pagetrail.llm.common import in_batches, mod_crc32
 
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -89,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select("text").where("text IS NOT NULL").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1 rows
+    rows = in_batches(docs.select("text").where("text IS NOT NULL"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most DIMS + 1 rows
     out, total = np.zeros(DIMS, np.int64), 0
     for r in rows:
         if r["bucket"] < 0:
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [m.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def held_out_language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

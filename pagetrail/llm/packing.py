@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import durable
+from pagetrail.llm.common import durable, in_batches
 
 CAPACITY = 1024
 END = 2
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int |
                 columns = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{PIECE}, ids binary")
+    return in_batches(docs.select("doc_id", "text"), run, f"{PIECE}, ids binary")
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -256,7 +256,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, salts
                 offset[rows] = slot[:, 4] + inner % slot[:, 3] * length[rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema).unionByName(full)
+    return in_batches(ranked, place, schema).unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int | None = END, rounds: int = ROUNDS, with_ids: bool = False) -> DataFrame:

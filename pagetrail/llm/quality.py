@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import ALNUM, durable, texts_of
+from pagetrail.llm.common import ALNUM, durable, in_batches, texts_of
 
 BITS = 18
 #: The model is fitted on at most so many rated texts per grade, those of the smallest hash.
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE) ->
             yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), batch.column("h"), pa.array([hashed(t).tolist() for t in texts_of(batch)], pa.list_(pa.int32()))], names=["grade", "h", "at"])
 
     left, rows = dict.fromkeys(n, sample), []
-    for r in sorted(some.mapInArrow(run, "grade int, h long, at array<int>").toPandas().itertuples(), key=lambda r: (r.h, r.grade)):
+    for r in sorted(in_batches(some, run, "grade int, h long, at array<int>").toPandas().itertuples(), key=lambda r: (r.h, r.grade)):
         if left[r.grade] > 0:
             left[r.grade] -= 1
             rows.append((np.asarray(r.at, np.int64), int(r.grade)))
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model | None, grades: int, keep: float = KEEP)
             tails = [shared.value.tails(hashed(t or b"")) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([t.tolist() for t in tails], pa.list_(pa.float64())), pa.array([bool(t[0] >= keep) for t in tails], pa.bool_())], names=[*batch.schema.names, "expected_grade", "tails", "keep"])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import LOWER, Forest, durable, row_ids, texts_of
+from pagetrail.llm.common import LOWER, Forest, durable, in_batches, row_ids, texts_of
 from pagetrail.llm.components import EDGE, components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
             fps = [fingerprint(t or b"", words, lanes).view(np.int64).tolist() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([next(ids) for _ in fps], pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["rid", "doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rid long, doc_id long, fp array<long>")
+    return in_batches(docs.select("doc_id", "text"), run, "rid long, doc_id long, fp array<long>")
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
             key, fp, w = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp, pa.list_(pa.int64())), pa.array(w, pa.int32())], names=["key", "fp", "w"])
 
-    return docs.mapInArrow(run, "key long, fp array<long>, w int")
+    return in_batches(docs, run, "key long, fp array<long>, w int")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             hashes = [np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in set(shingles(t, words))], np.uint64)).view(np.int64) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "c", "shingles"])
 
-    return docs.mapInArrow(run, "id long, c long, shingles array<long>")
+    return in_batches(docs, run, "id long, c long, shingles array<long>")
 
 
 def similar(flat: np.ndarray, sizes: np.ndarray, jaccard: float, left: np.ndarray, forest: Forest) -> None:

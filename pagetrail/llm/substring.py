@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import durable, texts_of
+from pagetrail.llm.common import durable, in_batches, texts_of
 
 #: A run has at least so many sentences and so many words; a longer sentence counts as several of at most LONGEST words.
 SENTENCES = 3
@@ -73,7 +73,7 @@ def repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[k]), pa.array(d[k]), pa.array(h), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=["rid", "d", "h", "first", "end"])
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("d"), "text")
-    flat = durable(keyed.mapInArrow(run, "rid long, d long, h long, first int, end int"))
+    flat = durable(in_batches(keyed, run, "rid long, d long, h long, first int, end int"))
     where = F.struct("d", "rid", "first")
     once = durable(flat.groupBy("h").agg(F.min(where).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return flat.join(once, "h").where(where != F.col("original")).select("rid", "first", "end")
@@ -118,4 +118,4 @@ def substring_dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
                 columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32()), pa.array(lost, pa.int64())], names=[*names, "n_removed", "removed_words"])
 
-    return joined.mapInArrow(run, schema)
+    return in_batches(joined, run, schema)

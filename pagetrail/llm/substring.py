@@ -79,10 +79,18 @@ def repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
     return flat.join(once, "h").where(where != F.col("original")).select("rid", "first", "end")
 
 
-def covered(spans: DataFrame) -> DataFrame:
-    """(rid, first, end) to (rid, parts array<int>): the distinct sentences that the runs cover."""
-    each = spans.distinct().select("rid", F.explode(F.sequence("first", F.col("end") - 1)).alias("part")).distinct()
-    return each.groupBy("rid").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+def by_document(spans: DataFrame) -> DataFrame:
+    """(rid, first, end) to (rid, spans array<struct<first, end>>), each span once; a text of n sentences has at most 2n."""
+    return spans.groupBy("rid").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+
+
+def covered(spans: list[dict]) -> list[int]:
+    """The distinct sentences that the spans cover, in order."""
+    out, done = [], 0
+    for first, end in sorted((s["first"], s["end"]) for s in spans):
+        out += range(max(first, done), end)
+        done = max(done, end)
+    return out
 
 
 def cut(text: bytes, parts: list[int]) -> bytes:
@@ -101,19 +109,20 @@ def substring_dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
     Columns called n_removed or removed_words are replaced.
     """
     docs = docs.drop("n_removed", "removed_words")
-    hits = durable(covered(repeated_spans(docs, least, words)))
+    hits = durable(by_document(repeated_spans(docs, least, words)))
     schema, names = docs.select("*", F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("removed_words")).schema, docs.columns
-    joined = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(hits.select(F.col("rid").alias("__rid"), F.col("parts").alias("__parts")), "__rid", "left").drop("__rid")
+    joined = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(hits.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")), "__rid", "left").drop("__rid")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts, removed, lost = [], [], []
-                for text, parts in zip(texts_of(batch), batch.column("__parts").to_pylist()):
+                for text, spans in zip(texts_of(batch), batch.column("__spans").to_pylist()):
+                    parts = covered(spans or [])
                     out = text if text is None or not parts else cut(text, parts)
                     texts.append(out)
-                    removed.append(len(parts or ()))
+                    removed.append(len(parts))
                     lost.append(0 if out is text else len(text.split()) - len(out.split()))
                 columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32()), pa.array(lost, pa.int64())], names=[*names, "n_removed", "removed_words"])

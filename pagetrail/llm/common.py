@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -41,10 +42,41 @@ def durable(df: DataFrame) -> DataFrame:
 BATCH = 2000
 
 
+def release() -> None:
+    """Gives memory that Python and Arrow have freed back to the system: Spark uses a worker again for many tasks, and it would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with at most BATCH rows a batch: sets spark.sql.execution.arrow.maxRecordsPerBatch, which counts when the plan runs, in df's session."""
+    """df.mapInArrow(run, schema) with at most BATCH rows a batch: sets spark.sql.execution.arrow.maxRecordsPerBatch, which counts when the plan runs, in df's session. Workers release memory after each task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
+
+
+#: A group whose table is larger has its worker release memory after it.
+GROUP_BYTES = 1 << 22
+
+
+def in_groups(grouped, compare, schema) -> DataFrame:
+    """grouped.applyInArrow(compare, schema); workers release memory after a large group."""
+
+    def group(table: pa.Table) -> pa.Table:
+        size = table.nbytes
+        out = compare(table)
+        del table
+        if size > GROUP_BYTES:
+            release()
+        return out
+
+    return grouped.applyInArrow(group, schema)
 
 
 def row_ids():

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import Forest, durable, in_batches
+from pagetrail.llm.common import Forest, durable, in_batches, in_groups
 from pagetrail.llm.components import EDGE, components
 
 #: A direction joins one codeword of each block; CODEWORDS ** BLOCKS directions in all.
@@ -132,7 +132,7 @@ def near_vectors(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
         told = np.flatnonzero(n)
         return pa.table({"a": pa.array(np.concatenate([ids[child], ids[told]]), pa.int64()), "b": pa.array(np.concatenate([ids[root], ids[told]]), pa.int64()), "n": pa.array(np.concatenate([np.zeros(len(child), np.int64), n[told]]), pa.int64())})
 
-    out = durable(dealt.groupBy("grp", "f", "i", "j").applyInArrow(compare, f"{EDGE}, n long"))
+    out = durable(in_groups(dealt.groupBy("grp", "f", "i", "j"), compare, f"{EDGE}, n long"))
     return out.where("a <> b").select("a", "b"), out.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
 
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import LOWER, Forest, durable, in_batches, row_ids, texts_of
+from pagetrail.llm.common import LOWER, Forest, durable, in_batches, in_groups, row_ids, texts_of
 from pagetrail.llm.components import EDGE, components
 
 SEED = 42
@@ -114,7 +114,7 @@ def near_links(prints: DataFrame, radius: int, reach: int, lanes: int = 1) -> Da
         child, root = forest.edges()
         return pa.table({"a": pa.array(ids[child], pa.int64()), "b": pa.array(ids[root], pa.int64())})
 
-    return dealt.groupBy("p", "q", "i", "j").applyInArrow(compare, EDGE)
+    return in_groups(dealt.groupBy("p", "q", "i", "j"), compare, EDGE)
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -198,7 +198,7 @@ def verified_links(members: DataFrame, jaccard: float) -> DataFrame:
         child, root = forest.edges()
         return pa.table({"a": pa.array(ids[child], pa.int64()), "b": pa.array(ids[root], pa.int64())})
 
-    return dealt.groupBy("c", "i", "j").applyInArrow(compare, EDGE)
+    return in_groups(dealt.groupBy("c", "i", "j"), compare, EDGE)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFrame:

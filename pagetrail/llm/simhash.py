@@ -77,7 +77,7 @@ def matches(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, radius
 
 
 def near_links(prints: DataFrame, radius: int, reach: int, lanes: int = 1) -> DataFrame:
-    """prints(id long, fp array<long>, w int), ids and fps distinct, to edges (a, b): a forest whose components are those of all pairs at most radius bits apart.
+    """prints(id long, fp array<long>, w int), ids distinct, to edges (a, b): a forest whose components are those of all pairs at most radius bits apart.
 
     w is a weight of which linked rows differ by at most reach (the bit count: by radius). Rows fall into bands of
     weights, reach wide, so only the same and the next band can link; bands are cut into tiles by hash, and each pair
@@ -141,15 +141,24 @@ CHUNK = 512
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """docs(key, text) with words to (key, fp, w): w is 1000 times the logarithm of the number of distinct shingles."""
+    """docs(key, text) with words to (key, same, fp, w): same is a hash of the set of shingles, w 1000 times the logarithm of its size."""
 
     def run(batches):
         for batch in batches:
-            rows = [(k, fingerprint(t, words, LANES).view(np.int64).tolist(), int(1000 * np.log(len(set(shingles(t, words)))))) for k, t in zip(batch.column("key").to_pylist(), texts_of(batch)) if t and t.split()]
-            key, fp, w = zip(*rows) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp, pa.list_(pa.int64())), pa.array(w, pa.int32())], names=["key", "fp", "w"])
+            rows = []
+            for k, t in zip(batch.column("key").to_pylist(), texts_of(batch)):
+                if t and t.split():
+                    own = _set(t, words)
+                    rows.append((k, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), fingerprint(t, words, LANES).view(np.int64).tolist(), int(1000 * np.log(len(own)))))
+            key, same, fp, w = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(same, pa.int64()), pa.array(fp, pa.list_(pa.int64())), pa.array(w, pa.int32())], names=["key", "same", "fp", "w"])
 
-    return in_batches(docs, run, "key long, fp array<long>, w int")
+    return in_batches(docs, run, "key long, same long, fp array<long>, w int")
+
+
+def _set(text: bytes, words: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in set(shingles(text, words))], np.uint64)).view(np.int64)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -157,7 +166,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hashes = [np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in set(shingles(t, words))], np.uint64)).view(np.int64) for t in texts_of(batch)]
+            hashes = [_set(t, words) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "c", "shingles"])
 
     return in_batches(docs, run, "id long, c long, shingles array<long>")
@@ -206,19 +215,20 @@ def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFra
 
     Texts link if their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Candidates are found by
     tiled comparison of 128-bit SimHash fingerprints within RADIUS bits, tiles whose set sizes rule a link out being
-    skipped; every candidate group is then verified on whole sets. Texts with equal fingerprints link. Texts without
+    skipped; every candidate group is then verified on whole sets. Only texts with equal sets collapse to one before
+    that; equal fingerprints are no more than candidates. Texts without
     words (null, blank) are all kept; of rows with the same id and text one stays; a null doc_id comes after any id.
     """
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     prints = durable(_prints(keyed.select(F.col("__key").alias("key"), "text"), words))
-    classes = durable(prints.groupBy("fp").agg(F.min("key").alias("id"), F.min("w").alias("w")))
+    classes = durable(prints.groupBy("same").agg(F.min("key").alias("id"), F.min("fp").alias("fp"), F.min("w").alias("w")))
     reach = int(np.ceil(1000 * np.log(1 / jaccard))) + 1
-    candidates = components(near_links(classes, RADIUS, reach, LANES))
+    candidates = components(near_links(classes.select("id", "fp", "w"), RADIUS, reach, LANES))
     candidates = durable(candidates.select("id", F.col("component_id").alias("c")))
     texts = keyed.select(F.col("__key").alias("id"), "text").join(candidates, "id").dropDuplicates(["id"])
     linked = components(verified_links(durable(_sets(texts, words)), jaccard))
-    whole = durable(classes.join(linked, "id", "left").select("fp", F.coalesce("component_id", "id").alias("c")))
-    of = prints.select("key", "fp").distinct().join(whole, "fp").select(F.col("key").alias("__key"), "c")
+    whole = durable(classes.join(linked, "id", "left").select("same", F.coalesce("component_id", "id").alias("c")))
+    of = prints.select("key", "same").distinct().join(whole, "same").select(F.col("key").alias("__key"), "c")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("__key"))
     member = durable(keyed.select("doc_id", "__key").distinct().join(of, "__key").select("__key", "c", order.alias("o")))
     first = durable(member.groupBy("c").agg(F.min("o").alias("o")).select(F.col("o.__key").alias("__key")))

@@ -96,6 +96,17 @@ def test_near_dedup(spark, texts):
     assert Counter(math.inf if r.doc_id is None else r.doc_id for r in out.collect()) == want
 
 
+def test_near_dedup_equal_fingerprints(spark):
+    """Different texts whose repeated line decides every bit both stay; copies among them still go."""
+    rng = random.Random(11)
+    line = " ".join(f"line{k}" for k in range(7))
+    own = lambda n: " ".join(words(rng, n, 10**9))
+    rows = [(k, " ".join([line] * 100 + [own(60)])) for k in range(4)] + [(10 + k, "again " * 600 + own(200)) for k in range(4)]
+    rows += [(20, rows[1][1]), (21, rows[1][1] + " more")]
+    out = simhash.near_dedup(docs_of(spark, rows))
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 10, 11, 12, 13]
+
+
 def test_substring(spark):
     rng = random.Random(5)
     sentence = lambda: " ".join(words(rng, 9, 5000)).capitalize() + "."

@@ -29,8 +29,13 @@ def shingles(text: bytes, words: int) -> list[bytes]:
 
 
 def fingerprint(text: bytes, words: int, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of the text's shingles, repeats included."""
+    return sketch(shingles(text, words), lanes)
+
+
+def sketch(runs: list[bytes], lanes: int) -> np.ndarray:
     """uint64 per lane; lane k hashes with seed SEED + k. A bit is 1 if set in over half the hashes."""
-    runs, out = shingles(text, words), np.zeros(lanes, np.uint64)
+    out = np.zeros(lanes, np.uint64)
     digest = xxhash.xxh64_intdigest
     for k in range(lanes if runs else 0):
         total = np.zeros(64, np.int64)
@@ -141,24 +146,25 @@ CHUNK = 512
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """docs(key, text) with words to (key, same, fp, w): same is a hash of the set of shingles, w 1000 times the logarithm of its size."""
+    """docs(key, text) with words to (key, same, fp, w): same is a hash of the set of shingles, fp its fingerprint without repeats, w 1000 times the logarithm of its size."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for k, t in zip(batch.column("key").to_pylist(), texts_of(batch)):
                 if t and t.split():
-                    own = _set(t, words)
-                    rows.append((k, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), fingerprint(t, words, LANES).view(np.int64).tolist(), int(1000 * np.log(len(own)))))
+                    runs = list(set(shingles(t, words)))
+                    own = _set(runs)
+                    rows.append((k, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), sketch(runs, LANES).view(np.int64).tolist(), int(1000 * np.log(len(own)))))
             key, same, fp, w = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(same, pa.int64()), pa.array(fp, pa.list_(pa.int64())), pa.array(w, pa.int32())], names=["key", "same", "fp", "w"])
 
     return in_batches(docs, run, "key long, same long, fp array<long>, w int")
 
 
-def _set(text: bytes, words: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in set(shingles(text, words))], np.uint64)).view(np.int64)
+def _set(runs) -> np.ndarray:
+    """The sorted hashes of distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64)).view(np.int64)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -166,7 +172,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hashes = [_set(t, words) for t in texts_of(batch)]
+            hashes = [_set(set(shingles(t, words))) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "c", "shingles"])
 
     return in_batches(docs, run, "id long, c long, shingles array<long>")
@@ -214,7 +220,7 @@ def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFra
     """docs(doc_id, text, ...) without near-duplicates: of each group of texts that links join, the row with the smallest doc_id stays, whole.
 
     Texts link if their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Candidates are found by
-    tiled comparison of 128-bit SimHash fingerprints within RADIUS bits, tiles whose set sizes rule a link out being
+    tiled comparison of 128-bit SimHash fingerprints of those sets within RADIUS bits, tiles whose set sizes rule a link out being
     skipped; every candidate group is then verified on whole sets. Only texts with equal sets collapse to one before
     that; equal fingerprints are no more than candidates. Texts without
     words (null, blank) are all kept; of rows with the same id and text one stays; a null doc_id comes after any id.

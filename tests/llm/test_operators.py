@@ -107,6 +107,16 @@ def test_near_dedup_equal_fingerprints(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 10, 11, 12, 13]
 
 
+def test_near_dedup_other_repeats(spark):
+    """Texts that differ in how often a line repeats are near copies, however often it does."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(6):
+        base, line = " ".join(words(rng, 300, 10**9)), " ".join(words(rng, 8, 10**9))
+        rows += [(10 * k, f"{base} {line}"), (10 * k + 1, base + f" {line}" * 60), (10 * k + 2, base + f" {line}" * 200)]
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, rows)).collect()) == [10 * k for k in range(6)]
+
+
 def test_substring(spark):
     rng = random.Random(5)
     sentence = lambda: " ".join(words(rng, 9, 5000)).capitalize() + "."

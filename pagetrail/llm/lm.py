@@ -1,9 +1,8 @@
-"""Language-model scoring: a weighted backoff automaton of smoothed n-grams, walked once from left to right."""
+"""Language-model scoring: a weighted backoff automaton of all smoothed n-grams, walked once from left to right."""
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import LOWER, durable, in_batches, mod_crc32, row_ids, texts_of
+from pagetrail.llm.common import LOWER, durable, in_batches, in_groups, mod_crc32, texts_of
 
-#: An n-gram is in the automaton if it makes up at least this share of the training tokens; so there are at most 1 / SHARE of each order.
+#: An n-gram is broadcast if it makes up at least this share of the training tokens; so there are at most 1 / SHARE of each order. The others come by a join; scores don't depend on it.
 SHARE = 2.0**-19
 DISCOUNT = 0.75
 ADD = 0.1
@@ -21,6 +20,7 @@ ORDER = 3
 END = b"\n"  # no word holds white space, so neither mark can be a word
 START = b"\t"
 FLUSH = 400_000
+BLOCK = 4_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -32,237 +32,198 @@ def key_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-
-def unigrams(docs: DataFrame) -> DataFrame:
-    """Counts (key, n) of every word and the end mark over all rows of docs(text); tasks send what they have summed."""
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The 64-bit keys of n-grams, from those of their contexts and last words."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Runs:
+    """The n-grams of texts: x, the keys of each text's words between START and END, and the place of each in its text."""
+
+    def __init__(self, texts: list[bytes | None], known: dict[bytes, int]):
+        if len(known) > FLUSH:
+            known.clear()
+        flat, sizes = [], []
+        for text in texts:
+            words = [START, *words_of(text or b""), END]
+            for w in set(words):
+                if w not in known:
+                    known[w] = key_of(w)
+            flat += [known[w] for w in words]
+            sizes.append(len(words))
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        x = np.array(flat, np.int64).view(np.uint64)
+        self.place = np.arange(len(x)) - np.repeat(self.starts, self.sizes)
+        self.keys = [x]  # by order; those of the first places of a text are void
+        for _ in range(1, ORDER):
+            before = np.concatenate([self.keys[-1][:1], self.keys[-1][:-1]])
+            self.keys.append(longer(before, x))
+
+    def rows(self):
+        """Yields (size, keys, contexts, words), signed, of the n-grams of each size; a unigram's context is 0."""
+        x = self.keys[0].view(np.int64)
+        for n, keys in enumerate(self.keys, 1):
+            at = np.flatnonzero(self.place >= n - 1)
+            yield n, keys.view(np.int64)[at], self.keys[n - 2].view(np.int64)[at - 1] if n > 1 else np.zeros(len(at), np.int64), x[at]
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """Counts (size, key, context, word, n) of every n-gram of up to ORDER words over all rows of docs(text); tasks send what they have summed."""
 
     def run(batches):
-        seen: Counter = Counter()
+        known, parts, size = {}, [], 0
 
         def out():
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(list(map(key_of, keys)), pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["key", "n"])
-
-        for batch in batches:
-            for text in texts_of(batch):
-                seen.update(words_of(text or b""))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    return in_batches(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Ids:
-    """Numbers 1.. of the head words (0: another word), by a cache of words over the sorted keys; START is the last number."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.known, self.start = keys, {}, len(keys) + 1
+            for n in range(1, ORDER + 1):
+                keys, contexts, last = (np.concatenate(c) for c in zip(*(p[n - 1][1:] for p in parts)))
+                keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(contexts[at]), pa.array(last[at]), pa.array(counts, pa.int64())], names=["size", "key", "context", "word", "n"])
+            parts.clear()
 
-    def of(self, words: list[bytes]) -> list[int]:
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > FLUSH:
-                known.clear()
-                missing = list(set(words))
-            h = np.array(list(map(key_of, missing)), np.int64)
-            at = np.searchsorted(self.keys, h)
-            ids = np.where((at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == h) if len(self.keys) else np.zeros(len(h), bool), at + 1, 0)
-            known.update(zip(missing, ids.tolist()))
-        return [known[w] for w in words]
-
-
-def higher(docs: DataFrame, shared, order: int) -> DataFrame:
-    """Counts (n, key) of the runs of two to `order` head words over all rows; key packs the words' numbers. Runs start at START and end with END."""
-
-    def run(batches):
-        ids, base = Ids(shared.value), np.int64(len(shared.value) + 2)
-        parts: dict[int, list] = {n: [] for n in range(2, order + 1)}
-        size = 0
-
-        def out():
-            for n, arrays in parts.items():
-                if arrays:
-                    keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-                    arrays.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys), pa.array(counts, pa.int64())], names=["size", "key", "n"])
-
-        for batch in batches:
-            for text in texts_of(batch):
-                x = np.array([ids.start, *ids.of([*words_of(text or b""), END])], np.int64)
-                size += len(x)
-                for n in range(2, order + 1):
-                    m = len(x) - n + 1
-                    if m > 0:
-                        key, all_head = x[:m].copy(), x[:m] > 0
-                        for k in range(1, n):
-                            key = key * base + x[k : m + k]
-                            all_head &= x[k : m + k] > 0
-                        parts[n].append(key[all_head])
-                if size > 10 * FLUSH:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                parts.append(list(Runs(texts_of(whole.slice(at, 256)), known).rows()))
+                size += len(parts[-1][0][1])
+                if size > 3 * FLUSH:
                     yield from out()
                     size = 0
-        yield from out()
+        if parts:
+            yield from out()
 
-    return in_batches(docs.select("text"), run, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
+    first = lambda k: F.first(k).alias(k)
+    return in_batches(docs.select("text"), run, "size int, key long, context long, word long, n long").groupBy("key").agg(first("size"), first("context"), first("word"), F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """keys: sorted keys of the head words; uni: log10 of their unigram probabilities; grams: packed n-grams with their counts, by order."""
+    """keys: sorted keys of the hot words, and their counts; hot: rows (size, key, context, word, n, kinds) of the hot n-grams by key. The table of all n-grams goes with it."""
 
     keys: np.ndarray
     counts: np.ndarray
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    docs: int
+    hot: dict[str, np.ndarray]
     tokens: int
     distinct: int
-    least: int  # the count from which a word is a head word
+    least: int  # the count from which an n-gram is hot
+
+    def uni(self, c):
+        return (c + ADD) / (self.tokens + ADD * (self.distinct + 1))
 
     def log_uni(self, c):
-        return np.log10((c + ADD) / (self.tokens + ADD * (self.distinct + 1)))
+        return np.log10(self.uni(c))
+
+
+def smoothed(c, total, kinds, shorter):
+    """P(w | context) from c(context w), c(context), the number of different words seen after it, and P(w | shorter context)."""
+    seen = np.maximum(total, 1)
+    return np.where(kinds > 0, np.maximum(c - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * shorter, shorter)
 
 
 class Automaton:
-    """States are contexts; an arc of a state and a word holds the smoothed log-probability and the next state; failure arcs lead to the next shorter context and hold its backoff weight.
+    """The hot n-grams as numbered states and arcs.
 
-    P(w | context) = (c(context w) - DISCOUNT) / c(context) + backoff(context) * P(w | shorter context) for the n-grams
-    held, backoff alone for others; backoff is what the held n-grams leave. The unigram is (c + ADD) / (N + ADD * (V + 1)).
-    So each state's probabilities sum to one over the vocabulary and one class of unseen words.
+    States are contexts; an arc of a state and a word holds the smoothed log-probability and the next state; failure
+    arcs lead to the next shorter context and hold its backoff weight. P(w | context) = (c(context w) - DISCOUNT) /
+    c(context) + backoff(context) * P(w | shorter context) for n-grams seen, backoff alone for others; backoff is
+    DISCOUNT * kinds / c(context), what the n-grams seen leave. The unigram is (c + ADD) / (N + ADD * (V + 1)). So each
+    state's probabilities sum to one over the vocabulary and one class of unseen words.
     """
 
     def __init__(self, model: Model):
-        base = len(model.keys) + 2
-        self.start_id = len(model.keys) + 1
-        self.uni = [0.0, *model.log_uni(model.counts).tolist()]  # a word that isn't head adds its unigram elsewhere
-        counts = {(k + 1,): int(c) for k, c in enumerate(model.counts)}
-        counts[(self.start_id,)] = model.docs
-        self.state: dict[tuple, int] = {(): 0}
-        self.fail, self.weight, arcs = [0], [0.0], {}
-        for n in sorted(model.grams):
-            keys, numbers = model.grams[n]
-            digits = []
-            for _ in range(n):
-                keys, d = np.divmod(keys, base)
-                digits.append(d)
-            rows = list(zip(*(d.tolist() for d in reversed(digits))))
-            arcs[n] = dict(zip(rows, numbers.tolist()))
-        held: dict[tuple, float] = {}
-        for n, table in arcs.items():
-            for gram, c in table.items():
-                if gram[:-1] in counts or n == 2 or gram[:-1] in arcs[n - 1]:
-                    held[gram[:-1]] = held.get(gram[:-1], 0.0) + max(c - DISCOUNT, 0)
-        total = lambda g: counts[g] if len(g) == 1 else arcs[len(g)][g]
-        for context in sorted(held, key=len):
-            self.state[context] = len(self.fail)
-            self.fail.append(self.state.get(context[1:], 0))
-            self.weight.append(float(np.log10(max(1 - held[context] / total(context), 1e-12))))
-        self.base = base
-        self.arcs: dict[int, tuple[float, int]] = {}
-        probability: dict[tuple, float] = {}
-        for n in sorted(arcs):
-            for gram, c in arcs[n].items():
-                context = gram[:-1]
-                if context not in self.state:
-                    continue
-                shorter = self._shorter(gram, probability)
-                p = max(c - DISCOUNT, 0) / total(context) + 10 ** (self.weight[self.state[context]]) * shorter
-                probability[gram] = p
-                self.arcs[self.state[context] * base + gram[-1]] = (float(np.log10(p)), self._next(gram))
-
-    def _shorter(self, gram: tuple, probability: dict) -> float:
-        """P(last | context without its first word)."""
-        gram, factor = gram[1:], 1.0
-        while len(gram) > 1:
-            if gram in probability:
-                return factor * probability[gram]
-            if gram[:-1] in self.state:
-                factor *= 10 ** self.weight[self.state[gram[:-1]]]
-            gram = gram[1:]
-        return factor * 10 ** self.uni[gram[0]]
-
-    def _next(self, gram: tuple) -> int:
-        """The longest context state that the walk is in after the n-gram."""
-        gram = gram[-(ORDER - 1) :]
-        while gram not in self.state:
-            gram = gram[1:]
-        return self.state[gram]
-
-    def walk(self, ids: list[int]) -> float:
-        """The log10 probability of a run of word numbers from START; other words (0) add only the backoff weights before them."""
-        arcs, fail, weight, uni, base = self.arcs, self.fail, self.weight, self.uni, self.base
-        singles = self.singles
-        state, total = self.state.get((self.start_id,), 0), 0.0
-        for w in ids:
-            while state:
-                arc = arcs.get(state * base + w) if w else None
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += uni[w]
-                state = singles[w]
-        return total
+        ids = {k: i for i, k in enumerate([*model.keys.tolist(), key_of(START)], 1)}
+        self.base, self.uni = len(ids) + 1, [0.0, *model.log_uni(model.counts).tolist()]
+        rows = sorted(zip(*(model.hot[c].tolist() for c in ("size", "key", "context", "word", "n", "kinds"))))
+        count = {r[1]: (r[4], r[5]) for r in rows}
+        self.state = {k: i for i, k in enumerate((r[1] for r in rows if r[5]), 1)}
+        self.fail, self.weight, self.arcs = [0], [0.0], {}
+        for size, key, _, word, n, kinds in rows:
+            if kinds:
+                self.fail.append(self.state[word] if size > 1 else 0)
+                self.weight.append(float(np.log10(DISCOUNT * kinds / n)))
+        for size, key, context, word, n, _ in rows:
+            if size > 1:
+                s = self.state[context]
+                shorter = self.arcs[self.fail[s] * self.base + ids[word]][0] if size > 2 else self.uni[ids[word]]
+                p = smoothed(n, *count[context], 10**shorter)
+                self.arcs[s * self.base + ids[word]] = (float(np.log10(p)), self.state.get(key, self.state.get(word, 0)))
 
     def prepare(self) -> "Automaton":
-        self.singles = [self.state.get((w,), 0) for w in range(self.base)]
         return self
 
 
-def train(docs: DataFrame, share: float = SHARE, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The model from all rows of docs(text), and the counts (key, n) of all its words, written to the shared folder."""
-    spark = docs.sparkSession
-    counts = durable(unigrams(docs))
-    tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("key") == key_of(END), F.col("n"))), F.lit(0))).first()
+def train(docs: DataFrame, share: float = SHARE) -> tuple[Model, DataFrame]:
+    """The model from all rows of docs(text), and the table (key, n, kinds) of all their n-grams, written to the shared folder; kinds is the number of different words seen after one."""
+    every = durable(grams(docs))
+    words = every.where((F.col("size") == 1) & (F.col("key") != key_of(START)))
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, int(np.ceil(share * tokens)))
-    head = counts.where(F.col("n") >= least).toPandas().sort_values("key")  # at most 1 / share rows
-    keys = head["key"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(keys)
-    order = min(order, int(62 / np.log2(len(keys) + 2)))  # packed keys stay within 62 bits
-    found = higher(docs, shared, order).where(F.col("n") >= least).toPandas() if order > 1 else None  # at most 1 / share rows an order
-    grams = {int(n): (g["key"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for n, g in found.groupby("size")} if found is not None else {}
-    return Model(keys, head["n"].to_numpy(np.int64), grams, ends, tokens, distinct, least), counts
+    kinds = every.where("size > 1").groupBy(F.col("context").alias("key")).agg(F.count("*").alias("kinds"))
+    short = every.where(F.col("size") < ORDER).join(kinds, "key", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
+    table = durable(short.unionByName(every.where(F.col("size") == ORDER).withColumn("kinds", F.lit(0).cast("long"))))
+    found = table.where(F.col("n") >= least).toArrow().sort_by("key")  # at most 1 / share rows an order
+    hot = {c: found.column(c).to_numpy() for c in found.column_names}
+    word = (hot["size"] == 1) & (hot["key"] != key_of(START))
+    return Model(hot["key"][word], hot["n"][word], hot, tokens, distinct, least), table.select("key", "n", "kinds")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """docs(doc_id, held_out, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row.
 
-    Head words are scored in the walk. The others never are n-gram arcs, so they only need their counts: those rows
-    (document, word, times) join the counts by word, and none of these keys is frequent. Null text is empty.
+    Rows fall into blocks of about BLOCK bytes of text. A block has the hot n-grams by broadcast, and asks the table for
+    its others, each once, by a join; then all its places step through their arcs at once: the state before a word is
+    the longest context seen, and a missing arc leads to the shorter one. So a score depends on counts alone, not on
+    which n-grams are hot. Null text is empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, head long, base double, walk double, keys array<long>, times array<int>"
+    spark = docs.sparkSession
+    model_of = spark.sparkContext.broadcast((model.hot["key"], model.hot["n"], model.hot["kinds"]))
+    light = replace(model, hot={})
+    placed = durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"))
+    blocks = -(-(placed.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BLOCK)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+
+    def ask(group: pa.Table) -> pa.Table:
+        runs = Runs(group.column("text").cast(pa.binary()).to_pylist(), {})
+        keys = np.unique(np.concatenate([k for _, k, _, _ in runs.rows()]))
+        keys = keys[~_place(model_of.value[0], keys)[1]]
+        return pa.table({"block": pa.array(np.full(len(keys), group.column("block")[0].as_py(), np.int64)), "key": pa.array(keys)})
+
+    def step(group: pa.Table, found: pa.Table) -> pa.Table:
+        runs = Runs(group.column("text").cast(pa.binary()).to_pylist(), {})
+        own = found.sort_by("key")
+        tables = [model_of.value, tuple(own.column(c).to_numpy() for c in ("key", "n", "kinds"))]
+        p = total = kinds = base = known = None
+        for size, keys in enumerate(runs.keys, 1):
+            n, k = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            for names, counts, after in tables:
+                at, there = _place(names, keys.view(np.int64))
+                n[there], k[there] = counts[at[there]], after[at[there]]
+            void = runs.place < size - 1
+            n[void], k[void] = 0, 0
+            if size == 1:
+                p = light.uni(n)
+                base, known = np.log10(p), n > 0
+            else:
+                p = smoothed(n, total, kinds, p)
+            total, kinds = np.append(0, n[:-1]), np.append(0, k[:-1])
+        real = runs.place > 0
+        sums = lambda v: np.add.reduceat(np.where(real, v, 0), runs.starts)
+        columns = {c: group.column(c) for c in ("doc_id", "held_out")}
+        columns |= {"n_tokens": pa.array(runs.sizes - 1), "n_known": pa.array(sums(known).astype(np.int64)), "train_tokens": pa.array(np.full(len(runs.sizes), light.tokens, np.int64))}
+        return pa.table(columns | {"base_score": pa.array(sums(base)), "score": pa.array(sums(np.log10(p)))})
 
-    def run(batches):
-        m = shared.value
-        automaton, ids, numbers = Automaton(m).prepare(), Ids(m.keys), row_ids()
-        uni = np.array(automaton.uni)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, rows = whole.slice(at, 512), []
-                for text in texts_of(batch):
-                    words = [*words_of(text or b""), END]
-                    x = ids.of(words)
-                    rest = Counter(w for w, i in zip(words, x) if not i)
-                    rows.append((next(numbers), len(x), len(x) - sum(rest.values()), float(uni[x].sum()), automaton.walk(x), list(map(key_of, rest)), list(rest.values())))
-                rid, n, head, base, walk, keys, times = zip(*rows) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(base, pa.float64()), pa.array(walk, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=["rid", "doc_id", "held_out", "n_tokens", "head", "base", "walk", "keys", "times"])
-
-    walked = durable(in_batches(docs.select("doc_id", "held_out", "text"), run, schema))
-    rest = walked.select("rid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("rid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    tail = rest.join(counts.where(F.col("n") < model.least), "key", "left").select("rid", "times", F.coalesce("n", F.lit(0)).alias("c"))
-    log_uni = F.log10((F.col("c") + ADD) / F.lit(model.tokens + ADD * (model.distinct + 1)))
-    sums = tail.groupBy("rid").agg(F.sum(log_uni * F.col("times")).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = walked.drop("keys", "times").join(sums, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    # under an empty model nothing is known: each word has the probability of the one unseen class, which is 1
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("walk") + more).alias("score"))
+    answers = in_groups(placed.groupBy("block"), ask, "block long, key long").join(table, "key").select("block", "key", "n", "kinds")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return placed.groupBy("block").cogroup(durable(answers).groupBy("block")).applyInArrow(step, schema)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
@@ -273,5 +234,5 @@ def held_out_scores(docs: DataFrame) -> DataFrame:
     """
     held = (mod_crc32("doc_id", 10) == 0).alias("held_out")
     docs = docs.select("doc_id", held, "text")
-    model, counts = train(docs.where("NOT held_out"))
-    return score(docs, model, counts)
+    model, table = train(docs.where("NOT held_out"))
+    return score(docs, model, table)

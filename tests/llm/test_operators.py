@@ -281,6 +281,38 @@ def test_lm_tail_words(spark, monkeypatch):
         assert abs(r.base_score - w.base_score) < 1e-6 and (r.n_tokens, r.n_known) == (w.n_tokens, w.n_known)
 
 
+@pytest.mark.parametrize("share", [lm.SHARE, 0.004, 1.0])
+def test_lm_keeps_every_ngram(spark, monkeypatch, share):
+    """Scores are those of all n-gram counts, by brute force, whatever share of them is broadcast and however small the blocks."""
+    monkeypatch.setattr(lm, "BLOCK", 2000, raising=False)
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, rng.randrange(60), 60))) for i in range(50)] + [(60, None), (61, "never seen here w1 w2 w3"), (None, "w1 w2")]
+    docs = docs_of(spark, rows).select("doc_id", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "text")
+    token = lambda t: ["START", *(t or "").split(), "END"]
+    c, after = Counter(), {}
+    for i, t in rows:
+        if i is None or i % 5:
+            x = token(t)
+            for n in (1, 2, 3):
+                for k in range(len(x) - n + 1):
+                    g = tuple(x[k : k + n])
+                    c[g] += 1
+                    after.setdefault(g[:-1], set()).add(g[-1])
+    total, v = sum(n for g, n in c.items() if len(g) == 1 and g != ("START",)), len(after[()]) - 1
+
+    def p(context, w):
+        if not context:
+            return (c[(w,)] + 0.1) / (total + 0.1 * (v + 1))
+        if context not in after:
+            return p(context[1:], w)
+        return (max(c[(*context, w)] - 0.75, 0) + 0.75 * len(after[context]) * p(context[1:], w)) / c[context]
+
+    want = sorted((str(i), round(sum(math.log10(p(tuple(x[max(k - 2, 0) : k]), x[k])) for k in range(1, len(x))), 6)) for i, t in rows for x in [token(t)])
+    model, table = lm.train(docs.where("NOT held_out"), share)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs, model, table).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-6 for g, w in zip(got, want))
+
+
 def test_decontamination(spark, texts):
     rng = random.Random(8)
     items = [(f"i{k}", " ".join(words(rng, n, 900))) for k, n in enumerate((5, 13, 14, 40))] + [("n", None), ("e", ""), (None, "w1 w2")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +13,42 @@ from pyspark.sql import functions as F
 
 from pagetrail.llm.common import durable, in_batches, texts_of
 
-#: A run has at least so many sentences and so many words; a longer sentence counts as several of at most LONGEST words.
+#: A run has at least so many sentences and so many words.
 SENTENCES = 3
 WORDS = 20
-LONGEST = 16
+#: A sentence is cut before a word whose hash is the smallest of the so many words on each side, if both parts have at least MARGIN words; the parts count as sentences.
+NEAR = 3
+MARGIN = 8
 
 _END = re.compile(rb"[.!?]+(?=\s)\s*|\n\s*")
 _WORD = re.compile(rb"\S+")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a sentence of these words is cut. Only the MARGIN words on each side of a place decide, so a passage is cut alike whatever surrounds it."""
+    n = len(words)
+    if n < 2 * MARGIN:
+        return []
+    hashes = np.fromiter(map(zlib.crc32, words), np.int64, n)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, 2 * NEAR + 1).min(axis=1)
+    at = np.arange(MARGIN, n - MARGIN + 1)
+    return at[hashes[at] == least[at - NEAR]].tolist()
+
+
 def units(text: bytes) -> tuple[list[tuple[int, int]], list[list[bytes]]]:
-    """Byte ranges of the sentences, which cover the text, and their lower-cased words. A sentence ends at marks before white space, or at a line's end; one of over 1.5 * LONGEST words is cut every LONGEST words."""
+    """Byte ranges of the sentences, which cover the text, and their lower-cased words. A sentence ends at marks before white space, or at a line's end; a long one is cut where its words say so."""
     ranges, parts, low = [], [], text.lower()
     ends = [m.end() for m in _END.finditer(low)]
     for a, b in zip([0, *ends], [*ends, len(text)]):
         if a == b:
             continue
         words = low[a:b].split()
-        if len(words) > LONGEST * 3 // 2:
-            starts = [m.start() for m in _WORD.finditer(low, a, b)][LONGEST::LONGEST]
+        at = cuts(words)
+        if at:
+            places = [m.start() for m in _WORD.finditer(low, a, b)]
+            starts = [places[k] for k in at]
             ranges += zip([a, *starts], [*starts, b])
-            parts += [words[k : k + LONGEST] for k in range(0, len(words), LONGEST)]
+            parts += [words[i:j] for i, j in zip([0, *at], [*at, len(words)])]
         else:
             ranges.append((a, b))
             parts.append(words)

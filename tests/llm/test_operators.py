@@ -139,6 +139,25 @@ def test_substring(spark):
     assert substring.substring_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_substring_inside_sentences(spark):
+    """Passages of over 50 words within longer sentences, after other lead-ins and before other tails."""
+    rng = random.Random(7)
+    some = lambda n: " ".join(words(rng, n, 10**6))
+    rows, passages = [], {}
+    for k in range(20):
+        passage = some(51 + k)
+        rows.append((k, f"{some(rng.randrange(40))} {passage} {some(rng.randrange(40))}."))
+        for copy in (100 + k, 200 + k):
+            passages[copy] = set(passage.split())
+            rows.append((copy, f"{some(rng.randrange(40))} {passage} {some(rng.randrange(40))}."))
+    texts, got = dict(rows), {r.doc_id: r for r in substring.substring_dedup(docs_of(spark, rows)).collect()}
+    assert all(got[k].text == texts[k] for k in range(20))
+    for k, passage in passages.items():
+        left = set(got[k].text.rstrip(".").split())
+        assert len(passage & left) <= 30 and got[k].removed_words >= 20
+        assert set(texts[k].rstrip(".").split()) - left <= passage
+
+
 def test_substring_units_cover_the_text():
     rng = random.Random(1)
     for _ in range(200):

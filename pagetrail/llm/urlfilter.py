@@ -11,13 +11,10 @@ from pagetrail.llm.common import durable
 
 #: Rules of the query: (verdict, host and path prefix).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A segment is a branch of its own with at least so many urls and this share of its node's; the others are one wildcard.
+#: A segment is a branch of its own with at least so many urls; the others are one wildcard.
 SUPPORT = 3
-SHARE = 0.05
 #: Branches whose profile differs from their siblings' by less than so many standard errors merge.
 SIGMAS = 3.0
-#: Segments from this depth on are one tail.
-DEPTH = 6
 PRIOR = 2.0
 EVIDENCE = 5
 REJECT = 0.8
@@ -51,7 +48,8 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """urls(host, path, bad boolean or null) to (paths, templates).
 
     paths(host, path, template): each distinct url's template. templates(host, template, n, n_bad, n_good).
-    Level by level, below every node (host, template so far): frequent segments are branches, the rest one wildcard
+    Level by level down to the deepest segment, below every node (host, template so far): segments of SUPPORT urls or
+    more are branches, the rest one wildcard
     "*"; then the branches whose share of bad urls, and of next segments of each kind, lie within SIGMAS standard
     errors of their node's merge as "~". Every step is an aggregate with partial sums, and a join of the paths with
     the node's few branches.
@@ -60,14 +58,14 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
     paths = durable(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for d in range(min(deepest, DEPTH)):
+    for d in range(deepest):
         segment, after = F.try_element_at("segments", F.lit(d + 1)), F.try_element_at("segments", F.lit(d + 2))
         here = paths.withColumn("s", segment).withColumn("next", _kind(after)).where("s IS NOT NULL")
         of_kind = [F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(k) for k in ("end", "number", "word", "mixed")]
         branches = durable(here.groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), *of_kind))
         measures = ("n_bad", "end", "number", "word", "mixed")
         nodes = durable(branches.groupBy("host", "template").agg(F.sum("n").alias("all"), *(F.sum(k).alias(f"all_{k}") for k in measures)))
-        frequent = branches.where(F.col("n") >= SUPPORT).join(nodes, ["host", "template"]).where(F.col("n") >= SHARE * F.col("all"))
+        frequent = branches.where(F.col("n") >= SUPPORT).join(nodes, ["host", "template"])
         odd = F.lit(False)
         for k in measures:
             p, q = F.col(k) / F.col("n"), F.col(f"all_{k}") / F.col("all")
@@ -78,8 +76,6 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = paths.withColumn("s", segment).join(kept, ["host", "template", "s"], "left")
         step = F.when(F.col("s").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("label", F.lit("*"))))
         paths = durable(joined.select("host", "path", "n", "n_bad", "n_good", "segments", F.concat("template", step).alias("template")))
-    tail = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise("")
-    paths = paths.select("host", "path", "n", "n_bad", "n_good", F.concat("template", tail).alias("template"))
     return paths.select("host", "path", "template"), paths.groupBy("host", "template").agg(*(F.sum(k).alias(k) for k in ("n", "n_bad", "n_good")))
 
 

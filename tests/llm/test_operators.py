@@ -186,6 +186,16 @@ def test_url_templates(spark):
     assert len({got[k].template for k in got}) == 2
 
 
+def test_url_many_sections(spark):
+    """A bad section among forty equal ones is a template of its own, as is a bad one below seven segments."""
+    urls = [(f"http://h.com/section{a}/page{b}", a == 7) for a in range(40) for b in range(30)]
+    urls += [(f"http://d.com/a/b/c/d/e/f/{x}/page{b}", x == "bad") for x in ("bad", "good", "fine", "well") for b in range(30)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame(urls[::2], "url string, bad boolean")
+    got = {r.page_id: r for r in urlfilter.url_filter(pages, (), labels).collect()}
+    assert all((got[k].verdict == "block") == bad for k, (_, bad) in enumerate(urls))
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows, k = [], 0

@@ -40,6 +40,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 #: Rows of a batch that a task's Python holds at once; whole texts are some kilobytes, long ones a hundred.
 BATCH = 2000
+BATCH_BYTES = 16 << 20
 
 
 def release() -> None:
@@ -51,8 +52,13 @@ def release() -> None:
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with at most BATCH rows a batch: sets spark.sql.execution.arrow.maxRecordsPerBatch, which counts when the plan runs, in df's session. Workers release memory after each task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """df.mapInArrow(run, schema) with at most BATCH rows and about BATCH_BYTES a batch. These are the session's settings, which count when the plan runs; lower ones stay. Workers release memory after each task."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
 
     def task(batches):
         yield from run(batches)

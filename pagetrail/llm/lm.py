@@ -2,237 +2,207 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import LOWER, durable, in_batches, in_groups, mod_crc32, texts_of
+from pagetrail.llm.common import durable, in_batches, mod_crc32, release, row_ids
+from pagetrail.llm.tally import ASKED, RANGE, ask, batch_of, mixed, tally, totals_of, word_hashes
 
-#: An n-gram is broadcast if it makes up at least this share of the training tokens; so there are at most 1 / SHARE of each order. The others come by a join; scores don't depend on it.
-SHARE = 2.0**-19
-DISCOUNT = 0.75
 ADD = 0.1
 ORDER = 3
-END = b"\n"  # no word holds white space, so neither mark can be a word
-START = b"\t"
-FLUSH = 400_000
-BLOCK = 4_000_000
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
-
-
-def key_of(word: bytes) -> int:
-    """A word's 64-bit number in counts: its XXH3, signed."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+#: What the shorter context's probability weighs, in occurrences, in a state of one and of two words (chosen on held-out documents).
+BACKOFF = (None, 60.0, 4.0)
+#: Bytes of text in a block.
+BLOCK = 12 << 20
+#: Longer n-grams' keys have so many bits more than the number of n-grams needs, so that two of them share a key with a chance of 2**-SPARE, at every size; a word's key has all 64.
+SPARE = 22
+END, START = (mixed(np.array([k], np.uint64))[0] for k in (3, 5))
 
 
 def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The 64-bit keys of n-grams, from those of their contexts and last words."""
-    x = context * np.uint64(0x9E3779B97F4A7C15) + word
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 class Runs:
-    """The n-grams of texts: x, the keys of each text's words between START and END, and the place of each in its text."""
-
-    def __init__(self, texts: list[bytes | None], known: dict[bytes, int]):
-        if len(known) > FLUSH:
-            known.clear()
-        flat, sizes = [], []
-        for text in texts:
-            words = [START, *words_of(text or b""), END]
-            for w in set(words):
-                if w not in known:
-                    known[w] = key_of(w)
-            flat += [known[w] for w in words]
-            sizes.append(len(words))
-        self.sizes = np.array(sizes, np.int64)
+    """The n-grams of texts: keys by order at each place of START, the text's words, END; place is the place in its text."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        words, counts = word_hashes(texts)
+        self.sizes = counts + 2
         self.starts = np.cumsum(self.sizes) - self.sizes
-        x = np.array(flat, np.int64).view(np.uint64)
-        self.place = np.arange(len(x)) - np.repeat(self.starts, self.sizes)
-        self.keys = [x]  # by order; those of the first places of a text are void
-        for _ in range(1, ORDER):
-            before = np.concatenate([self.keys[-1][:1], self.keys[-1][:-1]])
-            self.keys.append(longer(before, x))
+        self.place = np.arange(int(self.sizes.sum())) - np.repeat(self.starts, self.sizes)
+        x = np.empty(len(self.place), np.uint64)
+        x[self.starts], x[self.starts + self.sizes - 1] = START, END
+        x[(self.place > 0) & (self.place < np.repeat(self.sizes, self.sizes) - 1)] = words
+        self.words, self.last = x, x
 
-    def rows(self):
-        """Yields (size, keys, contexts, words), signed, of the n-grams of each size; a unigram's context is 0."""
-        x = self.keys[0].view(np.int64)
-        for n, keys in enumerate(self.keys, 1):
-            at = np.flatnonzero(self.place >= n - 1)
-            yield n, keys.view(np.int64)[at], self.keys[n - 2].view(np.int64)[at - 1] if n > 1 else np.zeros(len(at), np.int64), x[at]
+    def grow(self) -> np.ndarray:
+        """Keys of the n-grams one word longer that end at each place; those at the first places of a text are void."""
+        self.last = longer(np.concatenate([self.last[:1], self.last[:-1]]), self.words)
+        return self.last
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """Counts (size, key, context, word, n) of every n-gram of up to ORDER words over all rows of docs(text); tasks send what they have summed."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted distinct ones."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.append(False, keys[1:] != keys[:-1])) if len(keys) else 0
+    return out
+
+
+def packed(docs: DataFrame, size: int) -> DataFrame:
+    """docs(doc_id, held_out, text) in blocks of about `size` bytes of text, each compressed: block, tokens, train_tokens, train_docs, data."""
 
     def run(batches):
-        known, parts, size = {}, [], 0
+        ids, held, bytes_held = row_ids(), [], 0
 
         def out():
-            for n in range(1, ORDER + 1):
-                keys, contexts, last = (np.concatenate(c) for c in zip(*(p[n - 1][1:] for p in parts)))
-                keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(contexts[at]), pa.array(last[at]), pa.array(counts, pa.int64())], names=["size", "key", "context", "word", "n"])
-            parts.clear()
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                parts.append(list(Runs(texts_of(whole.slice(at, 256)), known).rows()))
-                size += len(parts[-1][0][1])
-                if size > 3 * FLUSH:
-                    yield from out()
-                    size = 0
-        if parts:
-            yield from out()
-
-    first = lambda k: F.first(k).alias(k)
-    return in_batches(docs.select("text"), run, "size int, key long, context long, word long, n long").groupBy("key").agg(first("size"), first("context"), first("word"), F.sum("n").alias("n"))
+            table = pa.Table.from_batches(held)
+            _, words = word_hashes(table.column("text"))
+            train = ~table.column("held_out").to_numpy()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+                writer.write_table(table)
+            numbers = (next(ids), int((words + 1).sum()), int((words + 1)[train].sum()), int(train.sum()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array([n], pa.int64()) for n in numbers), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "tokens", "train_tokens", "train_docs", "data"])
+
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text").cast(pa.large_string())], names=["doc_id", "held_out", "text"])
+            step = max(1, batch.num_rows * (size >> 3) // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                held.append(part)
+                bytes_held += part.get_total_buffer_size() * part.num_rows // batch.num_rows
+                if bytes_held >= size:
+                    yield out()
+                    bytes_held = 0
+        if held:
+            yield out()
+
+    return in_batches(docs, run, "block long, tokens long, train_tokens long, train_docs long, data binary")
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
 @dataclass
 class Model:
-    """keys: sorted keys of the hot words, and their counts; hot: rows (size, key, context, word, n, kinds) of the hot n-grams by key. The table of all n-grams goes with it."""
+    """What the walk needs besides the n-grams' own counts: training tokens, different words, documents, and how keys are cut."""
 
-    keys: np.ndarray
-    counts: np.ndarray
-    hot: dict[str, np.ndarray]
     tokens: int
     distinct: int
-    least: int  # the count from which an n-gram is hot
+    docs: int
+    bits: int
+    backoff: tuple = BACKOFF
 
-    def uni(self, c):
+    def unigram(self, c):
         return (c + ADD) / (self.tokens + ADD * (self.distinct + 1))
 
-    def log_uni(self, c):
-        return np.log10(self.uni(c))
 
+def smoothed(c, total, shorter, weight):
+    """P(w | context): the state's arc, (c(context w) + weight * P(w | shorter context)) / (c(context) + weight).
 
-def smoothed(c, total, kinds, shorter):
-    """P(w | context) from c(context w), c(context), the number of different words seen after it, and P(w | shorter context)."""
-    seen = np.maximum(total, 1)
-    return np.where(kinds > 0, np.maximum(c - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * shorter, shorter)
+    For an n-gram never seen this is the failure arc's weight / (c(context) + weight) times P(w | shorter context), and
+    for a context never seen, which is no state, the shorter context's own.
+    """
+    return np.where(total > 0, (c + weight * shorter) / (total + weight), shorter)
 
 
-class Automaton:
-    """The hot n-grams as numbered states and arcs.
+def walk(runs: Runs, counts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log10 P(word | the ORDER - 1 words before), and P of the word alone, at every place.
 
-    States are contexts; an arc of a state and a word holds the smoothed log-probability and the next state; failure
-    arcs lead to the next shorter context and hold its backoff weight. P(w | context) = (c(context w) - DISCOUNT) /
-    c(context) + backoff(context) * P(w | shorter context) for n-grams seen, backoff alone for others; backoff is
-    DISCOUNT * kinds / c(context), what the n-grams seen leave. The unigram is (c + ADD) / (N + ADD * (V + 1)). So each
-    state's probabilities sum to one over the vocabulary and one class of unseen words.
+    The automaton has a state for each context seen, with an arc for each word seen after it and a failure arc to the
+    state of the context without its first word. Its state after a word depends on the last ORDER - 1 words alone, so
+    all places take their step at once: the arcs are the n-gram counts found, from the shortest context to the longest.
+    counts: how often the n-gram of each order that ends at a place occurs in training.
     """
+    base = model.unigram(counts[0])
+    p = base
+    for n in range(1, ORDER):
+        state = np.append(0, counts[n - 1][:-1])  # how often the context that ends before the place occurs
+        if n == 1:
+            state[runs.place == 1] = model.docs  # START
+        state[runs.place < n] = 0
+        p = smoothed(counts[n], state, p, model.backoff[n])
+    return np.log10(p), base
+
+
+def held_out_scores(docs: DataFrame, block: int | None = None) -> DataFrame:
+    """docs(doc_id, text): a model from the rows whose crc32(doc_id) mod 10 isn't 0, and its scores of all rows.
+
+    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row. The texts are
+    written once, in compressed blocks. Every block asks for the training counts of its different n-grams of 1 to ORDER
+    words; each count is summed over all blocks and goes back to those that asked; then the block's texts are walked.
+    So every n-gram of the corpus counts, at any size, and no task holds more than a block or a range of keys.
 
-    def __init__(self, model: Model):
-        ids = {k: i for i, k in enumerate([*model.keys.tolist(), key_of(START)], 1)}
-        self.base, self.uni = len(ids) + 1, [0.0, *model.log_uni(model.counts).tolist()]
-        rows = sorted(zip(*(model.hot[c].tolist() for c in ("size", "key", "context", "word", "n", "kinds"))))
-        count = {r[1]: (r[4], r[5]) for r in rows}
-        self.state = {k: i for i, k in enumerate((r[1] for r in rows if r[5]), 1)}
-        self.fail, self.weight, self.arcs = [0], [0.0], {}
-        for size, key, _, word, n, kinds in rows:
-            if kinds:
-                self.fail.append(self.state[word] if size > 1 else 0)
-                self.weight.append(float(np.log10(DISCOUNT * kinds / n)))
-        for size, key, context, word, n, _ in rows:
-            if size > 1:
-                s = self.state[context]
-                shorter = self.arcs[self.fail[s] * self.base + ids[word]][0] if size > 2 else self.uni[ids[word]]
-                p = smoothed(n, *count[context], 10**shorter)
-                self.arcs[s * self.base + ids[word]] = (float(np.log10(p)), self.state.get(key, self.state.get(word, 0)))
-
-    def prepare(self) -> "Automaton":
-        return self
-
-
-def train(docs: DataFrame, share: float = SHARE) -> tuple[Model, DataFrame]:
-    """The model from all rows of docs(text), and the table (key, n, kinds) of all their n-grams, written to the shared folder; kinds is the number of different words seen after one."""
-    every = durable(grams(docs))
-    words = every.where((F.col("size") == 1) & (F.col("key") != key_of(START)))
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, int(np.ceil(share * tokens)))
-    kinds = every.where("size > 1").groupBy(F.col("context").alias("key")).agg(F.count("*").alias("kinds"))
-    short = every.where(F.col("size") < ORDER).join(kinds, "key", "left").withColumn("kinds", F.coalesce("kinds", F.lit(0)))
-    table = durable(short.unionByName(every.where(F.col("size") == ORDER).withColumn("kinds", F.lit(0).cast("long"))))
-    found = table.where(F.col("n") >= least).toArrow().sort_by("key")  # at most 1 / share rows an order
-    hot = {c: found.column(c).to_numpy() for c in found.column_names}
-    word = (hot["size"] == 1) & (hot["key"] != key_of(START))
-    return Model(hot["key"][word], hot["n"][word], hot, tokens, distinct, least), table.select("key", "n", "kinds")
-
-
-def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted key is in the sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
-    """docs(doc_id, held_out, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row.
-
-    Rows fall into blocks of about BLOCK bytes of text. A block has the hot n-grams by broadcast, and asks the table for
-    its others, each once, by a join; then all its places step through their arcs at once: the state before a word is
-    the longest context seen, and a missing arc leads to the shorter one. So a score depends on counts alone, not on
-    which n-grams are hot. Null text is empty.
+    A null doc_id counts as not held out; null text is empty; repeated rows each stay and count; extra columns are
+    ignored; ties don't arise; a text longer than a block is a block of its own; an empty table gives no rows. Without
+    training rows every score is 0 (the one class of unseen words has probability 1).
     """
     spark = docs.sparkSession
-    model_of = spark.sparkContext.broadcast((model.hot["key"], model.hot["n"], model.hot["kinds"]))
-    light = replace(model, hot={})
-    placed = durable(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"))
-    blocks = -(-(placed.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BLOCK)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
-
-    def ask(group: pa.Table) -> pa.Table:
-        runs = Runs(group.column("text").cast(pa.binary()).to_pylist(), {})
-        keys = np.unique(np.concatenate([k for _, k, _, _ in runs.rows()]))
-        keys = keys[~_place(model_of.value[0], keys)[1]]
-        return pa.table({"block": pa.array(np.full(len(keys), group.column("block")[0].as_py(), np.int64)), "key": pa.array(keys)})
-
-    def step(group: pa.Table, found: pa.Table) -> pa.Table:
-        runs = Runs(group.column("text").cast(pa.binary()).to_pylist(), {})
-        own = found.sort_by("key")
-        tables = [model_of.value, tuple(own.column(c).to_numpy() for c in ("key", "n", "kinds"))]
-        p = total = kinds = base = known = None
-        for size, keys in enumerate(runs.keys, 1):
-            n, k = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            for names, counts, after in tables:
-                at, there = _place(names, keys.view(np.int64))
-                n[there], k[there] = counts[at[there]], after[at[there]]
-            void = runs.place < size - 1
-            n[void], k[void] = 0, 0
-            if size == 1:
-                p = light.uni(n)
-                base, known = np.log10(p), n > 0
-            else:
-                p = smoothed(n, total, kinds, p)
-            total, kinds = np.append(0, n[:-1]), np.append(0, k[:-1])
+    held = (mod_crc32("doc_id", 10) == 0).alias("held_out")
+    blocks = durable(packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), block or BLOCK))
+    every, tokens, trained = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first())
+    bits = min(64, SPARE + int(ORDER * every + 1).bit_length())
+    parts = max(1, -(-every // RANGE))
+    cut = np.uint64(64 - bits)
+
+    def asking(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                table = unpacked(data.as_py())
+                runs = Runs(table.column("text"))
+                train = np.repeat(~table.column("held_out").to_numpy(), runs.sizes)
+                for n in range(ORDER):
+                    keys = runs.grow() >> cut if n else runs.words
+                    real = runs.place >= max(n, 1)
+                    own, c = distinct(keys[real & train])
+                    others, _ = distinct(keys[real & ~train])
+                    merged, _ = distinct(np.concatenate([own, others]))
+                    sums = np.zeros(len(merged), np.int64)
+                    sums[np.searchsorted(merged, own)] = c
+                    yield batch_of(list(ask(number, n + 1, merged, sums, bits if n else 64, parts)))
+
+    answers = durable(tally(in_batches(blocks.select("block", "data"), asking, ASKED)))
+    seen = answers.where("kind = 1").agg(F.sum("seen")).first()[0] or 0
+    model = Model(tokens, seen, trained, bits, BACKOFF)
+
+    def stepping(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = walked(left, right)
+        release()
+        return out
+
+    def walked(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = unpacked(left.column("data")[0].as_py())
+        runs, counts = Runs(table.column("text")), []
+        for n in range(ORDER):
+            keys = runs.grow() >> cut if n else runs.words
+            real = np.flatnonzero(runs.place >= max(n, 1))
+            c = np.zeros(len(keys), np.int64)
+            if len(real):
+                c[real] = totals_of(right, n + 1)[numbered(keys[real])]
+            counts.append(c)
+        p, base = walk(runs, counts, model)
         real = runs.place > 0
         sums = lambda v: np.add.reduceat(np.where(real, v, 0), runs.starts)
-        columns = {c: group.column(c) for c in ("doc_id", "held_out")}
-        columns |= {"n_tokens": pa.array(runs.sizes - 1), "n_known": pa.array(sums(known).astype(np.int64)), "train_tokens": pa.array(np.full(len(runs.sizes), light.tokens, np.int64))}
-        return pa.table(columns | {"base_score": pa.array(sums(base)), "score": pa.array(sums(np.log10(p)))})
+        columns = {c: table.column(c) for c in ("doc_id", "held_out")}
+        columns |= {"n_tokens": pa.array(runs.sizes - 1), "n_known": pa.array(sums(counts[0] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(runs.sizes), model.tokens, np.int64))}
+        return pa.table(columns | {"base_score": pa.array(sums(np.log10(base))), "score": pa.array(sums(p))})
 
-    answers = in_groups(placed.groupBy("block"), ask, "block long, key long").join(table, "key").select("block", "key", "n", "kinds")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(durable(answers).groupBy("block")).applyInArrow(step, schema)
-
-
-def held_out_scores(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text): a model from the rows whose crc32(doc_id) mod 10 isn't 0, and its scores of all rows.
-
-    A null doc_id counts as not held out; repeated rows each stay and count; extra columns are ignored; an empty table
-    gives no rows. Without training rows every score is 0 (the one class of unseen words has probability 1).
-    """
-    held = (mod_crc32("doc_id", 10) == 0).alias("held_out")
-    docs = docs.select("doc_id", held, "text")
-    model, table = train(docs.where("NOT held_out"))
-    return score(docs, model, table)
+    return blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(stepping, schema)

@@ -7,10 +7,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pagetrail.llm.common import LOWER
 from pagetrail.llm import decontam, embedding, langid, license, lm, packing, quality, simhash, substring, urlfilter
 
 DOCS = "doc_id long, text string, lang string, score double, rid long, h long"
@@ -264,7 +267,7 @@ def test_plan_is_near_the_bound():
 
 def test_lm(spark, texts):
     got = lm.held_out_scores(docs_of(spark, texts)).collect()
-    token = lambda t: [*((t or "").encode().translate(lm.LOWER).split()), b"\n"]
+    token = lambda t: [*((t or "").encode().translate(LOWER).split()), b"\n"]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter(w for i, t in texts if not held(i) for w in token(t))
     n, v = sum(c.values()), len(c)
@@ -274,72 +277,81 @@ def test_lm(spark, texts):
     assert lm.held_out_scores(docs_of(spark, [])).count() == 0
 
 
-def test_lm_sums_to_one(spark):
+def automaton(rows, held):
+    """The backoff automaton by dictionaries: counts of all n-grams, and a step from (state, word) to (probability, state)."""
+    token = lambda t: ["START", *(w.decode() for w in (t or "").encode().translate(LOWER).split()), "END"]
+    c = Counter(tuple(x[k : k + n]) for i, t in rows if not held(i) for x in [token(t)] for n in (1, 2, 3) for k in range(len(x) - n + 1))
+    vocabulary = sorted({g[0] for g in c if len(g) == 1} - {"START"})
+    total = sum(c[(w,)] for w in vocabulary)
+
+    def step(state, word):
+        failed, weight = state, 1.0
+        arcs = []
+        while failed:
+            if c[failed]:
+                arcs.append((c[(*failed, word)], c[failed], lm.BACKOFF[len(failed)]))
+            failed = failed[1:]
+        p = (c[(word,)] + 0.1) / (total + 0.1 * (len(vocabulary) + 1))
+        for n, at, weight in reversed(arcs):
+            p = (n + weight * p) / (at + weight)
+        return p, (*state, word)[-2:]
+
+    def score(text):
+        state, out = ("START",), 0.0
+        for w in token(text)[1:]:
+            p, state = step(state, w)
+            out += math.log10(p)
+        return out
+
+    return c, vocabulary, step, score
+
+
+def test_lm_sums_to_one():
     rng = random.Random(2)
-    train = docs_of(spark, [(i, " ".join(words(rng, 30, 12))) for i in range(40)]).select("text")
-    model, _ = lm.train(train)
-    a = lm.Automaton(model).prepare()
-    for state in range(min(len(a.fail), 60)):
-        total = 0.0
-        for w in range(1, len(model.keys) + 1):
-            s, p = state, 0.0
-            while s and (s * a.base + w) not in a.arcs:
-                p += a.weight[s]
-                s = a.fail[s]
-            p += a.arcs[s * a.base + w][0] if s else a.uni[w]
-            total += 10**p
-        s, p = state, 0.0
-        while s:
-            p += a.weight[s]
-            s = a.fail[s]
-        total += 10 ** (p + float(model.log_uni(0)))
-        assert abs(total - 1) < 1e-6
-
-
-def test_lm_tail_words(spark, monkeypatch):
-    """A high share for the automaton leaves rare words to the join; base scores stay the same."""
-    rng = random.Random(4)
-    rows = [(i, " ".join(words(rng, 60, 300))) for i in range(50)]
-    whole = {r.doc_id: r for r in lm.held_out_scores(docs_of(spark, rows)).collect()}
-    monkeypatch.setattr(lm, "SHARE", 0.004)
-    docs = docs_of(spark, rows).select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held_out"), "text")
-    model, counts = lm.train(docs.where("NOT held_out"), 0.004)
-    assert len(model.keys) < model.distinct
-    for r in lm.score(docs, model, counts).collect():
-        w = whole[r.doc_id]
-        assert abs(r.base_score - w.base_score) < 1e-6 and (r.n_tokens, r.n_known) == (w.n_tokens, w.n_known)
-
-
-@pytest.mark.parametrize("share", [lm.SHARE, 0.004, 1.0])
-def test_lm_keeps_every_ngram(spark, monkeypatch, share):
-    """Scores are those of all n-gram counts, by brute force, whatever share of them is broadcast and however small the blocks."""
-    monkeypatch.setattr(lm, "BLOCK", 2000, raising=False)
+    c, vocabulary, step, _ = automaton([(i, " ".join(words(rng, 30, 12))) for i in range(40)], lambda i: False)
+    for state in [g for g in c if len(g) < 3 and g[-1] != "END"][:60]:
+        assert abs(sum(step(state, w)[0] for w in [*vocabulary, "never seen"]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("block, ranges", [(None, None), (900, 200)])
+def test_lm_scores(spark, texts, monkeypatch, block, ranges):
+    """Scores are those of a walk over all n-grams, however small the blocks and the ranges of keys are."""
+    if ranges:
+        monkeypatch.setattr(lm, "RANGE", ranges)
     rng = random.Random(5)
-    rows = [(i, " ".join(words(rng, rng.randrange(60), 60))) for i in range(50)] + [(60, None), (61, "never seen here w1 w2 w3"), (None, "w1 w2")]
-    docs = docs_of(spark, rows).select("doc_id", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "text")
-    token = lambda t: ["START", *(t or "").split(), "END"]
-    c, after = Counter(), {}
-    for i, t in rows:
-        if i is None or i % 5:
-            x = token(t)
-            for n in (1, 2, 3):
-                for k in range(len(x) - n + 1):
-                    g = tuple(x[k : k + n])
-                    c[g] += 1
-                    after.setdefault(g[:-1], set()).add(g[-1])
-    total, v = sum(n for g, n in c.items() if len(g) == 1 and g != ("START",)), len(after[()]) - 1
-
-    def p(context, w):
-        if not context:
-            return (c[(w,)] + 0.1) / (total + 0.1 * (v + 1))
-        if context not in after:
-            return p(context[1:], w)
-        return (max(c[(*context, w)] - 0.75, 0) + 0.75 * len(after[context]) * p(context[1:], w)) / c[context]
-
-    want = sorted((str(i), round(sum(math.log10(p(tuple(x[max(k - 2, 0) : k]), x[k])) for k in range(1, len(x))), 6)) for i, t in rows for x in [token(t)])
-    model, table = lm.train(docs.where("NOT held_out"), share)
-    got = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs, model, table).collect())
-    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-6 for g, w in zip(got, want))
+    rows = [*texts, *((1000 + i, " ".join(words(rng, rng.randrange(60), 60))) for i in range(60)), (2000, "never seen here w1 w2 w3"), (2001, "X" * 9000 + " w1 " + "x" * 9000)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    _, _, _, score = automaton(rows, held)
+    want = sorted((str(i), round(score(t), 6)) for i, t in rows)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.held_out_scores(docs_of(spark, rows), block).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 2e-5 for g, w in zip(got, want))
+
+
+def test_word_hashes():
+    from pagetrail.llm.tally import word_hashes
+
+    rows = ["Ab c\tab", None, "", "  ", "x" * 10000 + " y " + "x" * 10001, "ab C", "\u00e9 e\x0bf", "ab", "abc", "ba"]
+    hashes, counts = word_hashes(pa.chunked_array([pa.array(["q"]), pa.array(rows)]).slice(1))
+    parts = [w for t in rows for w in (t or "").encode().lower().split()]
+    assert counts.tolist() == [len((t or "").encode().split()) for t in rows]
+    assert len(dict(zip(parts, hashes.tolist()))) == len(set(hashes.tolist())) == len(set(zip(parts, hashes.tolist())))
+
+
+def test_tally(spark):
+    from pagetrail.llm import tally
+
+    rng = np.random.default_rng(0)
+    blocks = {b: np.unique(rng.integers(0, 1 << 20, 300).astype(np.uint64)) for b in range(5)}
+    counts = {b: rng.integers(0, 3, len(k)) for b, k in blocks.items()}
+    rows = [r for b, k in blocks.items() for r in tally.ask(b, 1, k, counts[b], 20, 7)]
+    got = tally.tally(spark.createDataFrame(rows, tally.ASKED)).toArrow()
+    want = Counter()
+    for b, k in blocks.items():
+        want.update(dict(zip(k.tolist(), counts[b].tolist())))
+    for b, k in blocks.items():
+        own = got.filter(pa.compute.equal(got.column("block"), b))
+        assert tally.totals_of(own, 1).tolist() == [want[x] for x in k.tolist()]
+    assert sum(got.column("seen").to_pylist()) == sum(n > 0 for n in want.values())
 
 
 def test_decontamination(spark, texts):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import ALNUM, durable, in_batches, row_ids, texts_of
+from pagetrail.llm.common import ALNUM, discard, durable, in_batches, texts_of, unused
 
 WINDOW = 13
 #: Item words in one broadcast set; more items are scanned in further blocks.
@@ -84,96 +86,126 @@ def blocks_of(benchmark: DataFrame, most_words: int) -> list:
     yield block
 
 
+ROW = "rid long, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+
+
+def _scanned(docs: DataFrame, shared, every: bool) -> DataFrame:
+    """docs(rid, doc_id, text) to ROW by one broadcast block of windows: for every row, or for those with hits."""
+
+    def run(batches):
+        windows = shared.value
+        for batch in batches:
+            rows = []
+            for rid, doc, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch)):
+                words = words_of(text or b"")
+                hit, items = windows.scan(words)
+                if every or items:
+                    rows.append({"rid": rid, "doc_id": doc, "n_words": len(words), "spans": [{"s": s, "e": e} for s, e in _runs(hit)], "items": sorted(items)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))]))
+
+    return in_batches(docs.select("rid", "doc_id", "text"), run, ROW)
+
+
+def _blocks_hits(placed: DataFrame, blocks, window: int) -> DataFrame:
+    """placed(rid, doc_id, text), written, against one block of items after the other, to ROW of the rows with hits in any, spans merged. One block is held at a time."""
+    sc, found = placed.sparkSession.sparkContext, []
+    for block in blocks:
+        shared = sc.broadcast(Windows(block, window))
+        found.append(durable(_scanned(placed, shared, False)))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, found)
+    joined = every.groupBy("rid", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # in order of their starts, a span either goes on with the last one or is new
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"))))
+    merged = F.aggregate("spans", F.array().cast("array<struct<s:int,e:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["e"] >= x["s"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    out = durable(joined.withColumn("spans", merged))
+    discard(*found)
+    return out
+
+
+def _first_two(blocks):
+    """The only block and None, or None and all blocks, one at a time."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return (first, None) if second is None else (None, itertools.chain([first, second], blocks))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) to (rid, doc_id, n_words, spans array<struct<s,e>>, items array<string>), one row per document.
 
     spans are the maximal runs of hit words, [s, e) in words. The set of test windows is broadcast while it has at most
-    block_words words; a larger benchmark is scanned block by block, with the same result. Null text has no words; null
-    item ids or texts are left out; equal items count one each; a benchmark without words hits nothing.
+    block_words words; a larger benchmark is scanned block by block over a written copy of the documents, with the same
+    result. Null text has no words; null item ids or texts are left out; equal items count one each; a benchmark
+    without words hits nothing; repeated rows each stay; extra columns of docs are ignored; no documents, no rows.
     """
-    sc, schema = docs.sparkSession.sparkContext, "rid long, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
-    parts = []
-    for block in blocks_of(benchmark, block_words):
-        shared = sc.broadcast(Windows(block, window))
-
-        def run(batches, shared=shared):
-            ids, windows = row_ids(), shared.value
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                    words = words_of(text or b"")
-                    hit, items = windows.scan(words)
-                    rows.append({"rid": next(ids), "doc_id": doc, "n_words": len(words), "spans": [{"s": s, "e": e} for s, e in _runs(hit)], "items": sorted(items)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))]))
-
-        parts.append(in_batches(docs.select("doc_id", "text"), run, schema))
-    if len(parts) == 1:
-        return parts[0]
-    # every block read the same rows; a row is known by its place in the scan, so blocks join on a written copy of it
-    raise_rid = durable(parts[0])
-    for other in parts[1:]:
-        more = durable(other).select("rid", F.col("spans").alias("spans2"), F.col("items").alias("items2"))
-        raise_rid = durable(raise_rid.join(more, "rid").select("rid", "doc_id", "n_words", F.concat("spans", "spans2").alias("spans"), F.array_sort(F.array_union("items", "items2")).alias("items")))
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-    # spans of several blocks may overlap: merge them in order of their starts
-    merged = F.aggregate(F.array_sort("spans"), F.array().cast("array<struct<s:int,e:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
-    return raise_rid.withColumn("spans", merged)
+    one, blocks = _first_two(blocks_of(benchmark, block_words))
+    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if one is not None:
+        return _scanned(placed, docs.sparkSession.sparkContext.broadcast(Windows(one, window)), True)
+    placed = durable(placed)
+    found = _blocks_hits(placed, blocks, window)
+    every = _scanned(placed, docs.sparkSession.sparkContext.broadcast(Windows([], window)), True).select("rid", "doc_id", "n_words")
+    none = F.array()
+    return every.join(found.select("rid", "spans", "items"), "rid", "left").select("rid", "doc_id", "n_words", F.coalesce("spans", none.cast("array<struct<s:int,e:int>>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, per_words: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans; contaminated: n_hit > 0 and per_words * n_hit >= n_words."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans; contaminated: n_hit > 0 and per_words * n_hit >= n_words.
+
+    Nulls, repeated rows, extra columns and empty tables are as in scan(); a share of exactly one in per_words counts.
+    """
     found = scan(docs, benchmark, window, block_words)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["s"]).cast("long"))
     return found.withColumn("n_hit", n_hit).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (per_words * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, per_words: int = 20, whole: bool = True) -> DataFrame:
-    """docs without contaminated documents (whole), or with the hit words of every document blanked out of its text (whole=False); all columns stay.
+    """docs without contaminated documents (whole), or with the hit words of every document cut out of its text (whole=False); all columns stay, whatever their names.
 
-    A document with fewer hits than the rule's share stays as it is under whole=True. Null text is kept.
+    A document with fewer hits than the rule's share stays as it is under whole=True. Spans are cut once, from the
+    original text, whatever the number of blocks. Null text is kept; repeated rows are each judged; no documents, no rows.
     """
-    sc, names = docs.sparkSession.sparkContext, docs.columns
-    schema = docs.schema
-    kept = docs
-    for block in blocks_of(benchmark, block_words) if not whole else []:
-        shared = sc.broadcast(Windows(block, window))
+    sc, names, schema = docs.sparkSession.sparkContext, docs.columns, docs.schema
+    one, blocks = _first_two(blocks_of(benchmark, block_words))
+    if one is not None:
+        shared = sc.broadcast(Windows(one, window))
 
-        def cut(batches, shared=shared, at=names.index("text")):
+        def drop(batches):
             for batch in batches:
-                out = [None if t is None else blank(t, shared.value) for t in texts_of(batch)]
+                words = [words_of(t or b"") for t in texts_of(batch)]
+                hits = [int(shared.value.scan(w)[0].sum()) for w in words]
+                yield batch.filter(pa.array([not (n and per_words * n >= len(w)) for n, w in zip(hits, words)], pa.bool_()))
+
+        def cut(batches, at=names.index("text")):
+            for batch in batches:
+                out = [None if t is None else blank(t, _runs(shared.value.scan(words_of(t))[0])) for t in texts_of(batch)]
                 yield batch.set_column(at, "text", pa.array(out, pa.string()))
 
-        kept = in_batches(kept, cut, schema)
-    if not whole:
-        return kept
-    blocks = [sc.broadcast(Windows(b, window)) for b in blocks_of(benchmark, block_words)]
+        return in_batches(docs, drop if whole else cut, schema)
+    rid, at = unused("rid", names), unused("spans", names)
+    placed = durable(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found = _blocks_hits(placed.select(F.col(rid).alias("rid"), F.lit(None).cast("long").alias("doc_id"), "text"), blocks, window)
+    if whole:
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["s"]).cast("long"))
+        return placed.join(found.where(per_words * n_hit >= F.col("n_words")).select(F.col("rid").alias(rid)), rid, "left_anti").select(*names)
 
-    def drop(batches):
+    def cut_spans(batches, text=names.index("text")):
         for batch in batches:
-            keep = []
-            for text in texts_of(batch):
-                words = words_of(text or b"")
-                hit = np.zeros(len(words), bool)
-                for shared in blocks:
-                    hit |= shared.value.scan(words)[0]
-                n = int(hit.sum())
-                keep.append(not (n and per_words * n >= len(words)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return in_batches(docs, drop, schema)
-
-
-def blank(text: bytes, windows: Windows) -> str:
-    """The text without its hit runs of words (each from its first word's first to its last word's last byte)."""
-    plain = text.translate(ALNUM)
-    words = plain.split()
-    hit, _ = windows.scan(words)
-    if not hit.any():
+            out = [None if t is None else blank(t, [(x["s"], x["e"]) for x in spans or []]) for t, spans in zip(texts_of(batch), batch.column(at).to_pylist())]
+            yield batch.set_column(text, "text", pa.array(out, pa.string())).select(names)
+
+    return in_batches(placed.join(found.select(F.col("rid").alias(rid), F.col("spans").alias(at)), rid, "left").select(*names, at), cut_spans, schema)
+
+
+def blank(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without these runs of words (each from its first word's first to its last word's last byte)."""
+    if not spans:
         return text.decode("utf-8", "replace")
-    is_word = np.frombuffer(plain, np.uint8) != 32
+    is_word = np.frombuffer(text.translate(ALNUM), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], is_word.astype(np.int8), [0]])))
     starts, ends, out, last = edge[::2], edge[1::2], [], 0
-    for s, e in _runs(hit):
+    for s, e in spans:
         out.append(text[last : starts[s]])
         last = ends[e - 1]
     return b"".join([*out, text[last:]]).decode("utf-8", "replace")

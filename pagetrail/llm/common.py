@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z on UTF-8 bytes; other bytes stay.
@@ -35,7 +35,36 @@ def durable(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, lost executors cost no more than a reread."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that durable() wrote, once everything that reads them is itself written."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A written table of at most so many numbers (8 bytes each, and as much again for a hash table) is broadcast.
+FEW = 4_000_000
+
+
+def if_few(written: DataFrame, cells: Column | None = None) -> DataFrame:
+    """The table marked for broadcast if its cells (those of a row: columns, or the given sum) are FEW at most; else as it is, for a shuffled join. They are counted, not estimated."""
+    one = F.lit(len(written.columns)) if cells is None else cells
+    n = written.agg(F.sum(one.cast("long"))).first()[0] or 0
+    return F.broadcast(written) if n <= FEW else written
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A name for a helper column that no column has, in any case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 #: Rows of a batch that a task's Python holds at once; whole texts are some kilobytes, long ones a hundred.

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import LOWER, Forest, durable, in_batches, in_groups, row_ids, texts_of
+from pagetrail.llm.common import LOWER, Forest, discard, durable, if_few, in_batches, in_groups, row_ids, texts_of, unused
 from pagetrail.llm.components import EDGE, components
 
 SEED = 42
@@ -196,24 +196,67 @@ def similar(flat: np.ndarray, sizes: np.ndarray, jaccard: float, left: np.ndarra
 
 
 def verified_links(members: DataFrame, jaccard: float) -> DataFrame:
-    """members(id, c, shingles) of candidate groups c to edges (a, b): a forest of the pairs of a group with at least this Jaccard similarity.
+    """members(id, c, shingles) of candidate groups c, written, to edges (a, b): they join two members of a group if and only if a chain of pairs of at least this Jaccard similarity does.
 
-    Groups of over CHUNK members are cut into chunks by hash, and each pair of chunks is compared in one task.
+    Groups of over CHUNK members are cut into chunks by hash. Each chunk is compared within itself; then the heads, one
+    for each set of members already joined, with each other; then only members that are still apart from their group's
+    largest set, with everyone else in the group. So a group of copies of one text costs in proportion to its members,
+    and no link is lost in any group. Chunks are compared in pairs, so no task holds more than two.
     """
-    large = durable(members.groupBy("c").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).where("k > 1"))
-    dealt = members.join(large, "c", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = dealt.select("id", "c", "shingles", F.explode(pairs).alias("t")).select("id", "c", "shingles", "t.*")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, sets = group.column("id").to_numpy(), group.column("shingles").combine_chunks()
+        ids, sets, label = group.column("id").to_numpy(), group.column("shingles").combine_chunks(), group.column("label").to_numpy()
         flat, sizes = sets.flatten().to_numpy(zero_copy_only=False), np.diff(sets.offsets.to_numpy())
         forest = Forest(len(ids))
+        order = np.argsort(label, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(rows) > 1:
+                forest.join(rows[0], rows[1:])
         similar(flat, sizes, jaccard, np.argsort(ids, kind="stable"), forest)
         child, root = forest.edges()
         return pa.table({"a": pa.array(ids[child], pa.int64()), "b": pa.array(ids[root], pa.int64())})
 
-    return in_groups(dealt.groupBy("c", "i", "j"), compare, EDGE)
+    def chunks(n: str) -> Column:
+        return F.ceil(F.col(n) / CHUNK).cast("int")
+
+    def dealt(rows: DataFrame, targets: Column) -> DataFrame:
+        return in_groups(rows.select("id", "c", "shingles", "label", F.explode(targets).alias("t")).groupBy("c", "t"), compare, EDGE)
+
+    def chunk(k: Column) -> Column:
+        return F.pmod(F.xxhash64("id"), k.cast("long")).cast("int")
+
+    def pair(kind: int, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    def upto(k: Column, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), k - 1), make)
+
+    def pairs(own: Column, k: Column) -> Column:
+        return upto(k, lambda j: pair(0, F.least(own, j), F.greatest(own, j)))
+
+    large = durable(members.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+    rows = members.join(large, "c", "left").withColumn("k", F.coalesce(chunks("n"), F.lit(1)))
+    rows = rows.withColumn("own", chunk(F.col("k"))).withColumn("label", F.col("id"))
+    first = durable(dealt(rows, F.array(pair(0, F.col("own"), F.col("own")))))
+    if large.isEmpty():
+        discard(large)
+        return first
+    inside = members.join(large, "c")
+    heads = inside.join(first.select(F.col("a").alias("id")), "id", "left_anti").select("id", "c", "shingles", F.col("id").alias("label"))
+    many = durable(heads.groupBy("c").agg(F.count("*").alias("n")))
+    heads = heads.join(many, "c").withColumn("k", chunks("n")).withColumn("own", chunk(F.col("k")))
+    second = durable(dealt(heads, pairs(F.col("own"), F.col("k"))))
+    together = components(first.unionByName(second))
+    whole = durable(inside.join(together, "id", "left").select("id", "c", "shingles", F.coalesce("component_id", "id").alias("label")))
+    sets = whole.groupBy("c", "label").agg(F.count("*").alias("n")).groupBy("c").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    apart = durable(sets.where("n > most").select("c", "main", "most", (F.col("n") - F.col("most")).alias("rest")))
+    rows = whole.join(apart, "c").withColumns({"km": chunks("most"), "kr": chunks("rest"), "is_main": F.col("label") == F.col("main")})
+    rows = rows.withColumn("own", chunk(F.when(F.col("is_main"), F.col("km")).otherwise(F.col("kr"))))
+    of_main = upto(F.col("kr"), lambda i: pair(1, i, F.col("own")))
+    of_rest = F.concat(pairs(F.col("own"), F.col("kr")), upto(F.col("km"), lambda j: pair(1, F.col("own"), j)))
+    third = durable(dealt(rows, F.when(F.col("is_main"), of_main).otherwise(of_rest)))
+    discard(large, many, whole, apart)
+    return first.unionByName(second).unionByName(third)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFrame:
@@ -223,28 +266,32 @@ def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFra
     tiled comparison of 128-bit SimHash fingerprints of those sets within RADIUS bits, tiles whose set sizes rule a link out being
     skipped; every candidate group is then verified on whole sets. Only texts with equal sets collapse to one before
     that; equal fingerprints are no more than candidates. Texts without
-    words (null, blank) are all kept; of rows with the same id and text one stays; a null doc_id comes after any id.
+    words (null, blank) are all kept; of rows with the same id and text one stays; a null doc_id comes after any id; an
+    empty table gives no rows; other columns stay, whatever their names.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    prints = durable(_prints(keyed.select(F.col("__key").alias("key"), "text"), words))
+    names = docs.columns
+    key = unused("key", names)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    prints = durable(_prints(keyed.select(F.col(key).alias("key"), "text"), words))
     classes = durable(prints.groupBy("same").agg(F.min("key").alias("id"), F.min("fp").alias("fp"), F.min("w").alias("w")))
     reach = int(np.ceil(1000 * np.log(1 / jaccard))) + 1
-    candidates = components(near_links(classes.select("id", "fp", "w"), RADIUS, reach, LANES))
-    candidates = durable(candidates.select("id", F.col("component_id").alias("c")))
-    texts = keyed.select(F.col("__key").alias("id"), "text").join(candidates, "id").dropDuplicates(["id"])
-    linked = components(verified_links(durable(_sets(texts, words)), jaccard))
+    near = components(near_links(classes.select("id", "fp", "w"), RADIUS, reach, LANES))
+    candidates = durable(near.select("id", F.col("component_id").alias("c")))
+    texts = keyed.select(F.col(key).alias("id"), "text").join(if_few(candidates), "id").dropDuplicates(["id"])
+    sets = durable(_sets(texts, words))
+    linked = components(verified_links(sets, jaccard))
     whole = durable(classes.join(linked, "id", "left").select("same", F.coalesce("component_id", "id").alias("c")))
-    of = prints.select("key", "same").distinct().join(whole, "same").select(F.col("key").alias("__key"), "c")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("__key"))
-    member = durable(keyed.select("doc_id", "__key").distinct().join(of, "__key").select("__key", "c", order.alias("o")))
-    first = durable(member.groupBy("c").agg(F.min("o").alias("o")).select(F.col("o.__key").alias("__key")))
-    later = durable(member.select("__key").join(first, "__key", "left_anti"))
-    kept = keyed.join(later, "__key", "left_anti")
-    return one_of_each(kept).select(*docs.columns)
-
-
-def one_of_each(keyed: DataFrame) -> DataFrame:
-    """Of rows that share a __key (the same id and text) only one; rows whose __key is unique aren't shuffled with their text."""
-    twice = durable(keyed.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
-    single = keyed.join(twice, "__key", "left_anti")
-    return single.unionByName(keyed.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    of = prints.select("key", "same").distinct().join(whole, "same").select("key", "c")
+    member = durable(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).distinct().join(of, "key").select("key", "c", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("key").alias("k")).alias("o")))
+    first = durable(member.groupBy("c").agg(F.min("o").alias("o")).select(F.col("o.k").alias("key")))
+    later = durable(member.select("key").join(first, "key", "left_anti").select(F.col("key").alias(key)))
+    discard(prints, classes, candidates, sets, whole, member, first)
+    return one_of_each(keyed.join(if_few(later), key, "left_anti"), key).select(*names)
+
+
+def one_of_each(keyed: DataFrame, key: str) -> DataFrame:
+    """Of rows that share a key (the same id and text) only one; where no rows do, none is shuffled with its text."""
+    twice = durable(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if twice.isEmpty():
+        return keyed
+    return keyed.join(twice, key, "left_anti").unionByName(keyed.join(twice, key, "left_semi").dropDuplicates([key]))

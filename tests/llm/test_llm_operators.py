@@ -120,6 +120,25 @@ def test_near_dedup_other_repeats(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, rows)).collect()) == [10 * k for k in range(6)]
 
 
+@pytest.mark.parametrize("loose", [False, True])
+def test_verified_links_of_large_groups(spark, monkeypatch, loose):
+    """Chunks, heads and what is left over give the components of all pairs of a group, whether it holds one text's copies or many."""
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    rng = random.Random(4)
+    rows = []
+    for c in range(3):
+        for base in range(6 if loose else 1):
+            whole = list(range(1000 * base, 1000 * base + 60))
+            for k in range(8 if loose else 40):
+                gone = set(rng.sample(whole, rng.randrange(14)))
+                rows.append((len(rows), c, sorted(set(whole) - gone)))
+    edges = [(a, b) for (a, c, x), (b, d, y) in combinations(rows, 2) if c == d and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))]
+    members = spark.createDataFrame(rows, "id long, c long, shingles array<long>").repartition(3)
+    got = [(r.a, r.b) for r in simhash.verified_links(members, 0.8).collect()]
+    ids = [r[0] for r in rows]
+    assert components_of(ids, got) == components_of(ids, edges)
+
+
 def test_substring(spark):
     rng = random.Random(5)
     sentence = lambda: " ".join(words(rng, 9, 5000)).capitalize() + "."
@@ -142,6 +161,38 @@ def test_substring(spark):
     assert substring.substring_dedup(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block, ranges", [(None, None), (12, 9)])
+def test_substring_brute_force(spark, monkeypatch, block, ranges):
+    """Every run by its words, its first place by (doc_id, place), and the sentences that the other places cover, whatever the blocks."""
+    if block:
+        monkeypatch.setattr(substring, "BLOCK", block)
+        monkeypatch.setattr(substring, "RANGE", ranges)
+    rng = random.Random(11)
+    stock = [" ".join(words(rng, rng.choice((3, 7, 11, 24)), 5000)).capitalize() + "." for _ in range(25)]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(rng.randrange(12)))) for i in range(60)] + [(70, None), (71, "")]
+    first, found = {}, []
+    for i, t in rows:
+        parts = [b" ".join(p) for p in substring.units((t or "").encode())[1]]
+        n, spans = len(parts), set()
+        enough = lambda a, b: b - a >= substring.SENTENCES and sum(len(p.split()) for p in parts[a:b]) >= substring.WORDS  # noqa: B023, E731
+        for a in range(n):
+            spans |= {(a, b) for b in range(a + 1, n + 1) if enough(a, b) and not enough(a, b - 1)}
+            spans |= {(x, a + 1) for x in range(a + 1) if enough(x, a + 1) and not enough(x + 1, a + 1)}
+        for a, b in sorted(spans):
+            run = b" ".join(parts[a:b]), b - a
+            first.setdefault(run, (i, a))
+            found.append((run, i, a, b))
+    gone = {}
+    for run, i, a, b in found:
+        if first[run] != (i, a):
+            gone.setdefault(i, set()).update(range(a, b))
+    assert len(gone) > 10
+    for r in substring.substring_dedup(docs_of(spark, rows)).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.n_removed == len(gone.get(r.doc_id, ()))
+        assert r.text == (text if text is None else substring.cut(text.encode(), list(gone.get(r.doc_id, ()))).decode())
+
+
 def test_substring_inside_sentences(spark):
     """Passages of over 50 words within longer sentences, after other lead-ins and before other tails."""
     rng = random.Random(7)
@@ -378,12 +429,31 @@ def test_decontamination(spark, texts):
     for block in (decontam.BLOCK_WORDS, 20):
         got = decontam.contamination(docs_of(spark, rows), bench, block_words=block).drop("spans")
         assert Counter(tuple(r) for r in got.collect()) == want
-    kept = Counter(r.doc_id for r in decontam.remove(docs_of(spark, rows), bench).collect())
-    assert kept == Counter({i: n for i, n in Counter(k[0] for k, c in want.items() for _ in range(c) if not k[5]).items()})
+    clean = Counter({i: n for i, n in Counter(k[0] for k, c in want.items() for _ in range(c) if not k[5]).items()})
+    texts_left = []
+    for block in (decontam.BLOCK_WORDS, 20):
+        kept = decontam.remove(docs_of(spark, rows), bench, block_words=block)
+        assert kept.columns == docs_of(spark, []).columns and Counter(r.doc_id for r in kept.collect()) == clean
+        cut = {(r.doc_id, r.text) for r in decontam.remove(docs_of(spark, rows), bench, block_words=block, whole=False).collect()}
+        texts_left.append(cut)
+        assert (400, "x ! y") in cut and (403, "") in cut and (100, None) in cut
+    assert texts_left[0] == texts_left[1]
+    assert decontam.remove(docs_of(spark, []), bench, block_words=20, whole=False).count() == 0
     assert decontam.contamination(docs_of(spark, []), bench).count() == 0
     assert decontam.contamination(docs_of(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [10**6, 14])
+def test_overlapping_items_are_cut_once(spark, block):
+    """Windows of two items overlap: in one block or two, nothing of either is left."""
+    w = [f"w{k}" for k in range(19)]
+    bench = spark.createDataFrame([("a", " ".join(w[:13])), ("b", " ".join(w[6:]))], "item_id string, text string")
+    docs = docs_of(spark, [(1, "before " + " ".join(w) + " after"), (2, " ".join(w[:12])), (None, None)])
+    got = {r.doc_id: r.text for r in decontam.remove(docs, bench, block_words=block, whole=False).collect()}
+    assert got == {1: "before  after", 2: " ".join(w[:12]), None: None}
+    assert sorted(str(r.doc_id) for r in decontam.remove(docs, bench, block_words=block).collect()) == ["2", "None"]
+
+
 def test_licenses(spark):
     rows = [(1, "CC BY-NC 4.0; cc by. All Rights-Reserved"), (2, None), (3, ""), (4, "Released under the MIT License."), (5, "the GNU General Public License, version 3"), (6, "general public"), (7, "éall rights reserved"), (8, "cc by cc by"), (None, "all rights reserved"), (4, "Released under the MIT License."), (9, "w " * 30000 + "cc by")]
     got = {}

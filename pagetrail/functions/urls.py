@@ -160,13 +160,25 @@ def is_blocked_address(ip: Column) -> Column:
     return F.coalesce(is_blocked_ipv4(ip), F.when(F.contains(ip, F.lit(":")), _blocked_v6(ip)))
 
 
-def url_policy(url: Column, ipv6: bool = False) -> Column:
-    """ok, or why a url may not be fetched. Null counts as empty. ipv6: also judge IPv6 literals (by a pandas function)."""
+def is_blocked_ipv6(ip: Column) -> Column:
+    """Whether an IPv6 literal isn't global unicast (2000::/3 without the ranges kept for special use); null if there is no colon. What can't be read is blocked.
+
+    A 6to4 address (2002::/16) is judged by the IPv4 address that it carries.
+    """
+    low = F.lower(ip)
+    carried = [F.conv(F.regexp_extract(low, r"^2002:([0-9a-f]{1,4}):([0-9a-f]{1,4})(?::|$)", k), 16, 10).cast("int") for k in (1, 2)]
+    quad = F.concat_ws(".", *(f(c).cast("string") for c in carried for f in (lambda c: F.shiftright(c, 8), lambda c: c.bitwiseAND(255))))
+    plain = low.rlike(r"^[23][0-9a-f]{3}:[0-9a-f:]*$") & ~low.rlike(r"^(?:2001:(?:0{0,3}[0-9a-f]{0,1}:|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:|0?db8:|:)|2002:|3fff:)")
+    return F.when(F.contains(ip, F.lit(":")), ~plain & F.coalesce(is_blocked_ipv4(quad), F.lit(True)))
+
+
+def url_policy(url: Column) -> Column:
+    """ok, or why a url may not be fetched. Null counts as empty; IPv6 literals are judged as all others."""
     u = py_strip(F.coalesce(url, F.lit("")))
     kind, name = scheme(u), host(u)
     bare = F.regexp_replace(name, r"\.+$", "")
     blocked_name = one_of(bare, (*METADATA_HOSTS, "localhost", "localhost.localdomain")) | bare.endswith(".localhost")
-    address = is_blocked_address(name) if ipv6 else is_blocked_ipv4(name)
+    address = F.coalesce(is_blocked_ipv4(name), is_blocked_ipv6(F.regexp_replace(name, r"^\[|\]$", "")))
     return (
         F.when(u == "", "empty_url")
         .when(one_of(kind, REJECTED_SCHEMES), F.concat(F.lit("rejected_scheme:"), kind))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import itertools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from pagetrail.functions import html as H
 from pagetrail.functions import text as T
 from pagetrail.functions import urls as U
 from pagetrail.schema import EXTRACTOR_VERSION
+from pagetrail.session import durable
 
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 HIT = "struct<type:string,value:string,display:string,snippet:string,sensitive:boolean,extractor:string,extractor_rank:int,kind_rank:int,pos:int>"
@@ -182,25 +187,63 @@ def subject_terms(subjects: DataFrame) -> DataFrame:
 TOKEN_KINDS = {"NAME": ("NAME", 0), "CITY": ("LOCATION", 1), "COUNTRY": ("LOCATION", 1), "EMPLOYER": ("EMPLOYER", 2), "USERNAME": ("USERNAME", 3), "DOMAIN": ("URL", 4)}
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of three characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda k: F.substring(text, k, F.lit(3))))
+#: Terms that are looked for in one pass over the texts; more terms take further passes, one block of them held at a time.
+BLOCK_TERMS = 200_000
 
 
-def term_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def _in_blocks(needles: DataFrame, most: int) -> Iterator[list[str]]:
+    block = []
+    for r in needles.toLocalIterator():
+        block.append(r[0])
+        if len(block) == most:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _holding(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """texts(source_id, low) to (source_id, needle): the needles of the block that a text holds, each once, by one walk over its characters."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle in shared.value:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, held = [], []
+            for key, low in zip(batch.column("source_id").to_pylist(), batch.column("low").to_pylist()):
+                own = {needle for _, needle in automaton.iter(low)} if low else ()
+                held += own
+                ids += [key] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(held, pa.string())], names=["source_id", "needle"])
+
+    return texts.mapInArrow(run, "source_id string, needle string")
+
+
+def term_matches(texts: DataFrame, terms: DataFrame, block: int = BLOCK_TERMS) -> DataFrame:
     """texts(source_id, text), terms(subject_id, kind, value, norm) to the pairs whose text holds the term (case-insensitive, three characters or more).
 
-    A substring join without a nested loop: a text that holds a term holds its rarest run of three characters, so both
-    sides meet on that run, and only those pairs are tested. How rare runs are is counted over all texts.
+    A substring join without a nested loop: the distinct terms become one automaton, which every text is walked through
+    once, so the time is that of reading the texts and writing the pairs. Terms beyond `block` take further passes.
+    Null texts hold nothing; a text holds a term once, however often it stands there.
     """
-    low = texts.select("source_id", F.lower("text").alias("low"))
+    spark = texts.sparkSession
+    low = texts.select(F.col("source_id").cast("string").alias("source_id"), F.lower("text").alias("low"))
     wanted = terms.where(F.length("value") >= 3).select("subject_id", "kind", "value", F.lower("value").alias("needle"))
-    needles = wanted.select("needle").distinct().withColumn("gram", F.explode(grams(F.col("needle"))))
-    here = low.select("source_id", F.explode(grams(F.col("low"))).alias("gram")).join(needles.select("gram").distinct(), "gram", "left_semi")
-    counts = here.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = needles.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = here.join(rarest, "gram").select("source_id", "needle").distinct()
-    held = pairs.join(low, "source_id").where(F.contains("low", F.col("needle"))).select("source_id", "needle")
+    blocks = _in_blocks(wanted.select("needle").distinct(), block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        held = _holding(low, spark.sparkContext.broadcast(first))
+    else:
+        parts = []
+        for needles in itertools.chain([first, second], blocks):
+            shared = spark.sparkContext.broadcast(needles)
+            parts.append(durable(_holding(low, shared)))
+            shared.destroy()
+        held = functools.reduce(DataFrame.unionByName, parts)
     return held.join(wanted, "needle").select("source_id", "subject_id", "kind", "value")
 
 
@@ -225,7 +268,7 @@ def first_wins(hits: DataFrame) -> DataFrame:
 
 
 def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """All observations of parsed pages, de-duplicated, as observation rows with deterministic ids.
+    """All observations of parsed pages, de-duplicated, as observation rows with deterministic ids; seen_at orders those of a source as they were found.
 
     Page facts have no subject and are found once per page; subject rows come from terms. extra: functions from the
     parsed pages to further hits with FIELDS, checked against them. A subject's row gives way to an equal page fact.
@@ -242,7 +285,7 @@ def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[
         own = own.join(hits.select("source_id", "type", "value"), ["source_id", "type", "value"], "left_anti").select(*FIELDS)
         hits = hits.unionByName(own)
     key = F.sha2(F.concat_ws("|", "source_id", F.coalesce("subject_id", F.lit("")), "type", "value"), 256)
-    return hits.select(key.alias("obs_id"), "source_id", "subject_id", "type", F.col("value").alias("value_normalized"), F.col("display").alias("display_value"), F.col("snippet").alias("evidence_snippet"), "extractor", F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.col("sensitive").alias("is_sensitive"))
+    return hits.select(key.alias("obs_id"), "source_id", "subject_id", "type", F.col("value").alias("value_normalized"), F.col("display").alias("display_value"), F.col("snippet").alias("evidence_snippet"), "extractor", F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.col("sensitive").alias("is_sensitive"), F.struct("extractor_rank", "kind_rank", "pos").alias("seen_at"))
 
 
 def script_shells(pages: DataFrame, obs: DataFrame, least: int = 400) -> DataFrame:

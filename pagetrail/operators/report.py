@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import text as T
 from pagetrail.schema import ACTIONABLE, VERSIONS
 
 
+def _seen(obs: DataFrame) -> Column:
+    """Where an observation stands in the order in which a source's were found; null where the table doesn't say."""
+    return (F.col("seen_at") if "seen_at" in obs.columns else F.lit(None).cast("int")).alias("seen_at")
+
+
 def _sure() -> Column:
     return F.coalesce(T.is_actionable(F.col("match_state")), F.lit(False))
 
@@ -62,10 +67,17 @@ def progress_pct(phase: Column) -> Column:
 
 
 def page_cards(findings: DataFrame, sources: DataFrame, obs: DataFrame) -> DataFrame:
-    """One row per (subject, source): url, domain, title, the highest priority, identity, the distinct values found, in the order of work (work_order)."""
-    each = findings.select("subject_id", "source_id", "category", F.explode("observation_ids").alias("obs_id")).join(obs.select("obs_id", "display_value", "is_sensitive"), "obs_id")
-    items = each.groupBy("subject_id", "source_id").agg(F.array_sort(F.collect_set(F.struct("category", F.col("display_value").alias("value"), F.col("is_sensitive").alias("sensitive")))).alias("items"))
-    cards = findings.groupBy("subject_id", "source_id").agg(F.max(T.severity_rank(F.col("overall_priority"))).alias("_rank"), F.max_by("match_state", "finding_id").alias("identity_state"), F.max_by("identity_confidence", "finding_id").alias("identity_confidence"), F.count("*").alias("n_findings"))
+    """One row per (subject, source): url, domain, title, the highest priority, identity, the distinct values found, in the order of work (work_order).
+
+    The identity is that of the newest finding (created_at, if findings have it; ties by finding_id); items stand in the
+    order in which they were first seen (seen_at, if observations have it, then obs_id).
+    """
+    at = F.col("created_at") if "created_at" in findings.columns else F.lit(None).cast("timestamp")
+    each = findings.select("subject_id", "source_id", "category", F.explode("observation_ids").alias("obs_id")).join(obs.select("obs_id", "display_value", "is_sensitive", _seen(obs)), "obs_id")
+    first = each.groupBy("subject_id", "source_id", "category", "display_value", "is_sensitive").agg(F.min(F.struct("seen_at", "obs_id")).alias("seen"))
+    listed = F.array_sort(F.collect_list(F.struct("seen", "category", F.col("display_value").alias("value"), F.col("is_sensitive").alias("sensitive"))))
+    items = first.groupBy("subject_id", "source_id").agg(F.transform(listed, lambda x: F.struct(x["category"].alias("category"), x["value"].alias("value"), x["sensitive"].alias("sensitive"))).alias("items"))
+    cards = findings.groupBy("subject_id", "source_id").agg(F.max(T.severity_rank(F.col("overall_priority"))).alias("_rank"), F.max_by("match_state", F.struct(at, "finding_id")).alias("identity_state"), F.max_by("identity_confidence", F.struct(at, "finding_id")).alias("identity_confidence"), F.count("*").alias("n_findings"))
     out = cards.join(sources.select("source_id", "url", "registrable_domain", "title"), "source_id").join(items, ["subject_id", "source_id"], "left")
     review = ~F.coalesce(F.col("identity_state").isin(*ACTIONABLE), F.lit(False))
     return out.select("subject_id", "source_id", "url", "registrable_domain", "title", T.severity_of(F.col("_rank")).alias("priority"), "identity_state", "identity_confidence", review.alias("needs_review"), "n_findings", "items", (F.when(review, 0).otherwise(10) + 4 - F.col("_rank")).alias("work_order"))
@@ -88,13 +100,21 @@ def board_counts(board: DataFrame) -> DataFrame:
     return board.rollup("lane").agg(F.count("*").alias("n_cases"))
 
 
+#: A report of an evaluation lists at most so many offenders.
+MOST_OFFENDERS = 100
+
+
 def evaluate(matches: DataFrame, labels: DataFrame) -> DataFrame:
-    """matches(subject_id, key, state), labels(subject_id, key, is_match, tag): tp, fp, fn, precision, recall of auto-confirmed matches, overall (tag null) and by tag."""
+    """matches(subject_id, key, state), labels(subject_id, key, is_match, tag): tp, fp, fn, precision, recall of auto-confirmed matches, overall (tag null) and by tag; offenders: the keys of false positives, sorted, MOST_OFFENDERS at most."""
     rows = labels.join(matches.select("subject_id", "key", "state"), ["subject_id", "key"], "left")
     sure = F.coalesce(F.col("state").isin(*ACTIONABLE), F.lit(False))
-    rows = rows.select("tag", "is_match", sure.alias("sure"))
+    rows = rows.select("tag", "is_match", sure.alias("sure"), F.concat_ws("|", "subject_id", "key").alias("pair"))
     out = rows.rollup("tag").agg(F.count_if(F.col("sure") & F.col("is_match")).alias("tp"), F.count_if(F.col("sure") & ~F.col("is_match")).alias("fp"), F.count_if(~F.col("sure") & F.col("is_match")).alias("fn"))
-    return out.select("*", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))
+    wrong = rows.where("sure AND NOT is_match").select("tag", "pair")
+    listed = wrong.unionByName(wrong.withColumn("tag", F.lit(None).cast("string"))).withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("pair"))).where(F.col("n") <= MOST_OFFENDERS)
+    named = listed.groupBy("tag").agg(F.array_sort(F.collect_list("pair")).alias("offenders"))
+    out = out.join(named.withColumnRenamed("tag", "_tag"), F.col("tag").eqNullSafe(F.col("_tag")), "left").drop("_tag")
+    return out.select("tag", "tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.coalesce("offenders", F.array().cast("array<string>")).alias("offenders"))
 
 
 def state_distribution(matches: DataFrame) -> DataFrame:
@@ -122,8 +142,9 @@ def packets(findings: DataFrame, sources: DataFrame, obs: DataFrame, snippets: i
 
 
 def finding_observations(findings: DataFrame, obs: DataFrame) -> DataFrame:
-    each = findings.select("finding_id", F.explode("observation_ids").alias("obs_id")).join(obs.select("obs_id", "type", "display_value", "evidence_snippet", "is_sensitive"), "obs_id")
-    return each.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("obs_id", "type", "display_value", "evidence_snippet", "is_sensitive"))).alias("observations"))
+    each = findings.select("finding_id", F.explode("observation_ids").alias("obs_id")).join(obs.select("obs_id", "type", "display_value", "evidence_snippet", "is_sensitive", _seen(obs)), "obs_id")
+    listed = F.array_sort(F.collect_list(F.struct("seen_at", "obs_id", "type", "display_value", "evidence_snippet", "is_sensitive")))
+    return each.groupBy("finding_id").agg(F.transform(listed, lambda o: o.dropFields("seen_at")).alias("observations"))
 
 
 def validate_explanations(rows: DataFrame) -> DataFrame:

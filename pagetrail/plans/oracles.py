@@ -156,7 +156,7 @@ ORACLES = {
     "i10_plan_queries": f"""WITH c AS (SELECT *, '"' || seg || ' ' || cust || '"' AS q FROM ({CUSTOMERS})), t AS (SELECT k AS subject_id, UNNEST([{{'position': 0, 'text': q, 'rationale': 'name'}}, {{'position': 1, 'text': q || ' Springfield', 'rationale': 'name+location'}}, {{'position': 2, 'text': q || ' ' || country, 'rationale': 'name+location'}}, {{'position': 3, 'text': q || ' ' || seg || ' Works', 'rationale': 'name+employer'}}, {{'position': 4, 'text': q, 'rationale': 'name+pdf'}}, {{'position': 5, 'text': '"user' || k || '"', 'rationale': 'username'}}, {{'position': 6, 'text': 'site:c' || k || '.example.org', 'rationale': 'owned-domain'}}, {{'position': 7, 'text': '"c' || k || '@Mail.Example.com"', 'rationale': 'email'}}], recursive := true) FROM c) SELECT subject_id, position, text, rationale = 'email' AS sensitive, rationale, CASE WHEN rationale = 'owned-domain' THEN text[6:] END AS site, CASE WHEN rationale = 'name+pdf' THEN 'pdf' END AS filetype, text || CASE WHEN rationale = 'name+pdf' THEN ' filetype:pdf' ELSE '' END AS rendered FROM t""",
     "i11_runnable": "SELECT CAST(c_custkey AS VARCHAR) AS subject_id, 8 - c_custkey % 2 AS n_queries, 1 - c_custkey % 2 AS n_sensitive FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "e7_scan_stats": "WITH e AS (SELECT *, user_id % 40 AS s FROM events), g AS (SELECT s, COUNT(*) AS queries_planned, COUNT(*) FILTER (event_id % 10 <> 0) AS queries_run, COUNT(*) FILTER (event_id % 10 = 0) AS sensitive_skipped, COUNT(*) AS candidates, COUNT(*) FILTER (event_id % 3 = 0) AS retrieved, COUNT(*) FILTER (event_id % 3 = 1) AS blocked, COUNT(*) FILTER (event_id % 3 = 2) AS failed, CAST(COALESCE(SUM(event_id) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS bytes_downloaded, COUNT(*) FILTER (event_id % 4 = 0) AS findings FROM e GROUP BY s) SELECT CAST(s AS VARCHAR) AS scan_id, * EXCLUDE (s), CASE WHEN s < 5 THEN 'web_timeout' ELSE '' END AS provider_errors, CASE WHEN s < 5 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, 99 AS progress FROM g",
-    "l1_sql_functions": f"SELECT doc_id, {redacted('left(text, 4000)')} AS redacted, {severity('LEAST(1 + doc_id % 5, 4)')} AS bumped, 'u' || repeat('•', CAST(length('user' || doc_id) - 1 AS INT)) || '@example.com' AS masked FROM documents",
+    "l1_sql_functions": f"SELECT doc_id, {redacted('text')} AS redacted, {severity('LEAST(1 + doc_id % 5, 4)')} AS bumped, 'u' || repeat('•', CAST(length('user' || doc_id) - 1 AS INT)) || '@example.com' AS masked FROM documents",
     "k2_scan_progress_stream": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 's1' AS scan_id, COUNT(*) AS candidates, COUNT(*) FILTER (event_id % 3 = 0) AS retrieved, COUNT(*) FILTER (event_id % 3 <> 0) AS blocked, CAST(COALESCE(SUM(event_id) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS bytes_downloaded FROM events GROUP BY 1",
     "k4_first_sights_stream": f"SELECT DISTINCT {canonical('url')} AS canonical_url FROM pages",
 }

@@ -37,10 +37,9 @@ def scan(pages: DataFrame, subjects: DataFrame, extra=(), public_suffixes: DataF
     the others keep a source row with their status. Subjects meet pages by joins on identifiers. Raw pages end here.
     """
     found = sources_of(pages, public_suffixes).dropDuplicates(["source_id"])
-    parsed = extract.parse_pages(found.where("status = 'RETRIEVED'").select("source_id", "html", "content_type")).persist()
+    parsed = durable(extract.parse_pages(found.where("status = 'RETRIEVED'").select("source_id", "html", "content_type")))
     terms = durable(extract.subject_terms(subjects))
     obs = durable(extract.observations(parsed, terms, list(extra)))
-    parsed.unpersist()
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("title"))
     sources = durable(found.drop("html").join(titles, "source_id", "left"))
     matches = durable(resolve.resolve(sources, obs, terms))

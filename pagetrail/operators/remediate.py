@@ -86,6 +86,18 @@ def routes(findings: DataFrame, subjects: DataFrame, registry: DataFrame, today:
     return chosen.unionByName(last)
 
 
+# The wording of the drafts, by route, with what fills it; the publisher's is for all other routes.
+_TO_CONTROLLER = "To: the data controller of %s\nSubject: Request to {0} my personal data\n\nDear Sir or Madam,\n\nI am %s. The page at %s contains my personal data (%s). I request that you {0} this personal data.\n\nPlease confirm the action taken and the date. Thank you.\n\n%s"
+BODIES = {
+    "SEARCH_DELIST": ("Use the official tool at %s to request removal of the search result at:\n\n    %s\n\nIt exposes your %s. Note: delisting affects search results only and does not delete the content from the hosting site.", ("to", "url", "detail")),
+    "SOURCE_OPT_OUT": ("Submit a deletion request through %s. A single verified request covers registered data brokers, which makes your %s harder to find across many broker listings at once.", ("to", "detail")),
+    "SOURCE_DELETE": (_TO_CONTROLLER.format("erase"), ("domain", "name", "url", "detail", "name")),
+    "SOURCE_CORRECT": (_TO_CONTROLLER.format("correct"), ("domain", "name", "url", "detail", "name")),
+    "USER_CONTROLLED_REMOVE": ("This information is on a source you control (%s). Sign in and edit or remove the %s on your profile or page at:\n\n    %s\n\nThis is usually the fastest and most reliable fix.", ("domain", "detail", "url")),
+    "NO_ACTION_AVAILABLE": ("The page at %s appears to be a lawful public record or public-interest source. There may be no available route to remove it, which is an acceptable outcome. You may still request search delisting to reduce how easily it is found.", ("url",)),
+    "CONTACT_PUBLISHER": ("To: the owner of %s (see its /contact or /privacy page)\n\nHello,\n\nThe page at %s includes my personal information (%s). Would you please remove it? I am the person referenced. Thank you for considering this request.\n\n%s", ("domain", "url", "detail", "name")),
+}
+LINES = {"SEARCH_DELIST": "Remove a search result about me", "SOURCE_OPT_OUT": "Data-broker deletion request", "SOURCE_DELETE": "Request to erase my personal data", "SOURCE_CORRECT": "Request to correct my personal data", "USER_CONTROLLED_REMOVE": "Remove information you control", "CONTACT_PUBLISHER": "Request to remove my personal information", "NO_ACTION_AVAILABLE": "No removal action available"}
 DISCLAIMER = "A draft for you to review and send yourself; not legal advice."
 
 
@@ -96,21 +108,16 @@ def drafts(cases: DataFrame, findings: DataFrame, sources: DataFrame, subjects:
     entry = registry.select(F.col("id").alias("registry_route_id"), "route_type", F.coalesce(F.nullif("portal_url", F.lit("")), "official_url", F.lit("")).alias("to"), "required_inputs", "side_effects", "informational")
     rows = rows.join(entry, "registry_route_id", "left")
     kind, detail = F.coalesce("route_type", F.lit("NO_ACTION_AVAILABLE")), F.lower(F.replace("category", F.lit("_"), F.lit(" ")))
-    say = lambda text, *c: F.format_string(text, *c)
     url, domain, name, to = F.col("url"), F.col("registrable_domain"), F.col("name"), F.col("to")
-    # The wording of the drafts.
     none = F.array().cast("array<string>")
-    verb = F.when(kind == "SOURCE_DELETE", "erase").otherwise("correct")
-    body = (
-        F.when(kind == "SEARCH_DELIST", say("Use the official tool at %s to request removal of the search result at:\n\n    %s\n\nIt exposes your %s. Note: delisting affects search results only and does not delete the content from the hosting site.", to, url, detail))
-        .when(kind == "SOURCE_OPT_OUT", say("Submit a deletion request through %s. A single verified request covers registered data brokers, which makes your %s harder to find across many broker listings at once.", to, detail))
-        .when(kind.isin("SOURCE_DELETE", "SOURCE_CORRECT"), say("To: the data controller of %s\nSubject: Request to %s my personal data\n\nDear Sir or Madam,\n\nI am %s. The page at %s contains my personal data (%s). I request that you %s this personal data.\n\nPlease confirm the action taken and the date. Thank you.\n\n%s", domain, verb, name, url, detail, verb, name))
-        .when(kind == "USER_CONTROLLED_REMOVE", say("This information is on a source you control (%s). Sign in and edit or remove the %s on your profile or page at:\n\n    %s\n\nThis is usually the fastest and most reliable fix.", domain, detail, url))
-        .when(kind == "NO_ACTION_AVAILABLE", say("The page at %s appears to be a lawful public record or public-interest source. There may be no available route to remove it, which is an acceptable outcome. You may still request search delisting to reduce how easily it is found.", url))
-        .otherwise(say("To: the owner of %s (see its /contact or /privacy page)\n\nHello,\n\nThe page at %s includes my personal information (%s). Would you please remove it? I am the person referenced. Thank you for considering this request.\n\n%s", domain, url, detail, name))
-    )
-    line = literal_map({"SEARCH_DELIST": "Remove a search result about me", "SOURCE_OPT_OUT": "Data-broker deletion request", "SOURCE_DELETE": "Request to erase my personal data", "SOURCE_CORRECT": "Request to correct my personal data", "USER_CONTROLLED_REMOVE": "Remove information you control", "CONTACT_PUBLISHER": "Request to remove my personal information", "NO_ACTION_AVAILABLE": "No removal action available"})
-    return rows.select("case_id", kind.alias("route"), F.when(kind == "NO_ACTION_AVAILABLE", "").otherwise(to).alias("destination_url"), F.try_element_at(line, kind).alias("subject_line"), body.alias("body"), F.coalesce("required_inputs", none).alias("required_inputs"), F.coalesce("side_effects", none).alias("side_effects"), F.coalesce("informational", F.lit(True)).alias("informational"), F.lit(DISCLAIMER).alias("disclaimer"), F.lit(TEMPLATE_VERSION).alias("template_version"))
+    told = {"to": to, "url": url, "domain": domain, "name": name, "detail": detail}
+    body = F.lit(None).cast("string")
+    for of, (wording, values) in BODIES.items():
+        body = F.when(kind == of, F.format_string(wording, *(told[v] for v in values))).otherwise(body)
+    wording, values = BODIES["CONTACT_PUBLISHER"]
+    body = F.coalesce(body, F.format_string(wording, *(told[v] for v in values)))
+    line = literal_map(LINES)
+    return rows.select("case_id", kind.alias("route"), F.when(kind == "NO_ACTION_AVAILABLE", "").otherwise(to).alias("destination_url"), F.try_element_at(line, kind).alias("subject_line"), body.alias("body"), F.coalesce("required_inputs", none).alias("required_inputs"), F.coalesce("side_effects", F.lit("")).alias("side_effects"), F.coalesce("informational", F.lit(True)).alias("informational"), F.lit(DISCLAIMER).alias("disclaimer"), F.lit(TEMPLATE_VERSION).alias("template_version"))
 
 
 def transitions(spark: SparkSession) -> DataFrame:

@@ -54,6 +54,10 @@ def pick(values, by: str) -> str:
     return f"{strings(values)}[CAST({by} AS BIGINT) % {len(values)} + 1]"
 
 
+def mapping(of: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{_q(k)}' THEN '{_q(v)}'" for k, v in of.items()) + " END"
+
+
 def severity(rank: str) -> str:
     return f"{strings(SEVERITIES)}[CAST({rank} AS INT) + 1]"
 

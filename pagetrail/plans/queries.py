@@ -157,10 +157,6 @@ def b15_name_match(spark, sf_dir):
     return c.select("subject_id", T.name_match(F.concat(F.lit("Customer "), F.col("names")[0]["value"]), F.transform("names", lambda n: n["value"])).alias("self"), T.name_match(F.lit("Building Customer000000001"), F.transform("names", lambda n: n["value"])).alias("first"))
 
 
-def b17_page_topics(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.page_topic_name(F.regexp_replace(H.title(F.col("html")), "^(\\w+) (\\w+).*$", "$1 X$2 - Site")).alias("topic"))
-
-
 def b20_severities(spark, sf_dir):
     s = F.element_at(F.array(*map(F.lit, T.SEVERITIES)), (F.col("l_linenumber") % 5 + 1).cast("int"))
     t = F.element_at(F.array(*map(F.lit, T.SEVERITIES)), (F.col("l_orderkey") % 5 + 1).cast("int"))
@@ -273,33 +269,6 @@ def d2_i5_matches(spark, sf_dir):
     return m.select("subject_id", "canonical_url", "state", "confidence", F.size("supporting").alias("n_supporting"), F.size("contradicting").alias("n_contradicting"))
 
 
-def e6_scan_quality(spark, sf_dir):
-    s = _scan(spark, sf_dir)
-    return report.scan_quality(s.findings, s.sources, s.observations)
-
-
-def f7_page_cards(spark, sf_dir):
-    s = _scan(spark, sf_dir)
-    cards = report.page_cards(s.findings, s.sources, s.observations)
-    return cards.select("subject_id", "url", "priority", "identity_state", "needs_review", "n_findings", F.size("items").alias("n_items"), "work_order")
-
-
-def i9_explanations(spark, sf_dir):
-    s = _scan(spark, sf_dir)
-    return assess.explain(s.findings, s.matches)
-
-
-def i21_packets(spark, sf_dir):
-    s = _scan(spark, sf_dir)
-    return report.packets(s.findings, s.sources, s.observations)
-
-
-def d6_finding_details(spark, sf_dir):
-    s = _scan(spark, sf_dir)
-    d = report.finding_details(s.findings, s.sources, s.matches, s.observations)
-    return d.select("finding_id", "url", "registrable_domain", F.size("observations").alias("n_observations"), F.size("supporting").alias("n_supporting"))
-
-
 def i23_reports(spark, sf_dir):
     s = _scan(spark, sf_dir)
     cases = s.findings.select(F.sha2("finding_id", 256).alias("case_id"), "finding_id", F.lit("SEARCH_DELIST").alias("route"), F.lit("VERIFIED").alias("state"))
@@ -340,14 +309,6 @@ def i12_routes(spark, sf_dir):
     return remediate.routes(rated(spark, sf_dir), tables.clean_subjects(customers(spark, sf_dir)), remediate.default_registry(spark), today)
 
 
-def i13_drafts(spark, sf_dir):
-    f = rated(spark, sf_dir)
-    ids = [r[0] for r in remediate.DEFAULT_REGISTRY] + ["none"]
-    cases = f.select(F.concat(F.lit("c"), "finding_id").alias("case_id"), "finding_id", F.element_at(F.array(*map(F.lit, ids)), (F.col("finding_id").cast("long") % len(ids) + 1).cast("int")).alias("registry_route_id"))
-    sources = f.select("source_id").distinct().select("source_id", F.concat(F.lit("https://example.com/"), "source_id").alias("url"), F.lit("example.com").alias("registrable_domain"))
-    return remediate.drafts(cases, f, sources, tables.clean_subjects(customers(spark, sf_dir)), remediate.default_registry(spark)).select("case_id", "route", "destination_url", "subject_line", F.sha2("body", 256).alias("body"))
-
-
 def i15_transitions(spark, sf_dir):
     e = case_events(spark, sf_dir).select("event_id", F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % 13 + 1).cast("int")).alias("state"), F.col("target_state").alias("target"))
     return remediate.allowed_events(e, spark).select("event_id", "state", "target")
@@ -357,10 +318,6 @@ def i16_case_fold(spark, sf_dir):
     return remediate.fold_case_events(case_events(spark, sf_dir)).select("case_id", "state", "n_applied", "n_rejected")
 
 
-def i19_e10_board(spark, sf_dir):
-    return report.board_counts(remediate.cleanup_board(remediate.fold_case_events(case_events(spark, sf_dir))))
-
-
 def f10_timelines(spark, sf_dir):
     e = case_events(spark, sf_dir).select("case_id", "at", F.col("target_state").alias("kind"), F.col("event_id").cast("string").alias("detail"))
     return remediate.case_timeline(e).select("case_id", F.size("events").alias("n_events"), F.col("events")[0]["detail"].alias("first"), F.element_at("events", -1)["detail"].alias("last"))

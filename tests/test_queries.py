@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from pagetrail.plans.oracles import ORACLES
-from pagetrail.plans.queries import QUERIES
+from pagetrail.plans import desk, oracles, queries
+
+ORACLES, QUERIES = oracles.ORACLES | desk.ORACLES, queries.QUERIES | desk.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -16,6 +16,7 @@ from pagetrail.llm.common import durable, in_batches
 CAPACITY = 1024
 END = 2
 ROUNDS = 400
+KEPT = 0.95
 SALTS = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -123,25 +124,27 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     return counts, float(best[capacity])
 
 
-def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.3) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of the histogram (pieces of size k + 1 at k) by patterns of at most capacity: (counts, times).
+def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.3) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """A fractional packing of the histogram (pieces of size k + 1 at k) into patterns of at most capacity, (counts, times), and a bound: no packing has fewer bins.
 
     Multiplicative weights: each size's price starts at its share of the capacity; every round prices patterns by a
     knapsack, uses the best one, and lowers the prices of what it covers in proportion to its demand. Averaged over
-    the rounds and scaled so that every size is covered, the patterns are a near-optimal solution of the
-    configuration program.
+    the rounds and scaled so that no size is covered more than it needs, the patterns are a near-optimal solution of
+    the configuration program but for the sizes covered less. Any prices bound the program from below by the worth of
+    all pieces over that of the best pattern; the largest such bound of all rounds is returned.
     """
     need = histogram.astype(float)
     live = need > 0
     sizes = np.arange(1, len(need) + 1)
     log_w = np.where(live, 0.0, -np.inf)
     seen: dict[bytes, list] = {}
-    covered = np.zeros(len(need))
+    covered, bound = np.zeros(len(need)), 0.0
     for _ in range(rounds if live.any() else 0):
         price = np.zeros(len(need))
         # the weight of a size, times its share of the capacity per piece; the sum over pieces stays near the bound
         price[live] = np.exp(log_w[live] - log_w[live].max()) * sizes[live] / capacity
-        counts, _ = knapsack(price, capacity)
+        counts, value = knapsack(price, capacity)
+        bound = max(bound, float((price * need).sum() / value))
         counts = np.minimum(counts, histogram)
         held = counts > 0
         step = (need[held] / counts[held]).min()
@@ -151,9 +154,9 @@ def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, r
         share = np.where(live, counts * step / np.maximum(need, 1), 0)
         log_w = log_w - rate * share
     if not seen:
-        return []
+        return [], 0.0
     scale = (covered[live] / need[live]).max()
-    return [(c, t / scale) for c, t in seen.values()]
+    return [(c, t / scale) for c, t in seen.values()], bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -180,8 +183,8 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
 def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Whole-number patterns (counts per size, times) that hold exactly the histogram.
 
-    The program's times are rounded down, full patterns only, and what they leave over goes by best fit; if best fit
-    alone needs fewer bins (rounding costs most where pieces are few), it stands instead.
+    The program's times are rounded at random, up with the chance of their fraction (KEPT of them is used, so that what
+    is left holds sizes that fit together), the same way on every run; what they leave over goes by best fit.
     """
     left, out = histogram.copy(), []
     if len(left) >= capacity and left[capacity - 1]:
@@ -189,16 +192,14 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tup
         one[capacity - 1] = 1
         out.append((one, int(left[capacity - 1])))
         left[capacity - 1] = 0
-    simple, rounded = best_fit(left, capacity), []
-    for counts, times in sorted(configurations(left, capacity, rounds), key=lambda x: -x[1]):
+    random = np.random.default_rng(0)
+    for counts, times in sorted(configurations(left, capacity, rounds)[0], key=lambda x: -x[1]):
         held = counts > 0
-        whole = min(int(times), int((left[held] // counts[held]).min()))
-        if whole > 0 and (counts * np.arange(1, len(left) + 1)).sum() == capacity:
-            rounded.append((counts, whole))
+        whole = min(int(np.floor(KEPT * times + random.random())), int((left[held] // counts[held]).min()))
+        if whole > 0:
+            out.append((counts, whole))
             left -= counts * whole
-    rounded += best_fit(left, capacity)
-    bins = lambda patterns: sum(t for _, t in patterns)
-    return out + (rounded if bins(rounded) <= bins(simple) else simple)
+    return out + best_fit(left, capacity)
 
 
 def _slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -41,13 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = durable(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        discard(low, now)
-        low = durable(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = durable(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        discard(low, large)
+        older, now = now, durable(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        discard(older, large)
         after = mark(now)
         if after == before:
             break

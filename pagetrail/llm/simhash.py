@@ -256,7 +256,7 @@ def verified_links(members: DataFrame, jaccard: float) -> DataFrame:
     of_rest = F.concat(pairs(F.col("own"), F.col("kr")), upto(F.col("km"), lambda j: pair(1, F.col("own"), j)))
     third = durable(dealt(rows, F.when(F.col("is_main"), of_main).otherwise(of_rest)))
     discard(large, many, whole, apart)
-    return first.unionByName(second).unionByName(third)
+    return together.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(third)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, jaccard: float = 0.8) -> DataFrame:

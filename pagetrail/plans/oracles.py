@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pagetrail.functions.html import ENTITIES
+from pagetrail.functions.text import DATE_SHAPED, NO_PHONE_BEFORE, PHONE_CUE
 from pagetrail.functions.urls import BLOCKED_V4, METADATA_HOSTS, TRACKING
 from pagetrail.operators.assess import WHAT
 from pagetrail.operators.remediate import DEFAULT_REGISTRY, DELIST, NONE, OWN, PUBLIC, PUBLISHER
-from pagetrail.schema import BASE_RANKS, GONE, RECHECKABLE, SEVERITIES, TRANSITIONS
+from pagetrail.schema import BASE_RANKS, GONE, RECHECKABLE, SEVERITIES, TRANSITIONS, VERSIONS
 
 STATES = tuple(TRANSITIONS)
 
@@ -114,6 +115,48 @@ pairs AS (SELECT sha256(s.email) AS subject_id, c.canonical_url, c.from_search,
 matched AS (SELECT *, CASE WHEN strong THEN 'HIGH_CONFIDENCE' ELSE 'POSSIBLE' END AS state, CASE WHEN strong AND named THEN 0.989 WHEN strong THEN 0.97 ELSE 0.62 END AS confidence FROM pairs WHERE strong OR named)
 """
 
+# Each number is put between two marks; what stands before a mark, other marks aside, is its context.
+_PHONES = rf"""
+t AS (SELECT page_id, {VISIBLE} AS text FROM pages UNION ALL SELECT -1 - doc_id, text FROM documents),
+m AS (SELECT page_id, string_split(regexp_replace(text, '(^|[^{WORD}+]|[^{WORD}])(\+?[0-9][0-9\s().\-]{{6,}}[0-9])($|[^{WORD}])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS parts FROM t),
+h AS (SELECT page_id, split_part(parts[i], chr(2), 1) AS hit, right(replace(array_to_string(parts[1:i - 1], ''), chr(2), ''), 40) AS before FROM (SELECT page_id, parts, UNNEST(range(2, len(parts) + 1)) AS i FROM m)),
+d AS (SELECT *, length(regexp_replace(hit, '[^0-9]', '', 'g')) AS n FROM h),
+kept AS (SELECT page_id, hit, n FROM d WHERE n BETWEEN 7 AND 15 AND length(regexp_replace(hit, '[^ .()\-]', '', 'g')) <= n AND NOT regexp_matches(hit, '{DATE_SHAPED.removeprefix("(?U)")}')
+  AND NOT regexp_matches(before, '{NO_PHONE_BEFORE.replace("(?iU)", "(?i)")}') AND (hit LIKE '+%' OR regexp_matches(before, '{PHONE_CUE.replace("(?iU)", "(?i)")}')))
+"""
+
+_PROFILE_FACTS = f"""
+f AS (SELECT UNNEST([{{'t': 'PAGE_TITLE', 'v': seg || ' ' || cust || ' | Directory'}}, {{'t': 'NAME', 'v': seg || ' ' || cust}}, {{'t': 'JOB_TITLE', 'v': 'Clerk'}}, {{'t': 'EMPLOYER', 'v': seg || ' Works'}}, {{'t': 'EMAIL', 'v': 'c' || k || '@mail.example.com'}},
+  {{'t': 'DATE_OF_BIRTH', 'v': '1980-05-03'}}, {{'t': 'DATE_OF_BIRTH', 'v': '3 May 1980'}}, {{'t': 'POSTAL_ADDRESS', 'v': k || ' Oak Street, ' || n_name}}, {{'t': 'POSTAL_ADDRESS', 'v': k || ' Elm Tree Road'}}, {{'t': 'PHONE', 'v': '0207946' || lpad(k, 6, '0')}},
+  {{'t': 'PHONE', 'v': '+4420' || lpad(k, 8, '7')}}, {{'t': 'SOCIAL_LINK', 'v': 'https://github.com/user' || k}}, {{'t': 'SOCIAL_LINK', 'v': 'https://www.linkedin.com/in/user' || k}}, {{'t': 'USERNAME', 'v': 'user' || k}}], recursive := true) FROM ({CUSTOMERS}))
+"""
+
+
+def _json(**fields: str) -> str:
+    """The text of a JSON object of strings, from SQL for the values."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":"' || {v} || '"'""" for k, v in fields.items()) + " || '}'"
+
+
+_BLOCK = " || ".join((
+    "'{\"finding_id\":\"' || finding_id || '\",\"category\":\"' || category || '\",\"priority\":\"' || priority || '\",\"dimensions\":'",
+    _json(sensitivity=severity("worst"), discoverability=severity("2 + CAST(from_search AS INT)"), misuse_potential=severity("worst"), persistence="'MODERATE'"),
+    "',\"identity\":{\"state\":\"' || state || '\",\"confidence\":' || CAST(confidence AS VARCHAR) || '},\"explanation_codes\":[\"BASE_' || category || '\"'",
+    "CASE WHEN from_search THEN ',\"SEARCH_INDEXED\",\"HIGH_DISCOVERABILITY\"' ELSE '' END || CASE WHEN strong THEN '' ELSE ',\"IDENTITY_UNCERTAIN\"' END || '],\"summary\":\"'",
+    mapping({k: WHAT[k] for k in ("CONTACT_EMAIL", "USERNAME")}, "category"),
+    "'\",\"source\":{\"url\":\"' || url || '\",\"domain\":\"' || domain || '\"' || COALESCE(',\"title\":' || to_json(title), '') || '}}'",
+))
+_COUNTS = "{" + ",".join(f'"{k}":\' || COUNT(*) FILTER ({w}) || \'' for k, w in (("critical", "strong AND rank = 4"), ("high", "strong AND rank = 3"), ("moderate", "strong AND rank = 2"), ("low", "strong AND rank = 1"), ("none", "strong AND rank = 0"), ("needs_review", "NOT strong"))) + "}"
+_REPORTS = rf"""
+cited AS (SELECT {canonical("url")} AS canonical_url, url, NULLIF(trim({unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), '') AS title FROM pages UNION ALL SELECT 'https://docs.example.net/d/' || doc_id, 'https://docs.example.net/d/' || doc_id, NULL FROM documents),
+c AS (SELECT *, 'CONTACT_EMAIL' AS category, 2 AS worst FROM matched WHERE strong UNION ALL SELECT *, 'USERNAME', 1 FROM matched),
+f AS (SELECT *, sha256(subject_id || '|' || sha256('s1|' || canonical_url) || '|' || category) AS finding_id, LEAST(worst + CAST(from_search AS INT), CASE WHEN strong THEN 4 ELSE 2 END) AS rank, regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) AS domain FROM c JOIN cited USING (canonical_url)),
+b AS (SELECT *, {severity("rank")} AS priority FROM f),
+r AS (SELECT subject_id, list({_BLOCK} ORDER BY finding_id) AS blocks, list('{{"case_id":"' || sha256(finding_id) || '","finding_id":"' || finding_id || '","route":"SEARCH_DELIST","state":"VERIFIED"}}' ORDER BY sha256(finding_id)) AS cases, '{_COUNTS}' AS counts FROM b GROUP BY subject_id)
+"""
+_NONE_COUNTED = "{" + ",".join(f'"{k}":0' for k in ("critical", "high", "moderate", "low", "none", "needs_review")) + "}"
+_VERSIONS = "{" + ",".join(f'"{k}":"{v}"' for k, v in VERSIONS.items()) + "}"
+_NAME = "array_to_string(list_transform(string_split(regexp_replace(split_part(email, '@', 1), '[._0-9]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
 ORACLES = {
     "b1_canonical_url": f"SELECT page_id, {canonical('url')} AS canonical_url FROM pages",
     "b2_registrable_domain": r"SELECT page_id, regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '([^.]+\.[^.]+)$', 1) AS registrable_domain FROM pages",
@@ -162,5 +205,10 @@ ORACLES = {
     "e7_scan_stats": "WITH e AS (SELECT *, user_id % 40 AS s FROM events), g AS (SELECT s, COUNT(*) AS queries_planned, COUNT(*) FILTER (event_id % 10 <> 0) AS queries_run, COUNT(*) FILTER (event_id % 10 = 0) AS sensitive_skipped, COUNT(*) AS candidates, COUNT(*) FILTER (event_id % 3 = 0) AS retrieved, COUNT(*) FILTER (event_id % 3 = 1) AS blocked, COUNT(*) FILTER (event_id % 3 = 2) AS failed, CAST(COALESCE(SUM(event_id) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS bytes_downloaded, COUNT(*) FILTER (event_id % 4 = 0) AS findings FROM e GROUP BY s) SELECT CAST(s AS VARCHAR) AS scan_id, * EXCLUDE (s), CASE WHEN s < 5 THEN 'web_timeout' ELSE '' END AS provider_errors, CASE WHEN s < 5 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, 99 AS progress FROM g",
     "l1_sql_functions": f"SELECT doc_id, {redacted('text')} AS redacted, {severity('LEAST(1 + doc_id % 5, 4)')} AS bumped, 'u' || repeat('•', CAST(length('user' || doc_id) - 1 AS INT)) || '@example.com' AS masked FROM documents",
     "k2_scan_progress_stream": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 's1' AS scan_id, COUNT(*) AS candidates, COUNT(*) FILTER (event_id % 3 = 0) AS retrieved, COUNT(*) FILTER (event_id % 3 <> 0) AS blocked, CAST(COALESCE(SUM(event_id) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS bytes_downloaded FROM events GROUP BY 1",
+    "c5_phones": f"WITH {_PHONES} SELECT page_id, regexp_replace(hit, '[^0-9+]', '', 'g') AS value, CASE WHEN hit LIKE '+%' THEN '+' ELSE '' END || {DOTS.format(n='CAST(n - 2 AS INT)')} || right(regexp_replace(hit, '[^0-9]', '', 'g'), 2) AS display, COUNT(*) AS n FROM kept GROUP BY 1, 2, 3",
+    "c1_c9_profile_facts": f"WITH {_PROFILE_FACTS} SELECT t AS type, COUNT(*) AS n, COUNT(DISTINCT lower(v)) AS n_values, MIN(lower(v)) AS least FROM f GROUP BY t",
+    "i23_reports": f"""WITH {SCAN}, {_REPORTS} SELECT sha256(email) AS subject_id, '{{"subject_id":"' || sha256(email) || '","primary_name":"' || {_NAME} || '","provenance":{_VERSIONS},"summary":' || COALESCE(counts, '{_NONE_COUNTED}') || COALESCE(',"findings":[' || array_to_string(blocks, ',') || '],"cases":[' || array_to_string(cases, ',') || ']', '') || '}}' AS report FROM subj LEFT JOIN r ON r.subject_id = sha256(email)""",
+    "e11_evaluation": f"""WITH c AS (SELECT c_custkey, 'c' || k || '@mail.example.com' AS on_page, lower('c' || k || '@Mail.Example.com') AS own FROM ({CUSTOMERS})), l AS (SELECT own, c_custkey AS key, 'own' AS tag FROM c UNION ALL SELECT own, c_custkey + 1, 'other' FROM c), r AS (SELECT tag, tag = 'own' AS y, COALESCE(on_page = l.own, FALSE) AS sure FROM l LEFT JOIN c ON key = c_custkey),
+g AS (SELECT tag, COUNT(*) FILTER (sure AND y) AS tp, COUNT(*) FILTER (sure AND NOT y) AS fp, COUNT(*) FILTER (NOT sure AND y) AS fn FROM r GROUP BY ROLLUP (tag)) SELECT tag, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, '' AS offenders FROM g""",
     "k4_first_sights_stream": f"SELECT DISTINCT {canonical('url')} AS canonical_url FROM pages",
 }

@@ -282,7 +282,7 @@ def e11_evaluation(spark, sf_dir):
     keyed = s.matches.join(s.sources.select("source_id", F.col("canonical_url").alias("key")), "source_id").select("subject_id", "key", "state")
     own = subjects.select("subject_id", F.concat(F.lit("https://people.example.org/c/"), "subject_id").alias("key"), F.lit(True).alias("is_match"), F.lit("own").alias("tag"))
     other = subjects.select("subject_id", F.concat(F.lit("https://people.example.org/c/"), (F.col("subject_id").cast("long") + 1).cast("string")).alias("key"), F.lit(False).alias("is_match"), F.lit("other").alias("tag"))
-    return report.evaluate(keyed, own.unionByName(other))
+    return flat(report.evaluate(keyed, own.unionByName(other)), "offenders")
 
 
 def i8_assess(spark, sf_dir):

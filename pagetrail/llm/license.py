@@ -22,7 +22,7 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge"),
     ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
 )
-#: A template is looked up by so many of its key phrase's words of the highest IDF.
+#: A phrase is indexed under so many of its words of the highest IDF.
 ANCHORS = 2
 
 
@@ -43,30 +43,48 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
     return {r["w"]: r["n"] for r in each.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def _posting(words: Column, word: str, shift: int) -> Column:
-    """Where the phrase would start if this word of it, shift words on, stands there."""
-    return F.array_compact(F.transform(words, lambda w, i: F.when((w == word) & (i >= shift), i - shift)))
+def positional_index(phrases: list[list[str]], df: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """word -> postings (phrase, place of the word in it, rank): each phrase stands under its ANCHORS words of the highest IDF, rank 0 the highest; a phrase of one word has it in every rank."""
+    index: dict[str, list[tuple[int, int, int]]] = {}
+    for k, phrase in enumerate(phrases):
+        rare = sorted(range(len(phrase)), key=lambda at: (df.get(phrase[at], 0), -len(phrase[at]), at))[:ANCHORS]
+        for rank in range(ANCHORS):
+            at = rare[min(rank, len(rare) - 1)]
+            index.setdefault(phrase[at], []).append((k, at, rank))
+    return index
 
 
-def places(words: Column, phrase: list[str], df: dict[str, int]) -> Column:
-    """Where the phrase stands (first words, from 0): the places that its rarest words give, intersected, then verified. Empty if a rare word is absent."""
-    rare = sorted(range(len(phrase)), key=lambda k: (df.get(phrase[k], 0), -len(phrase[k]), k))[:ANCHORS]
+def _lists(values: list[list[str]]) -> Column:
+    return F.array(*(F.array(*map(F.lit, v)) for v in values))
+
+
+def look_up(words: Column, index: dict[str, list[tuple[int, int, int]]]) -> Column:
+    """array<struct<k, at, rank>>: for each word that the index has, its postings, at being where their phrase would start. One look-up a word, however many phrases there are."""
+    of = F.create_map(*(x for w, found in index.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(at).alias("at"), F.lit(rank).alias("rank")) for k, at, rank in found)))))
+
+    def postings(w: Column, i: Column) -> Column:
+        return F.when(w.isin(*index), F.transform(of[w], lambda p: F.struct(p["k"].alias("k"), (i - p["at"]).alias("at"), p["rank"].alias("rank"))))
+
+    return F.flatten(F.array_compact(F.transform(words, postings)))
+
+
+def places(posted: Column, words: Column, phrases: list[list[str]]) -> Column:
+    """array<struct<k, at>>: where phrases stand. The postings of all ranks are intersected by phrase and start, then the whole phrase is verified."""
     found = None
-    for k in rare:
-        posting = _posting(words, phrase[k], k)
-        found = posting if found is None else F.array_intersect(found, posting)
-    target = F.array(*map(F.lit, phrase))
-    sure = F.filter(found, lambda at: F.slice(words, at + 1, len(phrase)) == target)
-    absent = ~F.array_contains(words, phrase[rare[0]])
-    return F.when(absent, F.array().cast("array<int>")).otherwise(sure)
+    for rank in range(ANCHORS):
+        here = F.transform(F.filter(posted, lambda p: (p["rank"] == rank) & (p["at"] >= 0)), lambda p: F.struct(p["k"].alias("k"), p["at"].alias("at")))  # noqa: B023
+        found = here if found is None else F.array_intersect(found, here)
+    whole = _lists(phrases)
+    return F.filter(found, lambda x: F.slice(words, x["at"] + 1, F.size(whole[x["k"]])) == whole[x["k"]])
 
 
-def _share_at(target: Column, n: int, shift: int):
-    """The share of the wording's n words that stand in the text w around a place of its key phrase, shift words into it."""
+def _share(wordings: Column, shifts: Column, words: str):
+    """The share of a wording's words that stand in the text around a place of its key phrase."""
 
-    def share(at: Column) -> Column:
-        places = F.transform(target, lambda x, j: F.when((at - shift + j >= 0) & (F.get("w", at - shift + j) == x), 1.0).otherwise(0.0))
-        return F.aggregate(places, F.lit(0.0), lambda total, x: total + x) / float(n)
+    def share(x: Column) -> Column:
+        wording, start = wordings[x["k"]], x["at"] - shifts[x["k"]]
+        same = F.transform(wording, lambda v, j: F.when((start + j >= 0) & (F.get(words, start + j) == v), 1.0).otherwise(0.0))
+        return F.aggregate(same, F.lit(0.0), lambda total, v: total + v) / F.size(wording)
 
     return share
 
@@ -80,24 +98,27 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     extra columns are ignored. Frequencies are counted over all rows; nothing is joined or shuffled but those counts.
     """
     docs = docs.select("doc_id", "text")
-    vocabulary = sorted({w for p, _ in phrases for w in p.split()} | {w for _, t, k in templates for w in (t + " " + k).split()})
-    df = document_frequencies(docs, vocabulary)
-    rows = docs.select("doc_id", words_of(plain(F.col("text"))).alias("w"))
+    keys = [p.split() for p, _ in phrases] + [key.split() for _, _, key in templates]
+    labels = [label for _, label in phrases] + [label for label, _, _ in templates]
+    wordings = [p.split() for p, _ in phrases] + [wording.split() for _, wording, _ in templates]
+    shifts = [max(at for at in range(len(w)) if w[at : at + len(k)] == k) for w, k in zip(wordings, keys)]
+    df = document_frequencies(docs, sorted({w for k in keys for w in k}))
     # the arrays are made once per row: what follows reads them by name
-    found = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), "w", *(places(F.col("w"), p.split(), df).alias(f"p{k}") for k, (p, _) in enumerate(phrases)), *(places(F.col("w"), key.split(), df).alias(f"t{k}") for k, (_, _, key) in enumerate(templates)))
-    every = F.concat(*(F.col(f"p{k}") for k in range(len(phrases))))
-    base = F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases))))
-    more = F.array_compact(F.array(*(F.when(F.size(f"t{k}") > 0, F.lit(label)) for k, (label, _, _) in enumerate(templates))))
-    shares = []
-    for k, (_, wording, key) in enumerate(templates):
-        full, shift = wording.split(), wording.split().index(key.split()[0])
-        for at in range(len(full)):
-            if full[at : at + len(key.split())] == key.split():
-                shift = at
-        target = F.array(*map(F.lit, full))
-        shares.append(F.when(F.size(f"t{k}") > 0, F.array_max(F.transform(F.col(f"t{k}"), _share_at(target, len(full), shift)))).otherwise(0.0))
-    score = F.greatest(F.when(F.size(every) > 0, 0.5).otherwise(0.0), *shares)
-    return found.select(
-        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"), score.alias("score"),
+    rows = docs.select("doc_id", words_of(plain(F.col("text"))).alias("w"))
+    posted = rows.select("doc_id", "w", look_up(F.col("w"), positional_index(keys, df)).alias("posted"))
+    found = posted.select("doc_id", "w", places(F.col("posted"), F.col("w"), keys).alias("found"))
+    of_base = lambda x: x["k"] < len(phrases)
+    share = _share(_lists(wordings), F.array(*map(F.lit, shifts)), "w")
+    split = found.select(
+        "doc_id", F.size("w").cast("long").alias("n_words"), "found", F.transform(F.filter("found", of_base), lambda x: x["at"]).alias("base"),
+        F.array_max(F.transform(F.filter("found", lambda x: ~of_base(x)), share)).alias("share"),
+    )
+
+    def named(items: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(items, lambda x: F.array(*map(F.lit, labels))[x["k"]]))), ",")
+
+    score = F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce("share", F.lit(0.0)))
+    return split.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").cast("long").alias("first_word"), F.array_max("base").cast("long").alias("last_word"),
+        named(F.filter("found", of_base)).alias("base_labels"), named(F.col("found")).alias("labels"), score.alias("score"),
     )

@@ -59,7 +59,9 @@ class Model:
     temperature: float
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = grams(text)
+        return self.weighted(*grams(text))
+
+    def weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(n)) * self.idf[at] if len(at) else n
         return at, v / (np.sqrt((v * v).sum()) or 1)
 
@@ -99,38 +101,50 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def sample_of(docs: DataFrame, label: str, most: int) -> list:
-    """At most so many rows (text, label) of each label: those with the smallest hash of their text, found by a partial aggregate, not a sort of a label's rows."""
+def sample_of(docs: DataFrame, label: str, most: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """At most so many different texts of each label, as (buckets, counts, label): those with the smallest hash.
+
+    Copies of a text count as one and are reduced to it before any reaches the driver; so do only the buckets and
+    counts of the chosen, at most DIMS numbers a text however long it is.
+    """
     keyed = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).alias("y"), F.xxhash64("text").alias("h"))
-    n = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     # a share of the hash range that holds about 1.2 times the bound; the rest of the cut is exact, on the driver
-    share = F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(float(min(1.0, 1.2 * most / c + 50 / c))))]) if n else F.create_map(F.lit(0), F.lit(0.0))
+    share = F.create_map(*[x for y, c in n.items() for x in (F.lit(y), F.lit(float(min(1.0, 1.2 * most / max(c, 1) + 50 / max(c, 1)))))]) if n else F.create_map(F.lit(0), F.lit(0.0))
     unit = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
-    rows = keyed.where(unit < share[F.col("y")]).collect() if n else []
+
+    def run(batches):
+        for batch in batches:
+            found = [grams(t.as_py()) for t in batch.column("text")]
+            at, counts = (pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), at, counts], names=["h", "y", "at", "n"])
+
+    schema = keyed.select("h", "y", F.array(F.lit(0)).alias("at"), F.array(F.lit(0)).alias("n")).schema
+    rows = in_batches(keyed.where(unit < share[F.col("y")]).dropDuplicates(["y", "h"]), run, schema).collect() if n else []
     out, left = [], dict.fromkeys(n, most)
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["h"], r["y"])):
         if left[r["y"]] > 0:
             left[r["y"]] -= 1
-            out.append((r["text"], r["y"]))
+            out.append((np.array(r["at"], np.int64), np.array(r["n"], np.int64), r["y"]))
     return out
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
     """The model from train(text, lang); rows with a null text or language are left out, an empty table gives a model that answers und.
 
-    Document frequencies come from every row; the weights are fitted on at most `sample` texts a language (SAMPLE), of
+    Document frequencies come from every row; the weights are fitted on at most `sample` different texts a language (SAMPLE), of
     which every fifth is kept aside for the temperature. Training is follow-the-regularised-leader, text by text.
     """
     docs = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
     rows = sample_of(docs, "lang", sample)
-    languages = sorted({y for _, y in rows})
+    languages = sorted({y for _, _, y in rows})
     k = len(languages)
     model = Model(languages, idf, np.zeros((DIMS, k)), np.zeros(k), 1.0)
     if not k:
         return model
-    data = [(*model.features(t), languages.index(y)) for t, y in rows]
+    data = [(*model.weighted(at, n), languages.index(y)) for at, n, y in rows]
     held, data = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     z, n, w = np.zeros((DIMS + 1, k)), np.zeros((DIMS + 1, k)), np.zeros((DIMS + 1, k))
     order = np.random.default_rng(0)
@@ -157,7 +171,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred string and score double added; all other columns stay (but earlier ones of these names).
 
-    Whole texts; null or letterless text: und, 0.0. Ties fall to the language that sorts first.
+    Whole texts, however long; null or letterless text: und, 0.0. Ties fall to the language that sorts first. Each row
+    is judged alone: repeated rows each stay; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * languages numbers, whatever the input

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 SUPPORT = 3
 #: Branches whose profile differs from their siblings' by less than so many standard errors merge.
 SIGMAS = 3.0
+#: Branches unlike their node are compared with those whose profile falls in the same cell: shares on the arcsine scale, in so many steps from 0 to 1.
+STEPS = 4
 PRIOR = 2.0
 EVIDENCE = 5
 REJECT = 0.8
@@ -44,6 +47,21 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), "end").when(segment.rlike(r"^[0-9]+$"), "number").when(segment.rlike(r"^[^0-9]+$"), "word").otherwise("mixed")
 
 
+def _unlike(measures: tuple[str, ...], whole: str) -> Column:
+    """Whether a share of the branch's n urls lies more than SIGMAS standard errors from that of the whole it is part of (columns whole, whole_<measure>)."""
+    odd = F.lit(False)
+    for k in measures:
+        p, q = F.col(k) / F.col("n"), F.col(f"{whole}_{k}") / F.col(whole)
+        error = F.sqrt(F.greatest(q * (1 - q), F.lit(0.0)) / F.col("n") + F.lit(1e-9))
+        odd = odd | (F.abs(p - q) > SIGMAS * error)
+    return odd
+
+
+def _step(share: Column) -> Column:
+    """The share's step on the arcsine scale, where its error depends on the number of urls alone."""
+    return F.round(F.asin(F.sqrt(share)) * (2 * STEPS / math.pi)).cast("int").cast("string")
+
+
 def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """urls(host, path, bad boolean or null) to (paths, templates).
 
@@ -51,8 +69,10 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     Level by level down to the deepest segment, below every node (host, template so far): segments of SUPPORT urls or
     more are branches, the rest one wildcard
     "*"; then the branches whose share of bad urls, and of next segments of each kind, lie within SIGMAS standard
-    errors of their node's merge as "~". Every step is an aggregate with partial sums, and a join of the paths with
-    the node's few branches.
+    errors of their node's merge as "~"; of the others, those within SIGMAS standard errors of the mean of their cell
+    of like profiles (_step) merge as "~" and the cell, so groups of branches that differ from each other are found
+    too; one alone in its cell stays itself. Every step is an aggregate with partial sums, and a join of the paths
+    with the node's branches.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
@@ -66,12 +86,14 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
         measures = ("n_bad", "end", "number", "word", "mixed")
         nodes = durable(branches.groupBy("host", "template").agg(F.sum("n").alias("all"), *(F.sum(k).alias(f"all_{k}") for k in measures)))
         frequent = branches.where(F.col("n") >= SUPPORT).join(nodes, ["host", "template"])
-        odd = F.lit(False)
-        for k in measures:
-            p, q = F.col(k) / F.col("n"), F.col(f"all_{k}") / F.col("all")
-            error = F.sqrt(F.greatest(q * (1 - q), F.lit(0.0)) / F.col("n") + F.lit(1e-9))
-            odd = odd | (F.abs(p - q) > SIGMAS * error)
-        kept = durable(frequent.select("host", "template", "s", F.when(odd, F.col("s")).otherwise("~").alias("label")))
+        tested = durable(frequent.select("host", "template", "s", "n", *measures, _unlike(measures, "all").alias("odd")))
+        # of those unlike their node, the ones like each other merge too: cell by cell, tested against the cell's mean
+        odd = tested.where("odd").withColumn("cell", F.concat(*(_step(F.col(k) / F.col("n")) for k in measures)))
+        cells = odd.groupBy("host", "template", "cell").agg(F.sum("n").alias("in_cell"), F.count("*").alias("branches"), *(F.sum(k).alias(f"in_cell_{k}") for k in measures))
+        apart = odd.join(cells, ["host", "template", "cell"])
+        alone = _unlike(measures, "in_cell") | (F.col("branches") == 1)
+        labels = apart.select("host", "template", "s", F.when(alone, F.col("s")).otherwise(F.concat(F.lit("~"), "cell")).alias("label"))
+        kept = durable(tested.where("NOT odd").select("host", "template", "s", F.lit("~").alias("label")).unionByName(labels))
         # a path without a further segment keeps its template; a null segment joins nothing
         joined = paths.withColumn("s", segment).join(kept, ["host", "template", "s"], "left")
         step = F.when(F.col("s").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("label", F.lit("*"))))

@@ -250,6 +250,21 @@ def test_url_many_sections(spark):
     assert all((got[k].verdict == "block") == bad for k, (_, bad) in enumerate(urls))
 
 
+def test_url_like_branches_merge(spark):
+    """Sections of two kinds, none like the node's mean, are judged with those of their kind; ids may be null, rows repeat, paths be deep."""
+    urls = [(f"http://h.com/s{a}/page{b}", a < 6) for a in range(12) for b in range(16)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)] + [(None, urls[0][0]), (0, urls[0][0]), (999, "http://h.com" + "/deep" * 20)], "page_id long, url string")
+    labels = spark.createDataFrame(urls, "url string, bad boolean")
+    rows = urlfilter.url_filter(pages, (), labels).collect()
+    assert len(rows) == len(urls) + 3
+    assert {r.verdict for r in rows if r.page_id is None} == {"block"} and sum(r.page_id == 0 for r in rows) == 2
+    got = {r.page_id: r for r in rows}
+    assert all((got[k].verdict == "block") == bad for k, (_, bad) in enumerate(urls))
+    assert len({got[k].template for k, (_, bad) in enumerate(urls) if bad}) == 1
+    assert len({got[k].template for k, (_, bad) in enumerate(urls) if not bad}) == 1
+    assert got[999].verdict == "allow"
+
+
 def vectors():
     rng = np.random.default_rng(2)
     rows, k = [], 0

@@ -1,11 +1,15 @@
-"""Scalar functions over urls, and joins with small tables of suffixes and address ranges."""
+"""Scalar functions over urls, with small tables of suffixes and address ranges as literals."""
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from pagetrail.functions.text import py_strip
 from pagetrail.schema import GENERIC_ROUTING, GOV_SUFFIXES, PLATFORMS, ROUTING, USER_CONTROLLED, literal_map, literals, one_of
@@ -61,31 +65,57 @@ def canonical_url(url: Column) -> Column:
     return F.when(bad, F.lit(None)).otherwise(F.concat(front, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
-def suffixes(spark: SparkSession, extra: tuple = ()) -> DataFrame:
-    """A short table of public suffixes; a full list can be read in its place."""
-    short = ("com", "org", "net", "edu", "gov", "mil", "int", "io", "co", "me", "info", "biz", "eu", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "de", "fr", "es", "it", "nl", "au", "com.au", "gov.au", "ca", "gc.ca", "us", "jp", "co.jp", "social", "dev", "app")
-    return spark.createDataFrame([(s,) for s in (*short, *extra)], "suffix string")
+#: A short list of public suffix rules, in the syntax of the public list: "*." stands for any one label, "!" excepts a name from such a rule.
+SUFFIX_RULES = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "io", "co", "me", "info", "biz", "eu", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "ltd.uk", "plc.uk", "me.uk",
+    "de", "fr", "es", "it", "nl", "ch", "at", "be", "se", "au", "com.au", "org.au", "gov.au", "ca", "gc.ca", "us", "jp", "co.jp", "ne.jp", "social", "dev", "app",
+    "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "*.bd", "br", "com.br", "in", "co.in", "nz", "co.nz", "za", "co.za", "tr", "com.tr", "github.io",
+)
+#: Rules that are taken as a literal: a list of this size is known to fit a plan.
+MOST_RULES = 50_000
+
+
+def read_suffix_rules(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The rules of a file of the public list (a rule a line, what follows white space or "//" is a comment); over MOST_RULES an error."""
+    rules = spark.read.text(path).select(F.lower(F.regexp_extract("value", r"^([^\s/][^\s]*)", 1)).alias("r")).where("r <> ''").distinct().limit(MOST_RULES + 1).collect()
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} suffix rules at {path}")
+    return tuple(sorted(r[0] for r in rules))
+
 
+def _is_rule(rules: Sequence[str]) -> Callable[[Column], Column]:
+    """Whether a string is a rule: a hash table as one literal, whose buckets hold a few rules each."""
+    n = max(1, len(rules) // 4)
+    buckets: list[list[str]] = [[] for _ in range(n)]
+    for r in rules:
+        buckets[zlib.crc32(r.encode()) % n].append(r)
+    literal = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")  # folded into one constant
+    return lambda s: F.array_contains(F.get(literal, (F.crc32(s.cast("binary")) % n).cast("int")), s)
 
-def host_suffixes(name: Column) -> Column:
-    """The host and every suffix of it at a dot, longest first."""
+
+def public_suffix_labels(name: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
+    """How many labels of a host are its public suffix: of the rules that fit the longest, an excepting one before all others; 0 if none fits."""
+    fits = _is_rule(rules)
     parts = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    size = F.size(parts)
+    ends = F.transform(F.sequence(F.lit(1), size), lambda k: F.array_join(F.slice(parts, size - k + 1, k), "."))
+    excepted = F.array_position(F.transform(ends, lambda e: fits(F.concat(F.lit("!"), e))), F.lit(True))
+    # a wildcard takes one label more than what stands after it
+    longest = F.array_max(F.transform(ends, lambda e, i: F.when(fits(e) | ((i > 0) & fits(F.concat(F.lit("*."), F.array_join(F.slice(parts, size - i + 1, i), ".")))), i + 1).otherwise(0)))
+    return F.when(excepted > 0, (excepted - 1).cast("int")).otherwise(longest)
 
 
-def with_registrable_domain(df: DataFrame, url: str, public_suffixes: DataFrame, out: str = "registrable_domain") -> DataFrame:
-    """Adds the registrable domain of a url or host column: the longest known suffix and one label; the whole host if none is known.
+def registrable(name: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
+    """The public suffix of a host and one label; the whole host if it has no known suffix or is one."""
+    parts = F.split(name, r"\.")
+    k = public_suffix_labels(name, rules)
+    return F.when((k > 0) & (k < F.size(parts)), F.array_join(F.slice(parts, F.size(parts) - k, k + 1), ".")).otherwise(name)
 
-    Distinct hosts are joined, by suffix, so a host's pages don't multiply; null or hostless gives ''.
-    """
+
+def with_registrable_domain(df: DataFrame, url: str, rules: Sequence[str] = SUFFIX_RULES, out: str = "registrable_domain") -> DataFrame:
+    """Adds the registrable domain of a url or host column, by an expression: no page meets another one of its host. Null or hostless gives ''."""
     name = F.regexp_replace(F.trim(F.lower(F.when(F.contains(F.col(url), F.lit("://")), host(py_strip(F.col(url)))).otherwise(F.col(url)))), r"^\[|\]$|\.+$", "")
-    df = df.withColumn("_host", F.coalesce(name, F.lit("")))
-    hosts = df.select("_host").distinct()
-    each = hosts.select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("k", "suffix"))
-    best = each.join(public_suffixes, "suffix").groupBy("_host").agg(F.min("k").alias("k"))
-    parts = F.split("_host", r"\.")
-    domain = F.when(F.col("k") >= 1, F.array_join(F.slice(parts, F.col("k"), F.size(parts)), ".")).otherwise(F.col("_host"))
-    return df.join(best.select("_host", domain.alias(out)), "_host", "left").withColumn(out, F.coalesce(out, "_host")).drop("_host")
+    return df.withColumn(out, registrable(F.coalesce(name, F.lit("")), rules))
 
 
 def is_gov(domain: Column) -> Column:
@@ -129,22 +159,6 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, F.aggregate(quad, F.lit(0).cast("long"), lambda n, x: n * 256 + x))
 
 
-@F.pandas_udf(BooleanType())
-def _blocked_v6(ip: pd.Series) -> pd.Series:
-    import ipaddress
-
-    def one(v):
-        try:
-            a = ipaddress.ip_address(v)
-        except ValueError:
-            return None
-        if isinstance(a, ipaddress.IPv6Address):
-            a = a.ipv4_mapped or a.sixtofour or a
-        return str(a) in METADATA_HOSTS or a.is_multicast or a.is_reserved or not a.is_global
-
-    return ip.map(one, na_action="ignore").astype(object)
-
-
 def is_blocked_ipv4(ip: Column) -> Column:
     """Whether a dotted quad lies in one of the blocked ranges; null if it is none."""
     n, out = ipv4_number(ip), F.lit(False)
@@ -155,11 +169,6 @@ def is_blocked_ipv4(ip: Column) -> Column:
     return F.when(n.isNotNull(), out | one_of(ip, METADATA_HOSTS))
 
 
-def is_blocked_address(ip: Column) -> Column:
-    """As is_blocked_ipv4, and for IPv6 literals by the ipaddress module in batches."""
-    return F.coalesce(is_blocked_ipv4(ip), F.when(F.contains(ip, F.lit(":")), _blocked_v6(ip)))
-
-
 def is_blocked_ipv6(ip: Column) -> Column:
     """Whether an IPv6 literal isn't global unicast (2000::/3 without the ranges kept for special use); null if there is no colon. What can't be read is blocked.
 
@@ -172,6 +181,11 @@ def is_blocked_ipv6(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), ~plain & F.coalesce(is_blocked_ipv4(quad), F.lit(True)))
 
 
+def is_blocked_address(ip: Column) -> Column:
+    """As is_blocked_ipv4, and for IPv6 literals as is_blocked_ipv6; null if it is neither."""
+    return F.coalesce(is_blocked_ipv4(ip), is_blocked_ipv6(ip))
+
+
 def url_policy(url: Column) -> Column:
     """ok, or why a url may not be fetched. Null counts as empty; IPv6 literals are judged as all others."""
     u = py_strip(F.coalesce(url, F.lit("")))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import html as H
 from pagetrail.functions import text as T
 from pagetrail.functions import urls as U
+from pagetrail.operators.substrings import holding
 from pagetrail.schema import EXTRACTOR_VERSION
 from pagetrail.session import durable
 
@@ -187,75 +184,41 @@ def subject_terms(subjects: DataFrame) -> DataFrame:
 TOKEN_KINDS = {"NAME": ("NAME", 0), "CITY": ("LOCATION", 1), "COUNTRY": ("LOCATION", 1), "EMPLOYER": ("EMPLOYER", 2), "USERNAME": ("USERNAME", 3), "DOMAIN": ("URL", 4)}
 
 
-#: Terms that are looked for in one pass over the texts; more terms take further passes, one block of them held at a time.
-BLOCK_TERMS = 200_000
+#: Kinds that many subjects share: where a text holds one, that is a fact of the page, and no row for each of its subjects.
+SHARED_KINDS = ("CITY", "COUNTRY", "EMPLOYER")
+TOKENS = "subject_tokens"
 
 
-def _in_blocks(needles: DataFrame, most: int) -> Iterator[list[str]]:
-    block = []
-    for r in needles.toLocalIterator():
-        block.append(r[0])
-        if len(block) == most:
-            yield block
-            block = []
-    if block:
-        yield block
+def _needles(terms: DataFrame) -> DataFrame:
+    return terms.where(F.length("value") >= 3).withColumn("needle", F.lower("value"))
 
 
-def _holding(texts: DataFrame, shared: Broadcast) -> DataFrame:
-    """texts(source_id, low) to (source_id, needle): the needles of the block that a text holds, each once, by one walk over its characters."""
+def term_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """texts(source_id, text), terms(subject_id, kind, value) to the pairs whose text holds the term (case-insensitive, three characters or more).
 
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for needle in shared.value:
-            automaton.add_word(needle, needle)
-        automaton.make_automaton()
-        for batch in batches:
-            ids, held = [], []
-            for key, low in zip(batch.column("source_id").to_pylist(), batch.column("low").to_pylist()):
-                own = {needle for _, needle in automaton.iter(low)} if low else ()
-                held += own
-                ids += [key] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(held, pa.string())], names=["source_id", "needle"])
-
-    return texts.mapInArrow(run, "source_id string, needle string")
-
-
-def term_matches(texts: DataFrame, terms: DataFrame, block: int = BLOCK_TERMS) -> DataFrame:
-    """texts(source_id, text), terms(subject_id, kind, value, norm) to the pairs whose text holds the term (case-insensitive, three characters or more).
-
-    A substring join without a nested loop: the distinct terms become one automaton, which every text is walked through
-    once, so the time is that of reading the texts and writing the pairs. Terms beyond `block` take further passes.
-    Null texts hold nothing; a text holds a term once, however often it stands there.
+    A substring join without a nested loop (see holding): no text meets a term that it doesn't nearly hold, and one pass
+    over the texts does for any number of terms. A text holds a term once, however often it stands there.
     """
-    spark = texts.sparkSession
-    low = texts.select(F.col("source_id").cast("string").alias("source_id"), F.lower("text").alias("low"))
-    wanted = terms.where(F.length("value") >= 3).select("subject_id", "kind", "value", F.lower("value").alias("needle"))
-    blocks = _in_blocks(wanted.select("needle").distinct(), block)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        held = _holding(low, spark.sparkContext.broadcast(first))
-    else:
-        parts = []
-        for needles in itertools.chain([first, second], blocks):
-            shared = spark.sparkContext.broadcast(needles)
-            parts.append(durable(_holding(low, shared)))
-            shared.destroy()
-        held = functools.reduce(DataFrame.unionByName, parts)
-    return held.join(wanted, "needle").select("source_id", "subject_id", "kind", "value")
+    wanted = _needles(terms).select("subject_id", "kind", "value", "needle")
+    return holding(texts, wanted.select("needle")).join(wanted, "needle").select("source_id", "subject_id", "kind", "value")
 
 
 def subject_observations(parsed: DataFrame, terms: DataFrame) -> DataFrame:
-    """Observations of the subjects' own names, places, employers, usernames and domains where a page's text holds them."""
-    wanted = terms.where(F.col("kind").isin(*TOKEN_KINDS))
-    texts = parsed.select("source_id", F.col("parsed.text").alias("text"))
-    found = term_matches(texts, wanted).join(texts, "source_id")
+    """Observations of the subjects' own names, usernames and domains where a page's text holds them, and of places and employers of any subject.
+
+    The latter have no subject: a page that says "Germany" gives one row, however many subjects live there; resolve gives
+    them to those of its subjects that something else points to.
+    """
+    wanted = _needles(terms.where(F.col("kind").isin(*TOKEN_KINDS)))
+    found = durable(holding(parsed.select("source_id", F.col("parsed.text").alias("text")), wanted.select("needle")))
     kind, order = F.lit(None).cast("string"), F.lit(0)
     for name, (observed, rank) in TOKEN_KINDS.items():
         kind, order = F.when(F.col("kind") == name, observed).otherwise(kind), F.when(F.col("kind") == name, rank).otherwise(order)
-    return found.select("source_id", "subject_id", kind.alias("type"), F.lower("value").alias("value"), F.col("value").alias("display"), T.snippet(F.col("text"), F.col("value")).alias("snippet"), F.lit(False).alias("sensitive"), F.lit("subject_tokens").alias("extractor"), F.lit(2).alias("extractor_rank"), order.alias("kind_rank"), F.lit(0).alias("pos"))
+    typed = wanted.select("subject_id", "needle", "value", kind.alias("type"), order.alias("kind_rank"), F.col("kind").isin(*SHARED_KINDS).alias("shared"))
+    own = typed.where("NOT shared").select("subject_id", "needle", "value", "type", "kind_rank")
+    shared = typed.where("shared").groupBy("needle", "type", "kind_rank").agg(F.min("value").alias("value")).select(F.lit(None).cast("string").alias("subject_id"), "needle", "value", "type", "kind_rank")
+    rows = found.join(own.unionByName(shared), "needle")
+    return rows.select("source_id", "subject_id", "type", F.col("needle").alias("value"), F.col("value").alias("display"), "snippet", F.lit(False).alias("sensitive"), F.lit(TOKENS).alias("extractor"), F.lit(2).alias("extractor_rank"), "kind_rank", F.lit(0).alias("pos"))
 
 
 FIELDS = ("source_id", "subject_id", "type", "value", "display", "snippet", "sensitive", "extractor", "extractor_rank", "kind_rank", "pos")
@@ -271,7 +234,8 @@ def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[
     """All observations of parsed pages, de-duplicated, as observation rows with deterministic ids; seen_at orders those of a source as they were found.
 
     Page facts have no subject and are found once per page; subject rows come from terms. extra: functions from the
-    parsed pages to further hits with FIELDS, checked against them. A subject's row gives way to an equal page fact.
+    parsed pages to further hits with FIELDS, checked against them. A subject's row, or that of a place or
+    employer in the text, gives way to an equal page fact.
     """
     hits = page_observations(parsed).select(*FIELDS)
     for more in extra:
@@ -279,7 +243,7 @@ def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[
         if missing := set(FIELDS) - set(found.columns):
             raise ValueError(f"an extractor lacks the columns {sorted(missing)}")
         hits = hits.unionByName(found.select(*FIELDS))
-    hits = first_wins(hits)
+    hits = durable(first_wins(hits))
     if terms is not None:
         own = first_wins(subject_observations(parsed, terms).select(*FIELDS))
         own = own.join(hits.select("source_id", "type", "value"), ["source_id", "type", "value"], "left_anti").select(*FIELDS)

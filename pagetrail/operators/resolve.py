@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions import text as T
+from pagetrail.operators.extract import TOKENS
 from pagetrail.schema import SIGNAL, VERSIONS
+from pagetrail.session import durable
 
 # Weights of evidence families, penalties and thresholds.
 STRONG, USERNAME, NAME, LOCATION, EMPLOYER = 0.97, 0.62, 0.50, 0.20, 0.35
@@ -17,25 +19,47 @@ LEAST_USERNAME = 4
 FLAGS = ("has_strong_direct", "has_username", "has_name", "name_in_title", "location_match", "employer_match", "location_conflict", "topic_conflict")
 
 
+def _sought(obs: DataFrame) -> Column:
+    """Whether an observation is a subject's term that was sought in the text; observations of other origin may lack the column."""
+    return F.coalesce(F.col("extractor") == TOKENS, F.lit(False)) if "extractor" in obs.columns else F.lit(False)
+
+
 def identifier_matches(obs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(source_id, subject_id, signal, detail) of exact joins: email, username, place, employer, by (kind, normalised value).
+    """(source_id, subject_id, signal, detail) of exact joins: email and username, by (kind, normalised value).
 
     Page facts meet every subject's terms; rows of a subject only its own.
     """
-    kinds = {"EMAIL": ("EMAIL",), "USERNAME": ("USERNAME",), "LOCATION": ("CITY", "COUNTRY"), "EMPLOYER": ("EMPLOYER",), "ORGANISATION": ("EMPLOYER",)}
-    edge = F.lit(None).cast("array<string>")
-    for kind, of in kinds.items():
-        edge = F.when(F.col("type") == kind, F.array(*map(F.lit, of))).otherwise(edge)
-    value = F.when(F.col("type").isin("EMPLOYER", "ORGANISATION"), T.norm(F.col("display_value"))).otherwise(F.col("value_normalized"))
-    left = obs.where(F.col("type").isin(*kinds)).select("source_id", F.col("subject_id").alias("own"), "type", "display_value", value.alias("norm"), F.explode(edge).alias("kind"))
-    right = terms.where(F.col("kind").isin("EMAIL", "USERNAME", "CITY", "COUNTRY", "EMPLOYER")).select("subject_id", "kind", "norm").distinct()
+    left = obs.where("type IN ('EMAIL', 'USERNAME')").select("source_id", F.col("subject_id").alias("own"), F.col("type").alias("kind"), "display_value", F.col("value_normalized").alias("norm"))
+    right = terms.where("kind IN ('EMAIL', 'USERNAME')").select("subject_id", "kind", "norm").distinct()
     both = left.join(right, ["kind", "norm"]).where(F.col("own").isNull() | (F.col("own") == F.col("subject_id")))
-    both = both.where((F.col("type") != "USERNAME") | (F.length("norm") >= LEAST_USERNAME))
-    signal = F.when(F.col("type") == "EMAIL", "email_match").when(F.col("type") == "USERNAME", "username_match").when(F.col("type") == "LOCATION", "location_match").otherwise("employer_match")
-    detail = F.when(F.col("type") == "EMAIL", "your email appears here").when(F.col("type") == "USERNAME", F.concat(F.lit("your username '"), "display_value", F.lit("' appears here"))).when(F.col("type") == "LOCATION", F.concat(F.lit("location '"), "display_value", F.lit("' matches yours"))).otherwise(F.concat(F.lit("employer '"), "display_value", F.lit("' matches yours")))
+    both = both.where((F.col("kind") != "USERNAME") | (F.length("norm") >= LEAST_USERNAME))
+    email = F.col("kind") == "EMAIL"
+    signal = F.when(email, "email_match").otherwise("username_match")
+    detail = F.when(email, "your email appears here").otherwise(F.concat(F.lit("your username '"), "display_value", F.lit("' appears here")))
     return both.select("source_id", "subject_id", signal.alias("signal"), detail.alias("detail")).distinct()
 
 
+def attribute_terms(terms: DataFrame) -> DataFrame:
+    """The subjects' places and employers: subject_id, type of the observation they match, norm, value in lower case."""
+    kind = F.when(F.col("kind") == "EMPLOYER", "EMPLOYER").otherwise("LOCATION")
+    return terms.where("kind IN ('CITY', 'COUNTRY', 'EMPLOYER')").select("subject_id", kind.alias("type"), "norm", F.lower("value").alias("low"))
+
+
+def attribute_matches(obs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source_id, subject_id, signal, detail) of places and employers, for pairs(source_id, subject_id) that something else points to.
+
+    A page's facts meet the pairs of that page first, then each pair's own terms, so a place that a third of all pages
+    name and a third of all subjects live in makes no product of both.
+    """
+    place = F.col("type") == "LOCATION"
+    norm = F.when(place, F.col("value_normalized")).otherwise(T.norm(F.col("display_value")))
+    facts = obs.where("type IN ('LOCATION', 'EMPLOYER', 'ORGANISATION')").select("source_id", F.col("subject_id").alias("own"), F.when(place, "LOCATION").otherwise("EMPLOYER").alias("type"), "display_value", norm.alias("norm"))
+    both = facts.join(pairs.select("source_id", "subject_id"), "source_id").where("own IS NULL OR own = subject_id")
+    met = both.join(attribute_terms(terms).select("subject_id", "type", "norm").distinct(), ["subject_id", "type", "norm"])
+    detail = F.when(place, F.concat(F.lit("location '"), "display_value", F.lit("' matches yours"))).otherwise(F.concat(F.lit("employer '"), "display_value", F.lit("' matches yours")))
+    return met.select("source_id", "subject_id", F.when(place, "location_match").otherwise("employer_match").alias("signal"), detail.alias("detail")).distinct()
+
+
 def phone_matches(obs: DataFrame, terms: DataFrame) -> DataFrame:
     """(source_id, subject_id, obs_id) of equal digits, or of equal last nine: two exact joins, no pair of other numbers is looked at."""
     d = T.digits(F.col("value_normalized"))
@@ -46,16 +70,26 @@ def phone_matches(obs: DataFrame, terms: DataFrame) -> DataFrame:
     return whole.unionByName(tail).distinct()
 
 
-def name_matches(obs: DataFrame, terms: DataFrame) -> DataFrame:
+#: Names that share a first token are met by that token alone up to so many; more are met by first and last token together.
+COMMON_NAME = 64
+
+
+def name_matches(obs: DataFrame, terms: DataFrame, common: int = COMMON_NAME) -> DataFrame:
     """(source_id, subject_id, in_title): observed names or titles that hold first and last token of a subject's name.
 
-    Joined on the (first, last) pair's first token, the last token tested on what meets.
+    A name's first token is met by an equi-join, its last one tested on what meets. First tokens that more than `common`
+    names have (counted) are met by the pair of first and last token: only where one stands in an observed name are its
+    pairs formed, so an observed "john" meets the names whose last token stands beside it, and not every John.
     """
-    named = obs.where(F.col("type").isin("NAME", "PAGE_TITLE")).select("source_id", F.col("subject_id").alias("own"), (F.col("type") == "PAGE_TITLE").alias("in_title"), F.array_distinct(T.tokens(F.col("display_value"))).alias("tokens"), F.size(T.tokens(F.col("display_value"))).alias("n"))
+    tokens = F.array_distinct(T.tokens(F.col("display_value")))
+    named = obs.where(F.col("type").isin("NAME", "PAGE_TITLE")).select("source_id", F.col("subject_id").alias("own"), (F.col("type") == "PAGE_TITLE").alias("in_title"), tokens.alias("tokens"), F.size(T.tokens(F.col("display_value"))).alias("n"))
     each = named.where("n >= 2").select("*", F.explode("tokens").alias("first_token"))
     names = terms.where("first_token IS NOT NULL").select("subject_id", "first_token", "last_token").distinct()
-    both = each.join(names, "first_token").where(F.expr("array_contains(tokens, last_token)") & (F.col("own").isNull() | (F.col("own") == F.col("subject_id"))))
-    return both.groupBy("source_id", "subject_id").agg(F.max("in_title").alias("in_title"))
+    often = names.groupBy("first_token").agg(F.count("*").alias("k")).where(F.col("k") > common).select("first_token")
+    rare = each.join(names.join(often, "first_token", "left_anti"), "first_token").where(F.expr("array_contains(tokens, last_token)"))
+    pairs = each.join(often, "first_token", "left_semi").select("*", F.explode("tokens").alias("last_token"))
+    both = rare.unionByName(pairs.join(names.join(often, "first_token", "left_semi"), ["first_token", "last_token"]))
+    return both.where("own IS NULL OR own = subject_id").groupBy("source_id", "subject_id").agg(F.max("in_title").alias("in_title"))
 
 
 def domain_matches(sources: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,14 +107,16 @@ def signals(sources: DataFrame, obs: DataFrame, terms: DataFrame) -> DataFrame:
 
     Correlated signals count once: a family is a flag. Direct signals stand once per distinct detail; names, places and
     employers once. Places on a page that aren't the subject's contradict if a name matches and no place does; a title
-    about another person contradicts if the name isn't in it.
+    about another person contradicts if the name isn't in it. Places and employers alone point to nobody: pairs come from
+    the other signals, and are then held against the page's places and employers.
     """
-    exact = identifier_matches(obs, terms)
-    rows = exact.select("source_id", "subject_id", "signal", "detail")
+    rows = identifier_matches(obs, terms)
     rows = rows.unionByName(phone_matches(obs, terms).select("source_id", "subject_id", F.lit("phone_match").alias("signal"), F.lit("your phone number appears here").alias("detail")).distinct())
     named = name_matches(obs, terms)
     rows = rows.unionByName(named.select("source_id", "subject_id", F.when(F.col("in_title"), "name_in_title").otherwise("name_match").alias("signal"), F.lit("your name appears here").alias("detail")))
     rows = rows.unionByName(domain_matches(sources, terms).select("source_id", "subject_id", F.lit("owned_domain").alias("signal"), F.concat(F.lit("source is on your domain "), "registrable_domain").alias("detail")))
+    rows = durable(rows)
+    rows = rows.unionByName(attribute_matches(obs, terms, rows.select("source_id", "subject_id").distinct()))
     has = lambda *names: F.coalesce(F.bool_or(F.col("signal").isin(*names)), F.lit(False))
     of = lambda name: F.array_sort(F.collect_set(F.when(F.col("signal") == name, F.col("detail"))))
     pairs = rows.groupBy("source_id", "subject_id").agg(
@@ -88,7 +124,8 @@ def signals(sources: DataFrame, obs: DataFrame, terms: DataFrame) -> DataFrame:
         has("location_match").alias("location_match"), has("employer_match").alias("employer_match"),
         of("owned_domain").alias("domains"), of("email_match").alias("emails"), of("phone_match").alias("phones"), of("username_match").alias("usernames"), of("location_match").alias("places"), of("employer_match").alias("employers"),
     )
-    places = obs.where("type = 'LOCATION'").select("source_id", F.col("subject_id").alias("own"), F.col("value_normalized").alias("place"))
+    # places of the subjects' own in the text don't contradict: only those that an extractor says the page is about
+    places = obs.where(F.expr("type = 'LOCATION'") & ~_sought(obs)).select("source_id", F.col("subject_id").alias("own"), F.col("value_normalized").alias("place"))
     known = terms.where("kind IN ('CITY', 'COUNTRY')").groupBy("subject_id").agg(F.collect_set("norm").alias("known"))
     other = places.join(pairs.select("source_id", "subject_id"), "source_id").where("own IS NULL OR own = subject_id").join(known, "subject_id").where("NOT array_contains(known, place)").groupBy("source_id", "subject_id").agg(F.min("place").alias("elsewhere"))
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("page_title"))
@@ -164,10 +201,15 @@ def own_identifiers(obs: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataF
     """Observations per (source, subject) pair, without other people's identifiers.
 
     Emails, usernames and phones stay only where they are the subject's, profiles where one of the subject's usernames
-    stands in them; all other kinds pass. Rows of one subject never reach another.
+    stands in them, places and employers that were sought in the text where they are the subject's; all other kinds
+    pass. Rows of one subject never reach another.
     """
-    both = obs.withColumnRenamed("subject_id", "own").join(pairs.select("source_id", "subject_id"), "source_id").where("own IS NULL OR own = subject_id").drop("own")
-    free = both.where(~F.col("type").isin("EMAIL", "USERNAME", "PHONE", "SOCIAL_LINK"))
+    sought = F.col("subject_id").isNull() & _sought(obs)
+    both = obs.withColumn("sought", sought).withColumnRenamed("subject_id", "own").join(pairs.select("source_id", "subject_id"), "source_id").where("own IS NULL OR own = subject_id").drop("own")
+    of_pair = attribute_terms(terms).select("subject_id", "type", F.col("low").alias("value_normalized"))
+    attributes = both.where("sought").join(of_pair, ["subject_id", "type", "value_normalized"], "left_semi").drop("sought")
+    both = both.where("NOT sought").drop("sought")
+    free = both.where(~F.col("type").isin("EMAIL", "USERNAME", "PHONE", "SOCIAL_LINK")).unionByName(attributes)
     key = terms.where("kind IN ('EMAIL', 'USERNAME')").select("subject_id", F.col("kind").alias("type"), F.col("norm").alias("value_normalized"))
     exact = both.where("type IN ('EMAIL', 'USERNAME')").join(key, ["subject_id", "type", "value_normalized"], "left_semi")
     phones = both.where("type = 'PHONE'").join(phone_matches(obs, terms).select("obs_id", "subject_id"), ["obs_id", "subject_id"], "left_semi")

@@ -105,7 +105,7 @@ def b1_canonical_url(spark, sf_dir):
 
 
 def b2_registrable_domain(spark, sf_dir):
-    return U.with_registrable_domain(read(spark, sf_dir, "pages").select("page_id", "url"), "url", U.suffixes(spark)).select("page_id", "registrable_domain")
+    return U.with_registrable_domain(read(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "registrable_domain")
 
 
 def b3_resolved_links(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,27 +22,34 @@ class Scan:
     findings: DataFrame
 
 
-def sources_of(pages: DataFrame, public_suffixes: DataFrame | None = None) -> DataFrame:
+def sources_of(pages: DataFrame, suffix_rules: Sequence[str] = U.SUFFIX_RULES) -> DataFrame:
     """pages(url, html, content_type, from_search) to sources with ids, canonical urls and domains; every page keeps a row and a status."""
     admitted = tables.admit_pages(pages)
-    if public_suffixes is None:
-        public_suffixes = U.suffixes(pages.sparkSession)
-    rows = U.with_registrable_domain(admitted.withColumn("canonical_url", U.canonical_url(F.col("url"))), "url", public_suffixes)
+    rows = U.with_registrable_domain(admitted.withColumn("canonical_url", U.canonical_url(F.col("url"))), "url", suffix_rules)
     return rows.withColumn("source_id", F.sha2(F.concat_ws("|", F.coalesce("scan_id", F.lit("")), F.coalesce("canonical_url", "url", F.lit(""))), 256))
 
 
-def scan(pages: DataFrame, subjects: DataFrame, extra=(), public_suffixes: DataFrame | None = None, decisions: DataFrame | None = None) -> Scan:
+def one_per_source(rows: DataFrame) -> DataFrame:
+    """One row of each source_id (of several, that of the smallest content hash). Only rows of sources that occur again are shuffled with their html."""
+    again = durable(rows.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n > 1").select("source_id"))
+    rest = [c for c in rows.columns if c != "source_id"]
+    first = rows.join(again, "source_id", "left_semi").groupBy("source_id").agg(F.min_by(F.struct(*rest), F.struct("content_hash", F.xxhash64(*(c for c in rest if c != "html")))).alias("_row"))
+    return rows.join(again, "source_id", "left_anti").unionByName(first.select("source_id", "_row.*"))
+
+
+def scan(pages: DataFrame, subjects: DataFrame, extra=(), suffix_rules: Sequence[str] = U.SUFFIX_RULES, decisions: DataFrame | None = None) -> Scan:
     """pages(scan_id, url, html, content_type, from_search), subjects to the four tables of a scan.
 
     Pages are parsed once and their facts found once, whatever the number of subjects; only retrieved pages are read,
     the others keep a source row with their status. Subjects meet pages by joins on identifiers. Raw pages end here.
     """
-    found = sources_of(pages, public_suffixes).dropDuplicates(["source_id"])
-    parsed = durable(extract.parse_pages(found.where("status = 'RETRIEVED'").select("source_id", "html", "content_type")))
+    found = one_per_source(sources_of(pages, suffix_rules))
+    kept = durable(extract.parse_pages(found).withColumn("parsed", F.when(F.col("status") == "RETRIEVED", F.col("parsed"))))
+    parsed = kept.where("parsed IS NOT NULL").select("source_id", "content_type", "parsed")
     terms = durable(extract.subject_terms(subjects))
     obs = durable(extract.observations(parsed, terms, list(extra)))
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("title"))
-    sources = durable(found.drop("html").join(titles, "source_id", "left"))
+    sources = durable(kept.drop("parsed").join(titles, "source_id", "left"))
     matches = durable(resolve.resolve(sources, obs, terms))
     if decisions is not None:
         keyed = matches.join(sources.select("source_id", "canonical_url"), "source_id")

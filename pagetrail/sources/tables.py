@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import text as T
 from pagetrail.functions import urls as U
+from pagetrail.operators.ordered import before, first_rows
 from pagetrail.schema import REGISTRY, SUBJECTS
 
 # Types that are read, and byte caps.
@@ -158,20 +159,25 @@ def scan_log(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def dedup_candidates(rows: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
-    """candidates to (kept, rejected): the first of each canonical url per scan (search before pasted, then position), at most `most` a scan; rejected are urls that can't be read."""
+    """candidates to (kept, rejected): the first of each canonical url per scan (search before pasted, then position), at most `most` a scan; rejected are urls that can't be read.
+
+    The first of a url is an aggregate with partial results, a scan's first a bounded top-k of each task, so neither a
+    url nor a scan that has a third of all rows is sorted in one task.
+    """
+    names = rows.columns
     rows = rows.withColumn("canonical_url", U.canonical_url(F.col("url")))
-    first = Window.partitionBy("scan_id", "canonical_url").orderBy(F.col("from_search").desc(), "position", "url")
-    rank = Window.partitionBy("scan_id").orderBy(F.col("from_search").desc(), "position", "url")
-    one = rows.where("canonical_url IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    kept = one.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= most).drop("_n")
+    pasted = ~F.coalesce("from_search", F.lit(False))
+    order = F.struct(pasted, "position", "url", F.xxhash64(*names))
+    first = rows.where("canonical_url IS NOT NULL").groupBy("scan_id", "canonical_url").agg(F.min_by(F.struct(*(c for c in names if c != "scan_id")), order).alias("_row"))
+    one = first.select("scan_id", "canonical_url", "_row.*").withColumn("_pasted", ~F.coalesce("from_search", F.lit(False)))
+    kept = first_rows(one, "scan_id", ["_pasted", "position", "url"], most).select(*names, "canonical_url")
     return kept, rows.where("canonical_url IS NULL").drop("canonical_url")
 
 
 def within_budget(pages: DataFrame, documents: int = 100, size: int = 100_000_000) -> DataFrame:
-    """pages(scan_id, position, n_bytes, ...) up to a scan's document and byte budgets; the page that crosses the bytes is still in."""
-    before = Window.partitionBy("scan_id").orderBy("position", "url").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("scan_id").orderBy("position", "url")
-    return pages.withColumn("_b", F.coalesce(F.sum("n_bytes").over(before), F.lit(0))).withColumn("_n", F.row_number().over(order)).where((F.col("_b") < size) & (F.col("_n") <= documents)).drop("_b", "_n")
+    """pages(scan_id, position, n_bytes, ...) up to a scan's document and byte budgets; the page that crosses the bytes is still in. A null size counts 0."""
+    counted = before(pages, "scan_id", ["position", "url"], "n_bytes")
+    return counted.where((F.col("_sum") < size) & (F.col("_n") < documents)).select(*pages.columns)
 
 
 def erase(tables: dict[str, DataFrame], subjects: DataFrame) -> dict[str, DataFrame]:

@@ -224,6 +224,51 @@ def subject_observations(parsed: DataFrame, terms: DataFrame) -> DataFrame:
 FIELDS = ("source_id", "subject_id", "type", "value", "display", "snippet", "sensitive", "extractor", "extractor_rank", "kind_rank", "pos")
 
 
+#: What a table function's rows may hold, and what stands where it gives no such column.
+GIVEN = {"type": "string", "value": "string", "display": "string", "snippet": "string", "sensitive": "boolean", "kind_rank": "int", "pos": "int"}
+
+
+def by_table_function(function: Callable[[Column], DataFrame], name: str, rank: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """An extractor, as observations() takes it, from a Python table function of a page's text.
+
+    The function is joined laterally, so a page gives any number of rows. Its columns are checked before anything runs:
+    type and value (strings) must be there, others of GIVEN may be, none else; display is the value where it is
+    missing, snippet the display, kind_rank and pos 0. Rows with a null or empty type or value are dropped; values
+    become lower case, as all extractors' are. An extractor of a smaller rank wins over one of a greater.
+    """
+
+    def more(parsed: DataFrame) -> DataFrame:
+        rows = parsed.select("source_id", F.coalesce(F.col("parsed.text"), F.lit("")).alias("_text"))
+        found = rows.lateralJoin(function(F.col("_text").outer())).drop("_text")
+        given = dict(found.dtypes)
+        given.pop("source_id")
+        wrong = {c: t for c, t in given.items() if GIVEN.get(c) != t} | {c: "missing" for c in ("type", "value") if c not in given}
+        if wrong:
+            raise ValueError(f"the columns of {name} don't fit: {wrong}; they may be {GIVEN}")
+        of = lambda c, other: F.coalesce(F.col(c), other) if c in given else other
+        display = of("display", F.col("value"))
+        made = found.where("type <> '' AND value <> ''").select("source_id", F.lit(None).cast("string").alias("subject_id"), "type", F.lower("value").alias("value"), display.alias("display"), of("snippet", display).alias("snippet"), of("sensitive", F.lit(False)).alias("sensitive"), F.lit(name).alias("extractor"), F.lit(rank).alias("extractor_rank"), of("kind_rank", F.lit(0)).alias("kind_rank"), of("pos", F.lit(0)).alias("pos"))
+        return made.select(*FIELDS)
+
+    return more
+
+
+@F.udtf(returnType="type string, value string, snippet string, pos int")
+class Residences:
+    """Where a text says that somebody lives or is based: LOCATION rows, for by_table_function."""
+
+    def eval(self, text: str):
+        import re
+
+        for m in re.finditer(r"\b(?:lives|living|resides|residing|based) in ((?:[A-Z][\w'-]+)(?: [A-Z][\w'-]+){0,2})", text or ""):
+            yield "LOCATION", m[1], text[max(m.start() - 40, 0) : m.end() + 40].strip(), m.start()
+
+
+def residences(parsed: DataFrame) -> DataFrame:
+    """The places where pages say that somebody lives, as an extractor for observations()."""
+    return by_table_function(Residences, "residences")(parsed)
+
+
 def first_wins(hits: DataFrame) -> DataFrame:
     """One row per (source, subject, type, value): the first by extractor, kind and place; ties by snippet."""
     order = Window.partitionBy("source_id", "subject_id", "type", "value").orderBy("extractor_rank", "kind_rank", "pos", "snippet")

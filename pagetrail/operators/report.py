@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import text as T
+from pagetrail.operators.ordered import before, first_rows
 from pagetrail.schema import ACTIONABLE, VERSIONS
+from pagetrail.session import durable
 
 
 def _seen(obs: DataFrame) -> Column:
@@ -84,7 +86,9 @@ def page_cards(findings: DataFrame, sources: DataFrame, obs: DataFrame) -> DataF
 
 
 def newest_first(rows: DataFrame, at: str, key: str) -> DataFrame:
-    return rows.orderBy(F.col(at).desc(), key)
+    """rows with place, from 1: the newest first, ties by key; null dates come last. Places are counted by ranges (see ordered.before), so no task sorts all rows."""
+    listed = rows.withColumns({"_all": F.lit(1), "_undated": F.col(at).isNull(), "_age": -F.unix_micros(F.col(at).cast("timestamp"))})
+    return before(listed, "_all", ["_undated", "_age", key], "_all").select(*rows.columns, (F.col("_n") + 1).alias("place"))
 
 
 def finding_details(findings: DataFrame, sources: DataFrame, matches: DataFrame, obs: DataFrame) -> DataFrame:
@@ -100,33 +104,54 @@ def board_counts(board: DataFrame) -> DataFrame:
     return board.rollup("lane").agg(F.count("*").alias("n_cases"))
 
 
-#: A report of an evaluation lists at most so many offenders.
-MOST_OFFENDERS = 100
-
-
-def evaluate(matches: DataFrame, labels: DataFrame) -> DataFrame:
-    """matches(subject_id, key, state), labels(subject_id, key, is_match, tag): tp, fp, fn, precision, recall of auto-confirmed matches, overall (tag null) and by tag; offenders: the keys of false positives, sorted, MOST_OFFENDERS at most."""
+def _judged(matches: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labels.join(matches.select("subject_id", "key", "state"), ["subject_id", "key"], "left")
     sure = F.coalesce(F.col("state").isin(*ACTIONABLE), F.lit(False))
-    rows = rows.select("tag", "is_match", sure.alias("sure"), F.concat_ws("|", "subject_id", "key").alias("pair"))
+    return rows.select("tag", "is_match", sure.alias("sure"), F.concat_ws("|", "subject_id", "key").alias("pair"))
+
+
+def offenders(matches: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tag, pair) of every auto-confirmed match that the labels say is none: all of them, one row each."""
+    return _judged(matches, labels).where("sure AND NOT is_match").select("tag", "pair")
+
+
+def evaluate(matches: DataFrame, labels: DataFrame, most: int = 100) -> DataFrame:
+    """matches(subject_id, key, state), labels(subject_id, key, is_match, tag): tp, fp, fn, precision, recall of auto-confirmed matches, overall (tag null) and by tag.
+
+    offenders: the first `most` keys of false positives, sorted, for people to look at (fp counts all; offenders() lists all).
+    """
+    rows = _judged(matches, labels)
     out = rows.rollup("tag").agg(F.count_if(F.col("sure") & F.col("is_match")).alias("tp"), F.count_if(F.col("sure") & ~F.col("is_match")).alias("fp"), F.count_if(~F.col("sure") & F.col("is_match")).alias("fn"))
     wrong = rows.where("sure AND NOT is_match").select("tag", "pair")
-    listed = wrong.unionByName(wrong.withColumn("tag", F.lit(None).cast("string"))).withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("pair"))).where(F.col("n") <= MOST_OFFENDERS)
+    listed = first_rows(wrong.unionByName(wrong.withColumn("tag", F.lit(None).cast("string"))), "tag", ["pair"], most)
     named = listed.groupBy("tag").agg(F.array_sort(F.collect_list("pair")).alias("offenders"))
     out = out.join(named.withColumnRenamed("tag", "_tag"), F.col("tag").eqNullSafe(F.col("_tag")), "left").drop("_tag")
     return out.select("tag", "tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.coalesce("offenders", F.array().cast("array<string>")).alias("offenders"))
 
 
+#: The least precision of auto-confirmed matches (fixed value).
+PRECISION_GATE = 0.98
+
+
+def gate(evaluation: DataFrame, least: float = PRECISION_GATE) -> DataFrame:
+    """An evaluation with passes: whether the precision, overall and of each tag, is `least` or more; without any auto-confirmed match there is nothing to fail."""
+    return evaluation.withColumn("passes", F.coalesce(F.col("precision") >= least, F.lit(True)))
+
+
 def state_distribution(matches: DataFrame) -> DataFrame:
     return matches.groupBy("state").agg(F.count("*").alias("n_matches"))
 
 
-def quality_metrics(findings: DataFrame, sources: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row: share of uncertain findings, of retrieved sources, of sources with a repeated canonical url, of findings with a case."""
+def quality_metrics(findings: DataFrame, sources: DataFrame, cases: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row: share of uncertain findings, of retrieved sources, of sources with a repeated canonical url, of findings with a case; bytes_used of retrieved sources (n_bytes, 0 without the column) and queries_used, the queries(ran) that ran."""
     a = findings.agg(F.try_divide(F.count_if(~_sure()), F.count("*")).alias("ambiguous_rate"), F.count("*").alias("n_findings"))
-    b = sources.agg(F.try_divide(F.count_if(F.col("status") == "RETRIEVED"), F.count("*")).alias("retrieval_success"), (1 - F.try_divide(F.count_distinct("canonical_url"), F.count("*"))).alias("duplicate_rate"))
+    got = F.col("status") == "RETRIEVED"
+    size = F.coalesce(F.sum(F.when(got, F.col("n_bytes"))), F.lit(0)).cast("long") if "n_bytes" in sources.columns else F.lit(0).cast("long")
+    b = sources.agg(F.try_divide(F.count_if(got), F.count("*")).alias("retrieval_success"), (1 - F.try_divide(F.count_distinct("canonical_url"), F.count("*"))).alias("duplicate_rate"), size.alias("bytes_used"))
     c = cases.agg(F.count_distinct("finding_id").alias("n_with_case"))
-    return a.join(b, F.lit(True)).join(c, F.lit(True)).select("ambiguous_rate", "retrieval_success", "duplicate_rate", F.try_divide("n_with_case", "n_findings").alias("remediation_coverage"))
+    ran = queries.agg(F.count_if("ran").alias("queries_used")) if queries is not None else cases.agg((F.count("*") * 0).alias("queries_used"))
+    rows = a.join(b, F.lit(True)).join(c, F.lit(True)).join(ran, F.lit(True))
+    return rows.select("ambiguous_rate", "retrieval_success", "duplicate_rate", F.try_divide("n_with_case", "n_findings").alias("remediation_coverage"), "bytes_used", "queries_used")
 
 
 def packets(findings: DataFrame, sources: DataFrame, obs: DataFrame, snippets: int = 6, most: int = 20) -> DataFrame:
@@ -171,6 +196,34 @@ def subject_reports(subjects: DataFrame, findings: DataFrame, sources: DataFrame
     return out.select("subject_id", F.to_json(report).alias("report"))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One JSON text per subject, in a folder of its own."""
-    reports.write.mode("overwrite").partitionBy("subject_id").text(path)
+#: Bytes of reports in a file.
+REPORT_FILE = 64 << 20
+
+
+def write_reports(reports: DataFrame, path: str, file_bytes: int = REPORT_FILE) -> DataFrame:
+    """Writes reports(subject_id, report JSON) as lines of JSON in files of about file_bytes, sorted by subject, and an index of them; returns the index.
+
+    The index (file, first, last: subject ids, n) has a row a file and lies beside the files, so one subject's report is
+    read from the one file that may hold it. Subjects are dealt out by ranges of a sample, so no file is many times as
+    large as others. Null reports are left out; a subject's reports, if several, stay all.
+    """
+    rows = durable(reports.select("subject_id", "report").where("report IS NOT NULL AND subject_id IS NOT NULL"))
+    size = rows.agg(F.sum(F.octet_length("report").cast("long"))).first()[0] or 0
+    ranged = rows.repartitionByRange(max(1, -(-size // file_bytes)), "subject_id").sortWithinPartitions("subject_id")
+    ranged.write.mode("overwrite").json(f"{path}/files", compression="gzip")
+    written = rows.sparkSession.read.schema("subject_id string, report string").json(f"{path}/files")
+    index = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("subject_id").alias("first"), F.max("subject_id").alias("last"), F.count("*").alias("n"))
+    index.write.mode("overwrite").parquet(f"{path}/index")
+    return rows.sparkSession.read.parquet(f"{path}/index")
+
+
+def read_reports(spark: SparkSession, path: str, subject_ids: list[str]) -> DataFrame:
+    """The stored reports of a few subjects (subject_id, report), from the files alone that may hold them."""
+    index = spark.read.parquet(f"{path}/index")
+    may = F.lit(False)
+    for s in subject_ids:
+        may = may | F.lit(s).between(F.col("first"), F.col("last"))
+    files = [r["file"] for r in index.where(may).select("file").distinct().collect()]  # a file or two for each of the ids
+    if not files:
+        return spark.createDataFrame([], "subject_id string, report string")
+    return spark.read.schema("subject_id string, report string").json(files).where(F.col("subject_id").isin(*subject_ids))

@@ -185,12 +185,11 @@ ORACLES["f6_supersede"] = f"WITH {PRESENTED}, t AS (SELECT finding_id, subject_i
 
 
 def f9_newest_findings(spark, sf_dir):
-    """The first page of a newest-first listing."""
-    rows = report.newest_first(presented(spark, sf_dir), "created_at", "finding_id").limit(200)
-    return rows.select("finding_id", "category")
+    """A newest-first listing, whole, with each row's place."""
+    return report.newest_first(presented(spark, sf_dir), "created_at", "finding_id").select("finding_id", "category", "place")
 
 
-ORACLES["f9_newest_findings"] = f"WITH {PRESENTED} SELECT finding_id, category FROM f ORDER BY created_at DESC, finding_id LIMIT 200"
+ORACLES["f9_newest_findings"] = f"WITH {PRESENTED} SELECT finding_id, category, row_number() OVER (ORDER BY created_at DESC, finding_id) AS place FROM f"
 
 
 def i7_d9_decisions(spark, sf_dir):

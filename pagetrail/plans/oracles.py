@@ -190,7 +190,7 @@ ORACLES = {
     "i8_assess": f"WITH {ASSESSED} SELECT finding_id, {severity('s')} AS sensitivity, {severity('d')} AS discoverability, {severity('m')} AS misuse_potential, {severity('p')} AS persistence, {severity('priority')} AS overall_priority, {_CODES} AS explanation_codes FROM z",
     "e4_dashboard": f"WITH {ASSESSED} SELECT subject_id, COUNT(*) AS total, COUNT(*) FILTER (sure AND priority >= 3) AS high, COUNT(*) FILTER (sure AND priority = 2) AS moderate, COUNT(*) FILTER (sure AND priority < 2) AS low, COUNT(*) FILTER (NOT sure) AS needs_review FROM z GROUP BY subject_id",
     "e5_report_summary": f"WITH {ASSESSED} SELECT subject_id, COUNT(*) FILTER (sure AND priority = 4) AS critical, COUNT(*) FILTER (sure AND priority = 3) AS high, COUNT(*) FILTER (sure AND priority = 2) AS moderate, COUNT(*) FILTER (sure AND priority = 1) AS low, COUNT(*) FILTER (sure AND priority = 0) AS none, COUNT(*) FILTER (NOT sure) AS needs_review FROM z GROUP BY subject_id",
-    "e13_quality_metrics": f"WITH {ASSESSED}, a AS (SELECT COUNT(*) FILTER (NOT sure) / COUNT(*) AS ambiguous_rate, COUNT(*) AS n FROM z), b AS (SELECT COUNT(*) FILTER (page_id % 3 <> 0) / COUNT(*) AS retrieval_success, 1 - COUNT(DISTINCT {canonical('url')}) / COUNT(*) AS duplicate_rate FROM pages), c AS (SELECT COUNT(*) AS w FROM orders WHERE o_orderkey % 2 = 0) SELECT ambiguous_rate, retrieval_success, duplicate_rate, w / n AS remediation_coverage FROM a, b, c",
+    "e13_quality_metrics": f"WITH {ASSESSED}, a AS (SELECT COUNT(*) FILTER (NOT sure) / COUNT(*) AS ambiguous_rate, COUNT(*) AS n FROM z), b AS (SELECT COUNT(*) FILTER (page_id % 3 <> 0) / COUNT(*) AS retrieval_success, 1 - COUNT(DISTINCT {canonical('url')}) / COUNT(*) AS duplicate_rate, CAST(COALESCE(SUM(strlen(html)) FILTER (page_id % 3 <> 0), 0) AS BIGINT) AS bytes_used FROM pages), c AS (SELECT COUNT(*) AS w FROM orders WHERE o_orderkey % 2 = 0), d AS (SELECT COUNT(*) FILTER (event_id % 10 <> 0) AS queries_used FROM events) SELECT ambiguous_rate, retrieval_success, duplicate_rate, w / n AS remediation_coverage, bytes_used, queries_used FROM a, b, c, d",
     "i12_routes": f"WITH r AS ({RATED}), live(registry_id, route, provider, category) AS (VALUES {_APPLIES}), f AS (SELECT *, domain = 'github.com' AS own, domain LIKE '%.gov' OR domain LIKE '%europa.eu' AS gov FROM r JOIN customer ON subject_id = CAST(c_custkey AS VARCHAR)), o AS (SELECT finding_id, CASE registry_id WHEN 'user_controlled_remove' THEN 1 WHEN 'google_personal_info' THEN 5 ELSE 6 END AS rank, registry_id, route, provider, registry_id = 'user_controlled_remove' AS recommended, CASE registry_id WHEN 'user_controlled_remove' THEN '{_q(OWN)}' WHEN 'google_personal_info' THEN '{_q(DELIST)}' ELSE '{_q(PUBLISHER)}' END AS reason, registry_id = 'user_controlled_remove' AS jurisdiction_relevant FROM f JOIN live USING (category) WHERE registry_id IN ('google_personal_info', 'generic_publisher_contact') OR (registry_id = 'user_controlled_remove' AND own)) SELECT * FROM o UNION ALL SELECT finding_id, 7, NULL, 'NO_ACTION_AVAILABLE', '(none)', gov, CASE WHEN gov THEN '{_q(PUBLIC)}' ELSE '{_q(NONE)}' END, FALSE FROM f WHERE gov OR finding_id NOT IN (SELECT finding_id FROM o)",
     "i15_transitions": f"WITH e AS ({EVENTS}), s AS (SELECT event_id, {pick(STATES, 'event_id % 13')} AS state, target FROM e) SELECT * FROM s WHERE list_contains({MOVES}, state || '>' || target)",
     "i16_case_fold": f"WITH {FOLD} SELECT case_id, z.s AS state, z.a AS n_applied, z.r AS n_rejected FROM f",

@@ -300,8 +300,9 @@ def e5_report_summary(spark, sf_dir):
 
 def e13_quality_metrics(spark, sf_dir):
     f = rated(spark, sf_dir)
-    sources = read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 == 0, "TIMEOUT").otherwise("RETRIEVED").alias("status"), U.canonical_url(F.col("url")).alias("canonical_url"))
-    return report.quality_metrics(f, sources, f.where("cast(finding_id as long) % 2 = 0").select("finding_id"))
+    sources = read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 == 0, "TIMEOUT").otherwise("RETRIEVED").alias("status"), U.canonical_url(F.col("url")).alias("canonical_url"), F.octet_length("html").alias("n_bytes"))
+    ran = read(spark, sf_dir, "events").select((F.col("event_id") % 10 != 0).alias("ran"))
+    return report.quality_metrics(f, sources, f.where("cast(finding_id as long) % 2 = 0").select("finding_id"), ran)
 
 
 def i12_routes(spark, sf_dir):

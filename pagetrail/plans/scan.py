@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions import urls as U
+from pagetrail.functions.html import decode_body
 from pagetrail.operators import assess, extract, resolve
 from pagetrail.session import durable
 from pagetrail.sources import tables
@@ -23,7 +24,13 @@ class Scan:
 
 
 def sources_of(pages: DataFrame, suffix_rules: Sequence[str] = U.SUFFIX_RULES) -> DataFrame:
-    """pages(url, html, content_type, from_search) to sources with ids, canonical urls and domains; every page keeps a row and a status."""
+    """pages(url, html or body, content_type, from_search) to sources with ids, canonical urls and domains; every page keeps a row and a status.
+
+    body are a page's bytes as they came: UTF-8, or Latin-1 if they aren't (a PDF, whose bytes are no text, has an empty text).
+    """
+    if "body" in pages.columns:
+        kind = tables.content_type_of(F.col("content_type"))
+        pages = pages.withColumn("html", F.when(~kind.isin(*tables.PDF_TYPES), decode_body(F.col("body")))).drop("body")
     admitted = tables.admit_pages(pages)
     rows = U.with_registrable_domain(admitted.withColumn("canonical_url", U.canonical_url(F.col("url"))), "url", suffix_rules)
     return rows.withColumn("source_id", F.sha2(F.concat_ws("|", F.coalesce("scan_id", F.lit("")), F.coalesce("canonical_url", "url", F.lit(""))), 256))
@@ -37,8 +44,8 @@ def one_per_source(rows: DataFrame) -> DataFrame:
     return rows.join(again, "source_id", "left_anti").unionByName(first.select("source_id", "_row.*"))
 
 
-def scan(pages: DataFrame, subjects: DataFrame, extra=(), suffix_rules: Sequence[str] = U.SUFFIX_RULES, decisions: DataFrame | None = None) -> Scan:
-    """pages(scan_id, url, html, content_type, from_search), subjects to the four tables of a scan.
+def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: Sequence[str] = U.SUFFIX_RULES, decisions: DataFrame | None = None, terms: DataFrame | None = None) -> Scan:
+    """pages(scan_id, url, html or body, content_type, from_search), subjects to the four tables of a scan. terms: the subjects' terms, if they are at hand.
 
     Pages are parsed once and their facts found once, whatever the number of subjects; only retrieved pages are read,
     the others keep a source row with their status. Subjects meet pages by joins on identifiers. Raw pages end here.
@@ -46,7 +53,7 @@ def scan(pages: DataFrame, subjects: DataFrame, extra=(), suffix_rules: Sequence
     found = one_per_source(sources_of(pages, suffix_rules))
     kept = durable(extract.parse_pages(found).withColumn("parsed", F.when(F.col("status") == "RETRIEVED", F.col("parsed"))))
     parsed = kept.where("parsed IS NOT NULL").select("source_id", "content_type", "parsed")
-    terms = durable(extract.subject_terms(subjects))
+    terms = durable(extract.subject_terms(subjects)) if terms is None else terms
     obs = durable(extract.observations(parsed, terms, list(extra)))
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("title"))
     sources = durable(kept.drop("parsed").join(titles, "source_id", "left"))

@@ -123,11 +123,12 @@ class Stored:
         named = set()
         for n in numbers[-versions:]:
             stream = self._files.open(self._at(f"versions/{n:012d}"))
-            named |= {f.split("/")[1] for f in json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"].values()}
+            named |= {f.removeprefix("data/") for f in json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"].values()}
             stream.close()
         for folder in self._names("data"):
-            if folder not in named:
-                self._files.delete(self._at(f"data/{folder}"), True)
+            for part in self._names(f"data/{folder}"):
+                if f"{folder}/{part}" not in named:
+                    self._files.delete(self._at(f"data/{folder}/{part}"), True)
         for n in numbers[:-versions]:
             self._files.delete(self._at(f"versions/{n:012d}"), False)
         self._files.delete(self._at("drafts"), True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagetrail.functions import urls as U
-from pagetrail.plans.scan import scan
+from pagetrail.operators.extract import subject_terms
+from pagetrail.plans.scan import scan, sources_of
 from pagetrail.schema import TRANSITIONS
+from pagetrail.session import durable
+from pagetrail.sources.stored import Stored
 
 
 def monitor_pages(stream: DataFrame, subjects: DataFrame, sink: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Scans each micro-batch of a stream of pages (scan_id, url, html, content_type, from_search) and writes its findings under the batch's number.
 
     A batch that runs again overwrites its own folder, so each page's findings stand once; assess.supersede picks the
-    newest per page and subject when the table is read.
+    newest per page and subject when the table is read. The subjects' terms are prepared once, when the stream starts.
     """
+    terms = durable(subject_terms(subjects))
 
     def run(batch: DataFrame, number: int) -> None:
-        found = scan(batch, subjects)
+        found = scan(batch, None, terms=terms)
         rows = found.findings.join(found.sources.select("source_id", "canonical_url", "scan_id"), "source_id")
         rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
         if on_batch:
@@ -33,6 +37,45 @@ def monitor_pages(stream: DataFrame, subjects: DataFrame, sink: str, checkpoint:
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+FOLLOWED = "source_id string, canonical_url string, content_hash string, at timestamp"
+FOUND = "source_id string, canonical_url string, finding_id string, subject_id string, category string, overall_priority string, match_state string, identity_confidence double, at timestamp"
+
+
+def followed(spark: SparkSession, path: str) -> tuple[Stored, Stored]:
+    """The stored tables of follow_pages: the pages as they were last read, and the findings on them."""
+    kind = lambda schema: spark.createDataFrame([], schema).schema
+    return Stored(spark, f"{path}/pages", ["source_id"], kind(FOLLOWED)), Stored(spark, f"{path}/findings", ["source_id"], kind(FOUND))
+
+
+def follow_pages(stream: DataFrame, subjects: DataFrame, path: str, checkpoint: str, extra: Sequence = ()) -> StreamingQuery:
+    """Keeps the findings of a stream of pages (url, html, content_type, from_search, at timestamp) up to date in stored tables (see followed).
+
+    Each page, known by its canonical url, has one state: the hash and time of its newest content. Of a micro-batch only
+    pages whose content is new go on to be parsed and matched; their findings take the place of the page's older ones,
+    and where nothing is found any more the older ones go. A page that couldn't be read, or a copy older than the one
+    known, changes nothing. Only buckets of the stored tables that hold such pages are rewritten. Both tables take a
+    batch under its number, so one that runs again, whole or in part, counts once. Terms are prepared once a stream. extra: as in scan().
+    """
+    spark = stream.sparkSession
+    pages, findings = followed(spark, path)
+    terms = durable(subject_terms(subjects))
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = sources_of(batch.withColumn("scan_id", F.lit(""))).where("status = 'RETRIEVED'")
+        seen = rows.select("source_id", "canonical_url", "content_hash", "at")
+        last = durable(seen.groupBy("source_id").agg(F.max_by(F.struct("canonical_url", "content_hash", "at"), F.struct("at", "content_hash")).alias("x")).select("source_id", "x.*"))
+        known = pages.read().select("source_id", F.col("content_hash").alias("_hash"), F.col("at").alias("_at"))
+        newer = durable(last.join(known, "source_id", "left").where("_at IS NULL OR at > _at").withColumn("changed", F.coalesce(F.col("content_hash") != F.col("_hash"), F.lit(True))).drop("_hash", "_at"))
+        fresh = newer.where("changed")
+        changed = rows.join(fresh.select("source_id", "content_hash", "at"), ["source_id", "content_hash", "at"], "left_semi").select("scan_id", "url", "html", "content_type", "from_search")
+        found = scan(changed, None, extra, terms=terms).findings
+        out = found.join(fresh.select("source_id", "canonical_url", "at"), "source_id").select(*(f.split()[0] for f in FOUND.split(", ")))
+        findings.replace(fresh.select("source_id"), out, change=f"batch {number}")
+        pages.upsert(newer, "at", change=f"batch {number}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scan_progress(stream: DataFrame, window: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """stream(scan_id, status, n_bytes, at timestamp) to counters per scan and window (tumbling, or sliding by slide); rows later than the watermark are dropped."""
     span = F.window("at", window, slide) if slide else F.window("at", window)

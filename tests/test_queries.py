@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from pagetrail.plans import desk, oracles, queries
+from pagetrail.plans import desk, oracles, queries, trials
 
-ORACLES, QUERIES = oracles.ORACLES | desk.ORACLES, queries.QUERIES | desk.QUERIES
+ORACLES, QUERIES = oracles.ORACLES | desk.ORACLES | trials.ORACLES, queries.QUERIES | desk.QUERIES | trials.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from pagetrail.session import durable
 
-#: Bytes of an anchor: the largest of these that the needle has room for. A needle has three characters or more.
-WIDTHS = (3, 4, 6, 8)
+#: Bytes of an anchor: as many as the needle has, or the most. A needle has three characters or more.
+WIDTHS = (3, 4, 5, 6, 7, 8)
 #: Frequencies of anchors are kept in so many slots for each width, from so many texts; they steer which anchor a needle takes, never what is found.
-SLOTS, SAMPLE = 1 << 16, 2000
-#: Bits of the filter for each anchor, and at most.
-FILTER_BITS, MOST_BITS = 64, 1 << 28
+SLOTS, SAMPLE = 1 << 14, 2000
+#: Bits of the filter for each anchor, at least and at most (powers of two). An anchor sets two of them.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 23, 1 << 28
 #: A key that stands in the texts so often (by the sample) has its rows dealt out over several, at most MOST_SALTS.
 HOT, MOST_SALTS = 100_000, 64
 #: Characters left and right of a needle in its snippet.
@@ -26,7 +26,7 @@ PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 HIT = "source_id string, width int, key long, salt int, at int, lead int, low string, around string, around_lead int, n_chars int"
-ANCHOR = "needle string, width int, key long, off int, bit long, salts int"
+ANCHOR = "needle string, width int, key long, off int, hash long, salts int"
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -48,11 +48,11 @@ def _hashes(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _slot(keys: np.ndarray, width: int) -> np.ndarray:
-    return (_hashes(keys, width) >> np.uint64(48)).astype(np.int64)
+    return (_hashes(keys, width) >> np.uint64(50)).astype(np.int64)
 
 
 def width_of(n_bytes: int) -> int:
-    return max(w for w in WIDTHS if w <= n_bytes)
+    return min(n_bytes, WIDTHS[-1])
 
 
 def _frequencies(texts: DataFrame, column: str) -> np.ndarray:
@@ -61,18 +61,17 @@ def _frequencies(texts: DataFrame, column: str) -> np.ndarray:
     def run(batches):
         total = np.zeros((len(WIDTHS), SLOTS), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                windows = _windows(data)
+            whole = _Batch(batch.column(0))
+            for a, windows, _ in whole.pieces():
+                left = whole.starts[np.searchsorted(whole.starts, np.arange(a, a + len(windows)), side="right")] - np.arange(a, a + len(windows))
                 for i, w in enumerate(WIDTHS):
-                    if len(data) >= w:
-                        total[i] += np.bincount(_slot(_keys(windows[: len(data) - w + 1], w), w), minlength=SLOTS)
+                    total[i] += np.bincount(_slot(_keys(windows[left >= w], w), w), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["slot", "n"])
 
     out = np.zeros(len(WIDTHS) * SLOTS, np.int64)
-    for row in texts.select(column).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the slots, whatever the input
-        out[row["slot"]] = row["n"]
+    sums = texts.select(column).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most the slots, whatever the input
+    out[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     return out.reshape(len(WIDTHS), SLOTS)
 
 
@@ -94,26 +93,29 @@ def anchors(needles: DataFrame, texts: np.ndarray, own: np.ndarray) -> DataFrame
                 cost = (texts[i, slots] + 1.0) * own[i, slots]
                 cost[(data[: len(keys)] & 0xC0) == 0x80] = np.inf  # inside a character
                 at = int(cost.argmin())
-                rows.append((needle, w, int(keys[at].astype(np.int64)), len(data[:at].tobytes().decode()), int(_hashes(keys[at : at + 1], w)[0] >> np.uint64(1)), int(_salts(texts[i, slots[at]]))))
+                rows.append((needle, w, int(keys[at].astype(np.int64)), len(data[:at].tobytes().decode()), int(_hashes(keys[at : at + 1], w).astype(np.int64)[0]), int(_salts(texts[i, slots[at]]))))
             columns = list(zip(*rows)) or [[]] * 6
             types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["needle", "width", "key", "off", "bit", "salts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["needle", "width", "key", "off", "hash", "salts"])
 
     return needles.mapInArrow(run, ANCHOR)
 
 
 def _filter(found: DataFrame, bits: int) -> np.ndarray:
-    """The bits of all anchors, as bytes; built by Spark's bitmap aggregates, at most MOST_BITS."""
-    bit = F.col("bit") % bits + 1
-    parts = found.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = np.zeros(-(-bits // 8), np.uint8)
+    """Two bits of each anchor's hash, its lowest and those from the 33rd, as bytes; built by Spark's bitmap aggregates, at most MOST_BITS."""
+    rows = found.select(F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 33))).alias("hash")).select((F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1).alias("bit"))
+    parts = rows.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
     for row in parts.toLocalIterator():
         start = (row["part"] - 1) * 4096
-        part = np.frombuffer(row["bits"], np.uint8)[: len(out) - start]
-        out[start : start + len(part)] = part
+        out[start : start + 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def _has(held: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return held[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+
+
 class _Batch:
     """The texts of an Arrow batch as one run of bytes."""
 
@@ -135,13 +137,18 @@ class _Batch:
             yield a, _windows(part)[:n], chars
 
 
-def hits(texts: DataFrame, widths: list[int], filter_bits: np.ndarray, bits: int, frequency: np.ndarray, longest: int) -> DataFrame:
-    """texts(source_id, text, low) to the places where an anchor may begin, each with what surrounds it: enough of the text for any needle of `longest` characters and its snippet."""
+def hits(texts: DataFrame, widths: list[int], filters: tuple[np.ndarray, np.ndarray], bits: int, frequency: np.ndarray, longest: int) -> DataFrame:
+    """texts(source_id, text, low) to the places where an anchor may begin, each with what surrounds it: enough of the text for any needle of `longest` characters and its snippet.
+
+    filters: the bits of all anchors, and of those that are part of a longer needle. Of the others, which are whole
+    needles, only a text's first place counts.
+    """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((filter_bits, frequency))
+    shared = spark.sparkContext.broadcast((*filters, frequency))
 
     def run(batches):
-        held, known = shared.value
+        held, parts, known = shared.value
+        mask = np.uint64(bits - 1)
         for batch in batches:
             low, text, ids = batch.column("low"), batch.column("text"), batch.column("source_id")
             whole = _Batch(low)
@@ -153,11 +160,16 @@ def hits(texts: DataFrame, widths: list[int], filter_bits: np.ndarray, bits: int
                 first_char[own] = chars[whole.starts[own] - a]
                 for w in widths:
                     keys = _keys(windows, w)
-                    h = (_hashes(keys, w) >> np.uint64(1)) % np.uint64(bits)
-                    at = np.flatnonzero(held[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1)
+                    h = _hashes(keys, w)
+                    at = np.flatnonzero(_has(held, h & mask))
+                    at = at[_has(held, h[at] >> np.uint64(33) & mask).astype(bool)]
                     doc = np.searchsorted(whole.starts, at + a, side="right") - 1
                     fits = at + a + w <= whole.starts[doc + 1]
                     at, doc = at[fits], doc[fits]
+                    order = np.lexsort((at, keys[at], doc))
+                    again = np.append(False, (np.diff(doc[order]) == 0) & (np.diff(keys[at[order]].astype(np.int64)) == 0))[: len(at)]
+                    longer = (_has(parts, h[at[order]] & mask) & _has(parts, h[at[order]] >> np.uint64(33) & mask)).astype(bool)
+                    at, doc = at[order][longer | ~again], doc[order][longer | ~again]
                     salts = _salts(known[WIDTHS.index(w), _slot(keys[at], w)])
                     for place, d, key, s, c in zip(at.tolist(), doc.tolist(), keys[at].astype(np.int64).tolist(), salts.tolist(), chars[at].tolist()):
                         if strings[0] != d:
@@ -199,9 +211,10 @@ def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
     share = min(1.0, SAMPLE / max(every, 1))
     frequency = (_frequencies(low.sample(share, 7) if share < 1 else low, "low") / share).astype(np.int64)
     found = durable(anchors(needles, frequency, own))
-    bits = min(MOST_BITS, max(1 << 15, 1 << int(FILTER_BITS * count - 1).bit_length()))
-    widths = sorted(r[0] for r in found.select("width").distinct().collect())  # at most the four of WIDTHS
-    seen = hits(low, widths, _filter(found, bits), bits, frequency, longest)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(FILTER_BITS * count - 1).bit_length()))
+    widths = sorted(r[0] for r in found.select("width").distinct().collect())  # at most those of WIDTHS
+    part = F.octet_length("needle") > F.col("width")
+    seen = hits(low, widths, (_filter(found, bits), _filter(found.where(part), bits)), bits, frequency, longest)
     keyed = found.select("needle", "width", "key", "off", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     n = F.char_length("needle")
     met = seen.join(keyed, ["width", "key", "salt"]).where((F.col("lead") >= F.col("off")) & (F.substring("low", F.col("lead") - F.col("off") + 1, n) == F.col("needle")))

@@ -15,8 +15,14 @@ from pagetrail.llm.common import durable, in_batches
 
 CAPACITY = 1024
 END = 2
-ROUNDS = 400
-KEPT = 0.95
+#: Rounds of pricing that one solution of the program may take, and the distance from its bound at which it is good enough.
+ROUNDS, GAP = 400, 0.01
+#: Patterns that a round adds, steps that it takes, and how fast weights fall in a step.
+NEW, STEPS, RATE = 32, 200, 0.1
+#: Shares of the program that are tried.
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
+#: Patterns that leave over a larger share of a bin are not taken.
+WASTE = 0.004
 SALTS = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -99,64 +105,113 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int |
     return in_batches(docs.select("doc_id", "text"), run, f"{PIECE}, ids binary")
 
 
-def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The most valuable multiset of sizes 1..len(values) within capacity, by dynamic programming: counts per size, value."""
-    n = len(values)
+def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most valuable multisets of sizes 1..len(values) for every room up to capacity, by dynamic programming: their worth, and a size of each (0: it is that of a smaller room)."""
     sizes = np.flatnonzero(values > 0) + 1
     worth = values[sizes - 1]
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        upto = np.searchsorted(sizes, room, side="right")
-        if upto:
-            total = worth[:upto] + best[room - sizes[:upto]]
-            k = upto - 1 - int(total[::-1].argmax())  # of equal values the largest size: small pieces are the easier to place later
+        n = upto[room]
+        if n:
+            total = worth[:n] + best[room - sizes[:n]]
+            k = n - 1 - int(total[::-1].argmax())  # of equal values the largest size: small pieces are the easier to place later
             if total[k] > best[room - 1]:
                 best[room], took[room] = total[k], sizes[k]
                 continue
         best[room] = best[room - 1]
-    counts, room = np.zeros(n, np.int64), capacity
+    return best, took
+
+
+def pattern_of(took: np.ndarray, filled: np.ndarray, room: int, n: int) -> np.ndarray:
+    """The multiset that a knapsack has for a room, as counts of sizes 1..n. filled: for each room the largest one not over it in which a size was taken."""
+    counts = np.zeros(n, np.int64)
+    while (room := int(filled[room])) > 0:
+        counts[took[room] - 1] += 1
+        room -= int(took[room])
+    return counts
+
+
+def refilled(counts: np.ndarray, histogram: np.ndarray, capacity: int, price: np.ndarray) -> np.ndarray:
+    """A pattern with no more of a size than there are; what that leaves free goes to the pieces worth most by price and size."""
+    counts = np.minimum(counts, histogram)
+    sizes = np.arange(1, len(counts) + 1)
+    room = capacity - int((counts * sizes).sum())
     while room > 0:
-        if took[room]:
-            counts[took[room] - 1] += 1
-            room -= took[room]
-        else:
-            room -= 1
-    return counts, float(best[capacity])
-
-
-def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.3) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """A fractional packing of the histogram (pieces of size k + 1 at k) into patterns of at most capacity, (counts, times), and a bound: no packing has fewer bins.
-
-    Multiplicative weights: each size's price starts at its share of the capacity; every round prices patterns by a
-    knapsack, uses the best one, and lowers the prices of what it covers in proportion to its demand. Averaged over
-    the rounds and scaled so that no size is covered more than it needs, the patterns are a near-optimal solution of
-    the configuration program but for the sizes covered less. Any prices bound the program from below by the worth of
-    all pieces over that of the best pattern; the largest such bound of all rounds is returned.
+        fits = np.flatnonzero(histogram[:room] > counts[:room])
+        if not len(fits):
+            break
+        k = int(fits[np.argmax(price[fits] / sizes[fits] + fits * 1e-12)])
+        n = int(min(histogram[k] - counts[k], room // (k + 1)))
+        counts[k] += n
+        room -= n * (k + 1)
+    return counts
+
+
+def configurations(histogram: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """A fractional packing that covers the histogram (pieces of size k + 1 at k) by patterns of at most capacity, (counts, times), and a bound: no packing has fewer bins.
+
+    Multiplicative weights for the covering program: a size's weight falls exponentially with how often it is covered,
+    its price is the weight over its demand, at first its share of the capacity. Each round prices patterns by a
+    knapsack with dynamic programming, which gives the best one and, from the same table, the best ones that hold each
+    of the NEW sizes covered least; then STEPS steps take the best of all patterns priced so far, each so often that
+    the size it covers fastest is covered once more, and lower prices. The steps so far, over how often the size
+    covered least is covered, are a solution; any prices bound the program from below by the worth of all pieces over
+    that of the best pattern. The best solution is returned, once it is within `gap` of the bound or after `rounds`.
     """
-    need = histogram.astype(float)
-    live = need > 0
-    sizes = np.arange(1, len(need) + 1)
-    log_w = np.where(live, 0.0, -np.inf)
-    seen: dict[bytes, list] = {}
-    covered, bound = np.zeros(len(need)), 0.0
-    for _ in range(rounds if live.any() else 0):
-        price = np.zeros(len(need))
-        # the weight of a size, times its share of the capacity per piece; the sum over pieces stays near the bound
-        price[live] = np.exp(log_w[live] - log_w[live].max()) * sizes[live] / capacity
-        counts, value = knapsack(price, capacity)
-        bound = max(bound, float((price * need).sum() / value))
-        counts = np.minimum(counts, histogram)
-        held = counts > 0
-        step = (need[held] / counts[held]).min()
-        key = counts.tobytes()
-        seen.setdefault(key, [counts, 0.0])[1] += step
-        covered += counts * step
-        share = np.where(live, counts * step / np.maximum(need, 1), 0)
-        log_w = log_w - rate * share
-    if not seen:
+    live = np.flatnonzero(histogram)
+    if not len(live):
         return [], 0.0
-    scale = (covered[live] / need[live]).max()
-    return [(c, t / scale) for c, t in seen.values()], bound
+    need, sizes = histogram[live].astype(float), live + 1
+    seen: dict[bytes, int] = {}
+    table, times = np.zeros((len(live), 256), np.float32), np.zeros(256)  # of the sizes that are there, how many each pattern has
+    bound, best, best_total, used = float(-(-int((need * sizes).sum()) // capacity)), [], np.inf, 0.0
+    log_w, covered = np.log(sizes / capacity * need), np.zeros(len(live))
+    for _ in range(rounds):
+        log_w -= log_w.max()
+        price = np.exp(log_w) / need
+        full = np.zeros(len(histogram))
+        full[live] = price
+        worth, took = knapsack(full, capacity)
+        bound = max(bound, float((price * need).sum() / worth[capacity]))
+        filled = np.maximum.accumulate(np.where(took > 0, np.arange(capacity + 1), 0))
+        fresh = [pattern_of(took, filled, capacity, len(full))]
+        for k in live[np.argsort(covered, kind="stable")[:NEW]].tolist():
+            one = pattern_of(took, filled, capacity - k - 1, len(full))
+            one[k] += 1
+            fresh.append(one)
+        for counts in fresh:
+            counts = refilled(counts, histogram, capacity, full)[live]
+            k = seen.setdefault(counts.tobytes(), len(seen))
+            if k == len(times):
+                table, times = np.concatenate([table, np.zeros_like(table)], axis=1), np.concatenate([times, np.zeros_like(times)])
+            table[:, k] = counts
+        held = table[:, : len(seen)]
+        value = price @ held
+        for _ in range(STEPS):
+            k = int(value.argmax())
+            at = np.flatnonzero(held[:, k])
+            row = held[at, k].astype(float)
+            often = float((need[at] / row).min())
+            times[k] += often
+            used += often
+            rise = row * often / need[at]
+            covered[at] += rise
+            log_w[at] -= RATE * rise
+            lower = np.exp(log_w[at]) / need[at]
+            value += (lower - price[at]).astype(np.float32) @ held[at]
+            price[at] = lower
+        least = covered.min()
+        if least > 0 and used / least < best_total:
+            best_total, best = used / least, [(k, t / least) for k, t in enumerate(times[: len(seen)]) if t > 0]
+            if best_total <= (1 + gap) * bound:
+                break
+    out = []
+    for k, t in best:
+        counts = np.zeros(len(histogram), np.int64)
+        counts[live] = table[:, k].astype(np.int64)
+        out.append((counts, t))
+    return out, bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -180,11 +235,30 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def rounded(patterns: list[tuple[np.ndarray, float]], histogram: np.ndarray, capacity: int, share: float) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole-number patterns from so much of a fractional packing, and the histogram of what they leave.
+
+    Times are rounded up with the chance of their fraction, in an order of chance (the same on every run), as far as
+    pieces are left; patterns that leave over more than WASTE of a bin are not taken.
+    """
+    left, out, random = histogram.copy(), [], np.random.default_rng(0)
+    sizes = np.arange(1, len(left) + 1)
+    for k in random.permutation(len(patterns)):
+        counts, times = patterns[k]
+        held = counts > 0
+        whole = min(int(np.floor(share * times + random.random())), int((left[held] // counts[held]).min()))
+        if whole > 0 and capacity - int((counts * sizes).sum()) <= WASTE * capacity:
+            out.append((counts, whole))
+            left -= counts * whole
+    return out, left
+
+
 def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Whole-number patterns (counts per size, times) that hold exactly the histogram.
 
-    The program's times are rounded at random, up with the chance of their fraction (KEPT of them is used, so that what
-    is left holds sizes that fit together), the same way on every run; what they leave over goes by best fit.
+    The program is solved and rounded; what that leaves goes by best fit. Of the SHARES of the program that may be
+    rounded, the one whose packing has the fewest bins is taken, of equal ones the largest: pieces that all patterns
+    need to be full are the better left to best fit, and how many these are depends on the histogram.
     """
     left, out = histogram.copy(), []
     if len(left) >= capacity and left[capacity - 1]:
@@ -192,14 +266,15 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tup
         one[capacity - 1] = 1
         out.append((one, int(left[capacity - 1])))
         left[capacity - 1] = 0
-    random = np.random.default_rng(0)
-    for counts, times in sorted(configurations(left, capacity, rounds)[0], key=lambda x: -x[1]):
-        held = counts > 0
-        whole = min(int(np.floor(KEPT * times + random.random())), int((left[held] // counts[held]).min()))
-        if whole > 0:
-            out.append((counts, whole))
-            left -= counts * whole
-    return out + best_fit(left, capacity)
+    patterns = configurations(left, capacity, rounds=rounds)[0]
+    best, fewest = None, None
+    for share in SHARES:
+        taken, rest = rounded(patterns, left, capacity, share)
+        whole = taken + best_fit(rest, capacity)
+        bins = sum(times for _, times in whole)
+        if best is None or bins < fewest:
+            best, fewest = whole, bins
+    return out + best
 
 
 def _slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -173,3 +173,23 @@ def test_dictionaries_are_lossless():
             dictionaries, codes = clusters.encode(x, width)
             assert (np.concatenate([d[c] for d, c in zip(dictionaries, codes)], axis=1) == x).all()
             assert all(len(np.unique(d, axis=0)) == len(d) for d in dictionaries)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "thirds", "few", "none"])
+def test_configuration_program(kind):
+    """The fractional packing covers every piece, its times are near the bound, and the rounded one holds exactly the pieces."""
+    from pagetrail.llm import packing
+
+    rng = np.random.default_rng(4)
+    sizes = {"mixed": np.clip(rng.lognormal(4.5, 1.0, 900).astype(int), 1, 255), "thirds": np.array([100] * 500 + [75] * 400 + [56] * 300), "few": np.array([5, 250, 20, 235]), "none": np.zeros(0, int)}[kind]
+    h = np.bincount(sizes - 1, minlength=256).astype(np.int64) if len(sizes) else np.zeros(256, np.int64)
+    patterns, bound = packing.configurations(h, 256)
+    for counts, _ in patterns:
+        assert (counts * np.arange(1, 257)).sum() <= 256 and (counts <= h).all()
+    covered = sum((c * t for c, t in patterns), np.zeros(256))
+    assert (covered >= h * (1 - 1e-6)).all()
+    assert sum(t for _, t in patterns) <= 1.03 * bound + 1e-9
+    found = packing.plan(h, 256)
+    assert (sum((c * t for c, t in found), np.zeros(256, np.int64)) == h).all()
+    assert sum(t for _, t in found) <= sum(t for _, t in packing.best_fit(h, 256))
+    assert not len(sizes) or sum(t for _, t in found) >= bound - 1e-9

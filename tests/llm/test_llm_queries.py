@@ -39,3 +39,19 @@ def test_pipeline(spark):
         assert 0 < docs.count() <= 200
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, n_removed int, removed_words long, rid long"
+    texts = [f"the quick brown fox number {i} jumps over the lazy dog near the river bank while it rains" for i in range(12)] + [f"der schnelle braune fuchs nummer {i} springt über den faulen hund am fluss bei regen und wind" for i in range(12)] + [None, "", "123 456"]
+    docs = spark.createDataFrame([(i, t, "en" if i < 12 else "de", "s", 1, 7.0 + i, "kept", 3, 4, 5) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert (r.score, r.lang_pred, r.n_removed, r.removed_words, r.rid) == (7.0 + r.doc_id, "kept", 3, 4, 5), name
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()} <= set(range(24))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -114,32 +114,92 @@ class Model:
         return (c + ADD) / (self.tokens + ADD * (self.distinct + 1))
 
 
-def smoothed(c, total, shorter, weight):
-    """P(w | context): the state's arc, (c(context w) + weight * P(w | shorter context)) / (c(context) + weight).
-
-    For an n-gram never seen this is the failure arc's weight / (c(context) + weight) times P(w | shorter context), and
-    for a context never seen, which is no state, the shorter context's own.
-    """
-    return np.where(total > 0, (c + weight * shorter) / (total + weight), shorter)
+#: Words of a text that the walk reads one after the other; a longer text is read in so long parts side by side, each after the ORDER - 1 words before it, which is all that a state depends on.
+PART = 256
+ROOT = 0
 
 
-def walk(runs: Runs, counts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(word | the ORDER - 1 words before), and P of the word alone, at every place.
+class Automaton:
+    """The weighted backoff automaton of a block's n-grams, as arrays.
 
-    The automaton has a state for each context seen, with an arc for each word seen after it and a failure arc to the
-    state of the context without its first word. Its state after a word depends on the last ORDER - 1 words alone, so
-    all places take their step at once: the arcs are the n-gram counts found, from the shortest context to the longest.
-    counts: how often the n-gram of each order that ends at a place occurs in training.
+    States: ROOT, then the one-word contexts, START last of them, then the two-word contexts, of which only those seen
+    in training are ever entered. A state has a failure arc, to the state of its context without the first word, with
+    the log10 weight backoff / (count + backoff). An n-gram is the arc that leaves its context's state with its last
+    word; if it was seen, its log10 weight is that of its smoothed probability, (count + backoff * p) / (count of the
+    context + backoff), p being the probability from the context's failure state; it leads to the state of the longest
+    seen context that ends the n-gram. ROOT has an arc for every word, seen or not.
     """
-    base = model.unigram(counts[0])
-    p = base
+
+    def __init__(self, model: Model, counts: list[np.ndarray], last: list[np.ndarray], context: list[np.ndarray]):
+        """counts: of the distinct n-grams of each order; last, context: for orders over 1, each n-gram's number, as one of the order below, without its first and without its last word (context -1: START)."""
+        words, pairs = len(counts[0]), len(counts[1])
+        self.pair_state, states = words + 2, words + 2 + pairs
+        start = words + 1
+        total = np.concatenate([[0], counts[0], [model.docs], counts[1]])
+        self.depth = np.repeat([0, 1, 2], [1, words + 1, pairs])
+        self.failure = np.zeros(states, np.int64)
+        self.failure[self.pair_state :] = 1 + last[1]
+        backoff = np.array([0.0, *model.backoff[1:]])[self.depth]
+        with np.errstate(divide="ignore"):
+            self.failure_weight = np.where(self.depth > 0, np.log10(backoff / np.maximum(total + backoff, 1)), 0.0)
+        self.start = start if model.docs else ROOT
+        p = model.unigram(counts[0])
+        self.base = np.log10(p)
+        self.seen, self.weight = [np.ones(words, bool)], [self.base]
+        self.target = [np.where(counts[0] > 0, 1 + np.arange(words), ROOT)]
+        for n in range(1, ORDER):
+            of = np.where(context[n] < 0, start, context[n] + (1 if n == 1 else self.pair_state))
+            p = (counts[n] + model.backoff[n] * p[last[n]]) / np.maximum(total[of] + model.backoff[n], 1)
+            self.seen.append(counts[n] > 0)
+            self.weight.append(np.log10(p, where=counts[n] > 0, out=np.zeros(len(p))))
+            self.target.append(self.pair_state + (np.arange(pairs) if n == 1 else last[n]))
+
+    def walk(self, arcs: list[np.ndarray], runs: Runs) -> np.ndarray:
+        """The texts' log10 probabilities. arcs: for each order the n-gram that ends at each place of runs.
+
+        All parts of all texts read their words from left to right together, place by place, each carrying its state:
+        where the state has no arc for the word, the failure arc is taken, and its weight, until there is one.
+        """
+        n_words = runs.sizes - 1
+        parts = -(-n_words // PART)
+        text = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        before = np.where(number > 0, ORDER - 1, 0)  # words that only lead to the state
+        at = runs.starts[text] + 1 + number * PART - before
+        length = np.minimum(PART, n_words[text] - number * PART) + before
+        order = np.argsort(-length, kind="stable")
+        text, before, at, length = text[order], before[order], at[order], length[order]
+        state = np.where(before > 0, ROOT, self.start)
+        score = np.zeros(len(text))
+        for i in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -i))  # parts that have a word here
+            place, s, step = at[:n] + i, state[:n].copy(), np.zeros(n)
+            for depth in range(ORDER - 1, 0, -1):
+                here = np.flatnonzero(self.depth[s] == depth)
+                fails = here[~self.seen[depth][arcs[depth][place[here]]]]
+                step[fails] += self.failure_weight[s[fails]]
+                s[fails] = self.failure[s[fails]]
+            after, depth = np.empty(n, np.int64), self.depth[s]
+            for k in range(ORDER):
+                here = np.flatnonzero(depth == k)
+                arc = arcs[k][place[here]]
+                step[here] += self.weight[k][arc]
+                after[here] = self.target[k][arc]
+            state[:n] = after
+            score[:n] += np.where(i >= before[:n], step, 0)
+        return np.bincount(text, score, minlength=len(runs.sizes))
+
+
+def automaton_of(runs: Runs, counts: list[np.ndarray], numbers: list[np.ndarray], model: Model) -> Automaton:
+    """The automaton of a block. numbers: for each order the number of the n-gram that ends at each place, -1 where none does; counts: of the n-grams, by number."""
+    last, context = [None], [None]
     for n in range(1, ORDER):
-        state = np.append(0, counts[n - 1][:-1])  # how often the context that ends before the place occurs
-        if n == 1:
-            state[runs.place == 1] = model.docs  # START
-        state[runs.place < n] = 0
-        p = smoothed(counts[n], state, p, model.backoff[n])
-    return np.log10(p), base
+        at = np.flatnonzero(numbers[n] >= 0)
+        place = np.empty(len(counts[n]), np.int64)
+        place[numbers[n][at]] = at  # any place where the n-gram ends
+        last.append(numbers[n - 1][place])
+        context.append(numbers[n - 1][place - 1])
+    return Automaton(model, counts, last, context)
 
 
 def held_out_scores(docs: DataFrame, block: int | None = None) -> DataFrame:
@@ -147,7 +207,8 @@ def held_out_scores(docs: DataFrame, block: int | None = None) -> DataFrame:
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row. The texts are
     written once, in compressed blocks. Every block asks for the training counts of its different n-grams of 1 to ORDER
-    words; each count is summed over all blocks and goes back to those that asked; then the block's texts are walked.
+    words; each count is summed over all blocks and goes back to those that asked; of these the block builds its part of the
+    automaton (Automaton), and its texts are walked.
     So every n-gram of the corpus counts, at any size, and no task holds more than a block or a range of keys.
 
     A null doc_id counts as not held out; null text is empty; repeated rows each stay and count; extra columns are
@@ -189,20 +250,22 @@ def held_out_scores(docs: DataFrame, block: int | None = None) -> DataFrame:
 
     def walked(left: pa.Table, right: pa.Table) -> pa.Table:
         table = unpacked(left.column("data")[0].as_py())
-        runs, counts = Runs(table.column("text")), []
+        runs, counts, numbers = Runs(table.column("text")), [], []
         for n in range(ORDER):
             keys = runs.grow() >> cut if n else runs.words
             real = np.flatnonzero(runs.place >= max(n, 1))
-            c = np.zeros(len(keys), np.int64)
-            if len(real):
-                c[real] = totals_of(right, n + 1)[numbered(keys[real])]
-            counts.append(c)
-        p, base = walk(runs, counts, model)
-        real = runs.place > 0
-        sums = lambda v: np.add.reduceat(np.where(real, v, 0), runs.starts)
+            number = np.full(len(keys), -1)
+            number[real] = numbered(keys[real])
+            numbers.append(number)
+            counts.append(totals_of(right, n + 1).astype(np.int64))
+        automaton = automaton_of(runs, counts, numbers, model)
+        real = np.flatnonzero(runs.place > 0)
+        text = np.repeat(np.arange(len(runs.sizes)), runs.sizes)[real]
+        known = np.bincount(text, counts[0][numbers[0][real]] > 0, minlength=len(runs.sizes)).astype(np.int64)
+        base = np.bincount(text, automaton.base[numbers[0][real]], minlength=len(runs.sizes))
         columns = {c: table.column(c) for c in ("doc_id", "held_out")}
-        columns |= {"n_tokens": pa.array(runs.sizes - 1), "n_known": pa.array(sums(counts[0] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(runs.sizes), model.tokens, np.int64))}
-        return pa.table(columns | {"base_score": pa.array(sums(np.log10(base))), "score": pa.array(sums(p))})
+        columns |= {"n_tokens": pa.array(runs.sizes - 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(runs.sizes), model.tokens, np.int64))}
+        return pa.table(columns | {"base_score": pa.array(base), "score": pa.array(automaton.walk(numbers, runs))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(stepping, schema)

@@ -11,15 +11,15 @@ from pagetrail.functions import text as T
 from pagetrail.functions import urls as U
 from pagetrail.schema import EU_EEA_UK, TEMPLATE_VERSION, TRANSITIONS, US, literal_map, literals
 
-# Reasons of routes.
-OWN = "You appear to control this source directly."
-DROP = "You indicated a US location; DROP covers registered data brokers."
-ERASURE = "You indicated an EU/EEA/UK location; GDPR erasure may apply."
-RECTIFY = "For outdated/incorrect data, rectification may fit better than deletion."
-DELIST = "Delisting reduces how easily this is found via search."
-PUBLISHER = "You can ask the site owner directly (no legal claim implied)."
-PUBLIC = "This looks like a government or public-interest source; lawful public records are often not removable. This is an acceptable outcome."
-NONE = "No registry route matched this finding's category."
+#: Reasons of routes.
+OWN = "The page seems to be on an account of yours."
+DROP = "You live in the US, where one request reaches the registered data brokers."
+ERASURE = "You live where a right to erasure may hold (EU, EEA or UK)."
+RECTIFY = "Wrong or old data can be corrected instead of deleted (EU, EEA or UK)."
+DELIST = "Fewer people find a page that search results leave out."
+PUBLISHER = "The owner of the site can be asked, without any claim."
+PUBLIC = "The site looks official; what it publishes by law mostly stays."
+NONE = "No known route covers this kind of data."
 
 # The routes that ship, by what decides on them; a registry table with the same ids can be read in their place.
 DEFAULT_REGISTRY = (
@@ -86,19 +86,19 @@ def routes(findings: DataFrame, subjects: DataFrame, registry: DataFrame, today:
     return chosen.unionByName(last)
 
 
-# The wording of the drafts, by route, with what fills it; the publisher's is for all other routes.
-_TO_CONTROLLER = "To: the data controller of %s\nSubject: Request to {0} my personal data\n\nDear Sir or Madam,\n\nI am %s. The page at %s contains my personal data (%s). I request that you {0} this personal data.\n\nPlease confirm the action taken and the date. Thank you.\n\n%s"
+#: The wording of the drafts, by route, with what fills it; the publisher's is for all other routes.
+_LETTER = "Data protection contact of %s\n\nMy name is %s. On %s you publish data about me: %s. Please {0} and tell me when that is done.\n\nWith kind regards\n%s"
 BODIES = {
-    "SEARCH_DELIST": ("Use the official tool at %s to request removal of the search result at:\n\n    %s\n\nIt exposes your %s. Note: delisting affects search results only and does not delete the content from the hosting site.", ("to", "url", "detail")),
-    "SOURCE_OPT_OUT": ("Submit a deletion request through %s. A single verified request covers registered data brokers, which makes your %s harder to find across many broker listings at once.", ("to", "detail")),
-    "SOURCE_DELETE": (_TO_CONTROLLER.format("erase"), ("domain", "name", "url", "detail", "name")),
-    "SOURCE_CORRECT": (_TO_CONTROLLER.format("correct"), ("domain", "name", "url", "detail", "name")),
-    "USER_CONTROLLED_REMOVE": ("This information is on a source you control (%s). Sign in and edit or remove the %s on your profile or page at:\n\n    %s\n\nThis is usually the fastest and most reliable fix.", ("domain", "detail", "url")),
-    "NO_ACTION_AVAILABLE": ("The page at %s appears to be a lawful public record or public-interest source. There may be no available route to remove it, which is an acceptable outcome. You may still request search delisting to reduce how easily it is found.", ("url",)),
-    "CONTACT_PUBLISHER": ("To: the owner of %s (see its /contact or /privacy page)\n\nHello,\n\nThe page at %s includes my personal information (%s). Would you please remove it? I am the person referenced. Thank you for considering this request.\n\n%s", ("domain", "url", "detail", "name")),
+    "SEARCH_DELIST": ("Open %s and enter the address of the result:\n\n    %s\n\nAs the reason, name your %s. What goes is the entry in the search engine; the page itself stays where it is.", ("to", "url", "detail")),
+    "SOURCE_OPT_OUT": ("Sign up at %s. One request there reaches every listed broker that may hold your %s.", ("to", "detail")),
+    "SOURCE_DELETE": (_LETTER.format("delete it under the right to erasure"), ("domain", "name", "url", "detail", "name")),
+    "SOURCE_CORRECT": (_LETTER.format("put it right under the right to rectification"), ("domain", "name", "url", "detail", "name")),
+    "USER_CONTROLLED_REMOVE": ("You have an account at %s, so nobody needs to be asked: log in and take the %s off this page:\n\n    %s", ("domain", "detail", "url")),
+    "NO_ACTION_AVAILABLE": ("Nobody is bound to take down %s, as far as the routes that we know say. A search engine may still leave it out of its results.", ("url",)),
+    "CONTACT_PUBLISHER": ("Operator of %s\n\nYour page %s contains my %s. I would be glad if you took it off. If you need anything from me for that, please let me know.\n\n%s", ("domain", "url", "detail", "name")),
 }
-LINES = {"SEARCH_DELIST": "Remove a search result about me", "SOURCE_OPT_OUT": "Data-broker deletion request", "SOURCE_DELETE": "Request to erase my personal data", "SOURCE_CORRECT": "Request to correct my personal data", "USER_CONTROLLED_REMOVE": "Remove information you control", "CONTACT_PUBLISHER": "Request to remove my personal information", "NO_ACTION_AVAILABLE": "No removal action available"}
-DISCLAIMER = "A draft for you to review and send yourself; not legal advice."
+LINES = {"SEARCH_DELIST": "Search result: please delist", "SOURCE_OPT_OUT": "Opt-out from data brokers", "SOURCE_DELETE": "Erasure of data about me", "SOURCE_CORRECT": "Correction of data about me", "USER_CONTROLLED_REMOVE": "To do on your own account", "CONTACT_PUBLISHER": "Data about me on your site", "NO_ACTION_AVAILABLE": "Nothing to send"}
+DISCLAIMER = "Read it through before you send it; this is no legal advice."
 
 
 def drafts(cases: DataFrame, findings: DataFrame, sources: DataFrame, subjects: DataFrame, registry: DataFrame) -> DataFrame:

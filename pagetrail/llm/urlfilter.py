@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import durable
+from pagetrail.llm.common import discard, durable
 
 #: Rules of the query: (verdict, host and path prefix).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -66,25 +67,34 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """urls(host, path, bad boolean or null) to (paths, templates).
 
     paths(host, path, template): each distinct url's template. templates(host, template, n, n_bad, n_good).
-    Level by level down to the deepest segment, below every node (host, template so far): segments of SUPPORT urls or
-    more are branches, the rest one wildcard
-    "*"; then the branches whose share of bad urls, and of next segments of each kind, lie within SIGMAS standard
+    Level by level, below every node (host, template so far): segments of SUPPORT urls or more are branches, the rest one
+    wildcard
+    "*"; then the branches whose shares of bad and of good urls, and of next segments of each kind, lie within SIGMAS standard
     errors of their node's merge as "~"; of the others, those within SIGMAS standard errors of the mean of their cell
     of like profiles (_step) merge as "~" and the cell, so groups of branches that differ from each other are found
     too; one alone in its cell stays itself. Every step is an aggregate with partial sums, and a join of the paths
-    with the node's branches.
+    with the node's branches. A level reads only paths that have a segment there and whose node has SUPPORT urls; below
+    other nodes no segment can be a branch, so all that follow are wildcards at once, and few deep paths cost no levels.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
     paths = durable(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for d in range(deepest):
+    done, d = [], 0
+    while True:
+        sums = paths.groupBy("host", "template").agg(F.sum("n").alias("_all"))
+        few = paths.join(sums.where(F.col("_all") < SUPPORT).select("host", "template"), ["host", "template"], "left_semi")
+        rest = F.greatest(F.size("segments") - d, F.lit(0))
+        over = durable(few.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).unionByName(paths.join(sums.where(F.col("_all") >= SUPPORT).select("host", "template"), ["host", "template"], "left_semi").where(F.size("segments") <= d)))
+        here = durable(paths.join(sums.where(F.col("_all") >= SUPPORT).select("host", "template"), ["host", "template"], "left_semi").where(F.size("segments") > d))
+        done.append(over)
+        discard(paths)
+        if not here.limit(1).count():
+            break
         segment, after = F.try_element_at("segments", F.lit(d + 1)), F.try_element_at("segments", F.lit(d + 2))
-        here = paths.withColumn("s", segment).withColumn("next", _kind(after)).where("s IS NOT NULL")
         of_kind = [F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(k) for k in ("end", "number", "word", "mixed")]
-        branches = durable(here.groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), *of_kind))
-        measures = ("n_bad", "end", "number", "word", "mixed")
-        nodes = durable(branches.groupBy("host", "template").agg(F.sum("n").alias("all"), *(F.sum(k).alias(f"all_{k}") for k in measures)))
+        branches = durable(here.withColumn("s", segment).withColumn("next", _kind(after)).groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), F.sum("n_good").alias("n_good"), *of_kind))
+        measures = ("n_bad", "n_good", "end", "number", "word", "mixed")
+        nodes = branches.groupBy("host", "template").agg(F.sum("n").alias("all"), *(F.sum(k).alias(f"all_{k}") for k in measures))
         frequent = branches.where(F.col("n") >= SUPPORT).join(nodes, ["host", "template"])
         tested = durable(frequent.select("host", "template", "s", "n", *measures, _unlike(measures, "all").alias("odd")))
         # of those unlike their node, the ones like each other merge too: cell by cell, tested against the cell's mean
@@ -93,21 +103,24 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
         apart = odd.join(cells, ["host", "template", "cell"])
         alone = _unlike(measures, "in_cell") | (F.col("branches") == 1)
         labels = apart.select("host", "template", "s", F.when(alone, F.col("s")).otherwise(F.concat(F.lit("~"), "cell")).alias("label"))
-        kept = durable(tested.where("NOT odd").select("host", "template", "s", F.lit("~").alias("label")).unionByName(labels))
-        # a path without a further segment keeps its template; a null segment joins nothing
-        joined = paths.withColumn("s", segment).join(kept, ["host", "template", "s"], "left")
-        step = F.when(F.col("s").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("label", F.lit("*"))))
-        paths = durable(joined.select("host", "path", "n", "n_bad", "n_good", "segments", F.concat("template", step).alias("template")))
-    return paths.select("host", "path", "template"), paths.groupBy("host", "template").agg(*(F.sum(k).alias(k) for k in ("n", "n_bad", "n_good")))
+        kept = tested.where("NOT odd").select("host", "template", "s", F.lit("~").alias("label")).unionByName(labels)
+        joined = here.withColumn("s", segment).join(kept, ["host", "template", "s"], "left")
+        paths = durable(joined.select("host", "path", "n", "n_bad", "n_good", "segments", F.concat("template", F.lit("/"), F.coalesce("label", F.lit("*"))).alias("template")))
+        discard(here, branches, tested)
+        d += 1
+    every = reduce(DataFrame.unionByName, done)
+    return every.select("host", "path", "template"), every.groupBy("host", "template").agg(*(F.sum(k).alias(k) for k in ("n", "n_bad", "n_good")))
 
 
 def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, reject: float = REJECT) -> DataFrame:
     """pages(page_id, url) to page_id, host, path, rule, verdict, template, purity, one row per input row.
 
     The rule's verdict stands where one fits. For the rest, a template is rejected if its smoothed share of bad urls
-    among the labelled, (bad + PRIOR * base) / (bad + good + PRIOR), is at least `reject` on EVIDENCE labelled urls or
-    more; base is the share over all labelled urls. labels(url, bad) are the labelled urls; without them the urls that
-    rules decide serve as such. A null url, or one without "://", has empty host and path and is a url like others.
+    among the labelled is at least `reject` on EVIDENCE labelled urls or more. Shares are smoothed twice: a second tree
+    is built over the paths of all hosts together, whose templates' shares are (bad + PRIOR * base) / (bad + good +
+    PRIOR), base being that of all labelled urls; and a host's template starts from the share of its path's template
+    there, (bad + PRIOR * pooled) / (bad + good + PRIOR), so hosts without labels are judged by what like paths are
+    elsewhere. labels(url, bad) are the labelled urls; without them the urls that rules decide serve as such. A null url, or one without "://", has empty host and path and is a url like others.
     Repeated rows each stay and count; of several labels of a url, bad wins; extra columns are ignored.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -117,13 +130,18 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, r
         rows = rows.withColumn("bad", F.col("decided") == "block")
     else:
         rows = rows.join(labels.where("url IS NOT NULL AND bad IS NOT NULL").groupBy("url").agg(F.max("bad").alias("bad")), "url", "left")
-    paths, found = templates(rows.select("host", "path", "bad"))
-    found = durable(found)
-    bad, good = found.agg(F.coalesce(F.sum("n_bad"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
+    judged = rows.select("host", "path", "bad")
+    paths, found = templates(judged)
+    everywhere, pooled = templates(judged.withColumn("host", F.lit("")))
+    pooled = durable(pooled)
+    bad, good = pooled.agg(F.coalesce(F.sum("n_bad"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
     base = bad / (bad + good) if bad + good else 0.0
-    purity = (F.col("n_bad") + PRIOR * base) / (F.col("n_bad") + F.col("n_good") + PRIOR)
-    judged = found.select("host", "template", purity.alias("purity"), ((purity >= reject) & (F.col("n_bad") + F.col("n_good") >= EVIDENCE)).alias("rejected"))
-    known = durable(paths.join(judged, ["host", "template"]))
+    labelled = F.col("n_bad") + F.col("n_good")
+    shares = pooled.select(F.col("template").alias("shape"), ((F.col("n_bad") + PRIOR * base) / (labelled + PRIOR)).alias("share"), labelled.alias("n_pooled"))
+    shape_of = everywhere.select("path", F.col("template").alias("shape")).join(shares, "shape")
+    purity = (F.col("n_bad") + PRIOR * F.col("share")) / (labelled + PRIOR)
+    known = paths.join(found.select("host", "template", "n_bad", "n_good"), ["host", "template"]).join(shape_of, "path")
+    known = durable(known.select("host", "path", "template", purity.alias("purity"), ((purity >= reject) & (labelled + F.col("n_pooled") >= EVIDENCE)).alias("rejected")))
     out = rows.drop("url", "bad").join(known, ["host", "path"], "left")
     verdict = F.coalesce("decided", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -193,3 +193,20 @@ def test_configuration_program(kind):
     assert (sum((c * t for c, t in found), np.zeros(256, np.int64)) == h).all()
     assert sum(t for _, t in found) <= sum(t for _, t in packing.best_fit(h, 256))
     assert not len(sizes) or sum(t for _, t in found) >= bound - 1e-9
+
+
+def test_url_filter_learns_from_other_hosts(spark):
+    """Sections that labelled hosts have shown to be bad are rejected on hosts without labels, a host's own labels weigh more, and few deep paths cost no levels."""
+    from pagetrail.llm import urlfilter
+
+    hosts = [f"h{i}.com" for i in range(8)]
+    urls = [(h, f"http://{h}/{s}/{k}", s == "casino") for h in hosts for s in ("casino", "news", "blog") for k in range(12)]
+    own = [("own.com", f"http://own.com/casino/{k}", False) for k in range(40)]  # here the same section is good
+    deep = [("deep.com", "http://deep.com" + "/x" * 200 + f"/{k}", False) for k in range(2)]
+    rows = [*urls, *own, *deep]
+    pages = spark.createDataFrame([(k, u) for k, (_, u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(u, b) for h, u, b in rows if h in (*hosts[:5], "own.com")], "url string, bad boolean")
+    got = {r.page_id: r for r in urlfilter.url_filter(pages, (), labels).collect()}
+    for k, (h, u, b) in enumerate(rows):
+        assert got[k].verdict == ("block" if b else "allow"), u
+    assert got[len(rows) - 1].template == "/*" * 201

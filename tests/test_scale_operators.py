@@ -172,3 +172,38 @@ def test_snippets_equal_those_of_the_column(spark):
     df = spark.createDataFrame(rows, "source_id string, text string, needle string")
     want = {r.source_id: r.s for r in df.select("source_id", T.snippet(F.col("text"), F.col("needle")).alias("s")).collect()}
     assert {r.source_id: r.snippet for r in substrings.holding(df.select("source_id", "text"), df.select("needle").distinct()).collect()} == want
+
+
+def test_table_function_columns_are_checked(spark):
+    @F.udtf(returnType="type string, value string, place int")
+    class Wrong:
+        def eval(self, text: str):
+            yield "X", "y", 1
+
+    parsed = spark.createDataFrame([("p", (None, "Ada lives in Cork. Bob is based in New Ross Town Hall.", {}, [], []))], "source_id string, parsed struct<title:string,text:string,meta:map<string,string>,jsonld:array<string>,links:array<string>>")
+    with pytest.raises(ValueError, match="place"):
+        extract.by_table_function(Wrong, "wrong")(parsed)
+    rows = extract.residences(parsed).collect()
+    assert {(r.type, r.value, r.display, r.pos) for r in rows} == {("LOCATION", "cork", "Cork", 4), ("LOCATION", "new ross town", "New Ross Town", 26)}
+
+
+def test_bodies_reach_the_scan(spark):
+    """Pages as bytes: UTF-8, Latin-1 where they aren't, and a PDF, whose bytes are no text."""
+    rows = [("https://a.example.com/1", "Zoë Größe".encode(), "text/plain"), ("https://a.example.com/2", "Zoë Größe".encode("latin-1"), "text/plain"), ("https://a.example.com/3", b"%PDF Zo\xc3\xab Gr\xc3\xb6\xc3\x9fe", "application/pdf")]
+    pages = spark.createDataFrame([("x", u, b, c, False) for u, b, c in rows], "scan_id string, url string, body binary, content_type string, from_search boolean")
+    s = scan(pages, people(spark, [{"subject_id": "z", "names": ["Zoë Größe"]}]))
+    found = s.matches.join(s.sources.select("source_id", "url"), "source_id").select("url").collect()
+    assert sorted(r[0] for r in found) == ["https://a.example.com/1", "https://a.example.com/2"]
+
+
+def test_reports_are_packed_and_found(spark):
+    from pagetrail.operators import report
+
+    path = f"{shared_dir(spark)}/reports"
+    rows = spark.createDataFrame([(f"s{i:04d}", '{"n":%d}' % i) for i in range(500)] + [("none", None), (None, "{}")], "subject_id string, report string")
+    index = report.write_reports(rows, path, file_bytes=1000)
+    assert index.agg(F.sum("n")).first()[0] == 500 and index.count() >= 4
+    bounds = sorted((r["first"], r["last"]) for r in index.collect())
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    assert {(r.subject_id, r.report) for r in report.read_reports(spark, path, ["s0003", "s0499", "zzz"]).collect()} == {("s0003", '{"n":3}'), ("s0499", '{"n":499}')}
+    assert report.read_reports(spark, path, ["a"]).count() == 0

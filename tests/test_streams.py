@@ -42,3 +42,25 @@ def test_case_states_equal_the_batch_fold(spark, folder):
     batch = {r.case_id: r for r in remediate.fold_case_events(spark.createDataFrame(events, schema)).collect()}
     assert last == {k: r.state for k, r in batch.items()}
     assert sum(not r.accepted for r in seen) == sum(r.n_rejected for r in batch.values()) == 1
+
+
+def test_follow_pages(spark, folder):
+    """Only pages of new content change the stored findings; one that can't be read, an older copy and a batch that runs again don't."""
+    pages = "url string, html string, content_type string, from_search boolean, at timestamp"
+    people = spark.createDataFrame([("s", [("Maya Quill", True)], [], [], [], ["maya@quill.example"], [], [], None)], SUBJECTS)
+    t = lambda n: dt.datetime(2026, 1, n)
+    one, two, three = "https://a.example.com/1", "https://a.example.com/2?utm_source=x", "https://a.example.com/3"
+    said = "mail maya@quill.example"
+    crawls = [
+        ([(one, said, "text/plain", False, t(2)), (two, said, "text/plain", False, t(2)), (three, "nobody", "text/plain", False, t(2))], {"1", "2"}, 3),
+        ([(one, "nothing any more", "text/plain", False, t(3)), (two, None, "image/png", False, t(3)), (three, "older " + said, "text/plain", False, t(1))], {"2"}, 1),
+        ([(one, "nothing any more", "text/plain", False, t(4)), (three, said, "text/plain", False, t(4)), (three, "between", "text/plain", False, t(3))], {"2", "3"}, 2),
+    ]
+    for crawl, want, _ in crawls:
+        spark.createDataFrame(crawl, pages).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.follow_pages(spark.readStream.schema(pages).parquet(f"{folder}/in"), people, f"{folder}/store", f"{folder}/state").awaitTermination()
+        known, findings = jobs.followed(spark, f"{folder}/store")
+        assert {r.canonical_url.rsplit("/", 1)[1] for r in findings.read().collect()} == want
+    versions = known.version()["number"], findings.version()["number"]
+    findings.replace(findings.read().select("source_id"), findings.read().limit(0), change="batch 2")  # the same change again counts once
+    assert (known.version()["number"], findings.version()["number"]) == versions and findings.read().count() == 2

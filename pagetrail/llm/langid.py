@@ -190,7 +190,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def held_out_language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text, lang) to doc_id, held_out, lang_pred, score for every row, learned from those whose crc32(doc_id) mod 3 isn't 1.
 
-    A null doc_id counts as not held out; repeated rows each stay; extra columns are ignored.
+    A null doc_id counts as not held out; repeated rows each stay; extra columns are ignored. Null and letterless texts
+    are und, long ones are read whole, ties fall to the language that sorts first; an empty table gives no rows.
     """
     held = (mod_crc32("doc_id", 3) == 1).alias("held_out")
     docs = docs.select("doc_id", held, "text", "lang")

@@ -118,7 +118,7 @@ def fit(docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE) ->
 
 
 def score(docs: DataFrame, model: Model | None, grades: int, keep: float = KEEP) -> DataFrame:
-    """docs with expected_grade double, tails array<double> (P(grade >= 1), ...) and keep boolean added; other columns stay.
+    """docs with expected_grade double, tails array<double> (P(grade >= 1), ...) and keep boolean added; other columns stay, but earlier ones of these names are replaced.
 
     Whole texts. A null text counts as empty; without a model every row has expected_grade null and is kept.
     """
@@ -145,7 +145,11 @@ def graded(labels: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """docs(doc_id, text), labels to doc_id, expected_grade (0 to 2), p_acceptable, p_good, keep, one row per document.
 
-    keep is false for texts that the model takes for toxic (P(grade >= 1) < keep). Repeated rows each stay.
+    keep is false for texts that the model takes for toxic (P(grade >= 1) < keep). A null text counts as empty, and an
+    empty one is graded by the thresholds alone; long texts are read whole; each row is judged alone, so equal texts have
+    equal grades and repeated rows each stay; a null doc_id is judged but never learned from; of several labels of an id
+    the lowest grade holds; extra columns are ignored, whatever their names. Without documents there are no rows, without
+    labels expected_grade is null and all are kept.
     """
     model = fit(docs.select("doc_id", "text"), graded(labels), 3, sample)
     out = score(docs.select("doc_id", "text"), model, 3, keep)

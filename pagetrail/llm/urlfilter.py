@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import discard, durable
+from pagetrail.llm.common import discard, durable, if_few
 
 #: Rules of the query: (verdict, host and path prefix).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -81,13 +81,16 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = durable(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
     done, d = [], 0
     while True:
-        sums = paths.groupBy("host", "template").agg(F.sum("n").alias("_all"))
-        few = paths.join(sums.where(F.col("_all") < SUPPORT).select("host", "template"), ["host", "template"], "left_semi")
+        # the sums are broadcast if they are few by count, so that paths of a hot node stay where they are
+        sums = durable(paths.groupBy("host", "template").agg(F.sum("n").alias("_all")))
+        reached = paths.join(if_few(sums), ["host", "template"])
+        thin, short = F.col("_all") < SUPPORT, F.size("segments") <= d
         rest = F.greatest(F.size("segments") - d, F.lit(0))
-        over = durable(few.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).unionByName(paths.join(sums.where(F.col("_all") >= SUPPORT).select("host", "template"), ["host", "template"], "left_semi").where(F.size("segments") <= d)))
-        here = durable(paths.join(sums.where(F.col("_all") >= SUPPORT).select("host", "template"), ["host", "template"], "left_semi").where(F.size("segments") > d))
+        ended = F.when(thin, F.concat("template", F.repeat(F.lit("/*"), rest))).otherwise(F.col("template"))
+        over = durable(reached.where(thin | short).withColumn("template", ended).select(*paths.columns))
+        here = durable(reached.where(~thin & ~short).select(*paths.columns))
         done.append(over)
-        discard(paths)
+        discard(paths, sums)
         if not here.limit(1).count():
             break
         segment, after = F.try_element_at("segments", F.lit(d + 1)), F.try_element_at("segments", F.lit(d + 2))
@@ -103,10 +106,10 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
         apart = odd.join(cells, ["host", "template", "cell"])
         alone = _unlike(measures, "in_cell") | (F.col("branches") == 1)
         labels = apart.select("host", "template", "s", F.when(alone, F.col("s")).otherwise(F.concat(F.lit("~"), "cell")).alias("label"))
-        kept = tested.where("NOT odd").select("host", "template", "s", F.lit("~").alias("label")).unionByName(labels)
-        joined = here.withColumn("s", segment).join(kept, ["host", "template", "s"], "left")
+        kept = durable(tested.where("NOT odd").select("host", "template", "s", F.lit("~").alias("label")).unionByName(labels))
+        joined = here.withColumn("s", segment).join(if_few(kept), ["host", "template", "s"], "left")
         paths = durable(joined.select("host", "path", "n", "n_bad", "n_good", "segments", F.concat("template", F.lit("/"), F.coalesce("label", F.lit("*"))).alias("template")))
-        discard(here, branches, tested)
+        discard(here, branches, tested, kept)
         d += 1
     every = reduce(DataFrame.unionByName, done)
     return every.select("host", "path", "template"), every.groupBy("host", "template").agg(*(F.sum(k).alias(k) for k in ("n", "n_bad", "n_good")))
@@ -138,9 +141,10 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, r
     base = bad / (bad + good) if bad + good else 0.0
     labelled = F.col("n_bad") + F.col("n_good")
     shares = pooled.select(F.col("template").alias("shape"), ((F.col("n_bad") + PRIOR * base) / (labelled + PRIOR)).alias("share"), labelled.alias("n_pooled"))
-    shape_of = everywhere.select("path", F.col("template").alias("shape")).join(shares, "shape")
+    shape_of = everywhere.select("path", F.col("template").alias("shape")).join(if_few(durable(shares)), "shape")
     purity = (F.col("n_bad") + PRIOR * F.col("share")) / (labelled + PRIOR)
-    known = paths.join(found.select("host", "template", "n_bad", "n_good"), ["host", "template"]).join(shape_of, "path")
+    found = if_few(durable(found.select("host", "template", "n_bad", "n_good")))
+    known = paths.join(found, ["host", "template"]).join(shape_of, "path")
     known = durable(known.select("host", "path", "template", purity.alias("purity"), ((purity >= reject) & (labelled + F.col("n_pooled") >= EVIDENCE)).alias("rejected")))
     out = rows.drop("url", "bad").join(known, ["host", "path"], "left")
     verdict = F.coalesce("decided", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))

@@ -318,11 +318,11 @@ def k1_followed_pages(spark, sf_dir):
     return findings.read().select("subject_id", "canonical_url", "category", "match_state")
 
 
-# of a page that was not lost: what each kind of pair gives
+# of a page that was not lost: what each kind of pair gives; a place where a page says that somebody lives stands with all whom it may be about
 ORACLES["k1_followed_pages"] = f"""WITH {TRIAL}, held AS (SELECT *, state AS match_state FROM rated JOIN shows s USING (tag) WHERE NOT (page % 2 = 0 AND page % 3 <> 0))
 SELECT CAST(subject AS VARCHAR) AS subject_id, 'https://t' || page % 90 || '.example.org/p/' || page AS canonical_url, category, match_state FROM (
   SELECT subject, page, match_state, 'CONTACT_EMAIL' AS category FROM held WHERE own AND email = 1 UNION ALL SELECT subject, page, match_state, 'CONTACT_PHONE' FROM held WHERE own AND phone = 1
-  UNION ALL SELECT subject, page, match_state, 'USERNAME' FROM held WHERE own AND held.handle UNION ALL SELECT subject, page, match_state, 'PERSONAL_LOCATION' FROM held WHERE place UNION ALL SELECT subject, page, match_state, 'PROFESSIONAL_PROFILE' FROM held WHERE held.job)"""
+  UNION ALL SELECT subject, page, match_state, 'USERNAME' FROM held WHERE own AND held.handle UNION ALL SELECT subject, page, match_state, 'PERSONAL_LOCATION' FROM held WHERE tag IN ('profile', 'handle', 'elsewhere', 'moved') UNION ALL SELECT subject, page, match_state, 'PROFESSIONAL_PROFILE' FROM held WHERE held.job)"""
 
 
 _OWN = {"chosen", "chosen_column", "half", "people", "trial_pages"}

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pagetrail.llm.common import ALNUM, discard, durable, in_batches, texts_of, unused
 
 WINDOW = 13
-#: Item words in one broadcast set; more items are scanned in further blocks.
-BLOCK_WORDS = 2_000_000
+#: Item words in one broadcast set, eight bytes of text more counting as another; more items are scanned in further blocks. A block takes 20 bytes a word and its vocabulary.
+BLOCK_WORDS = 250_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,47 +24,67 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: vocabulary, hash tables by window length, and postings for exact verification."""
+    """The windows of some items' words, packed: a vocabulary, all words as numbers, and for each length of window the hashes of the distinct ones in order, a place of each and the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
-        self.postings: dict[tuple, set[str]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                self.postings.setdefault(tuple(ids[at : at + n]), set()).add(item)
-        self.hashes = {n: np.unique(np.concatenate([self.roll(np.array(k, np.uint64), n) for k in self.postings if len(k) == n])) for n in {len(k) for k in self.postings}}
+        names: dict[str, int] = {}
+        ids, places, base = [np.zeros(0, np.uint32)], {}, 0
+        for item, words in items:
+            n = min(window, len(words))
+            if n:
+                ids.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint32))
+                starts = np.arange(base, base + len(words) - n + 1)
+                places.setdefault(n, []).append((starts, np.full(len(starts), names.setdefault(item, len(names)))))
+                base += len(words)
+        self.items, self.ids = list(names), np.concatenate(ids)
+        self.tables = {n: self._table(n, *map(np.concatenate, zip(*found))) for n, found in places.items()}
+
+    def _table(self, n: int, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hashes, a place of each, ends of its items, items). Windows of one hash and other words have an entry each."""
+        hashes = self.roll([self.ids[starts + k].astype(np.uint64) for k in range(n)])
+        order = np.lexsort((owner, hashes))
+        hashes, starts, owner = hashes[order], starts[order], owner[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        for k in range(n):
+            words = self.ids[starts + k]
+            new[1:] |= words[1:] != words[:-1]
+        first = np.flatnonzero(new)
+        return hashes[first], starts[first].astype(np.uint32), np.append(first, len(new)).astype(np.uint32), owner.astype(np.uint32)
 
     @staticmethod
-    def roll(ids: np.ndarray, n: int) -> np.ndarray:
-        """A hash of each n consecutive ids."""
-        out = np.zeros(len(ids) - n + 1, np.uint64)
-        for k in range(n):
-            out = (out ^ ids[k : len(ids) - n + 1 + k]) * _MUL
+    def roll(columns: list[np.ndarray]) -> np.ndarray:
+        """A hash of each window; columns are the windows' first words, their second, and so on."""
+        out = np.zeros(len(columns[0]), np.uint64)
+        for column in columns:
+            out = (out ^ column) * _MUL
             out ^= out >> np.uint64(29)
         return out
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """The words that stand in a window (boolean), and the items with occurring windows. Windows of only known words are looked up."""
-        hit, items = np.zeros(len(words), bool), set()
+        """The words that stand in a window (boolean), and the items with occurring windows. Windows of only known words are looked up by hash, and all their words compared."""
+        edge, found = np.zeros(len(words) + 1, np.int64), []
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
         gaps = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, known in self.hashes.items():
-            if len(ids) < n:
-                continue
-            full = np.flatnonzero(gaps[n:] == gaps[:-n])
+        for n, (known, place, ends, owner) in self.tables.items():
+            full = np.flatnonzero(gaps[n:] == gaps[:-n]) if len(ids) >= n else ()
             if not len(full):
                 continue
-            rolled = self.roll(ids, n)[full]
-            at = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
-            for start in full[known[at] == rolled].tolist():
-                found = self.postings.get(tuple(ids[start : start + n].tolist()))
-                if found:
-                    hit[start : start + n] = True
-                    items |= found
-        return hit, items
+            rolled = self.roll([ids[k : len(ids) - n + 1 + k] for k in range(n)])[full]
+            at = np.searchsorted(known, rolled)
+            while len(full):  # once more for each further entry of the same hash
+                there = np.append(known, 0)[at] == rolled
+                there &= at < len(known)
+                full, rolled, at = full[there], rolled[there], at[there]
+                same = np.ones(len(full), bool)
+                for k in range(n):
+                    same &= self.ids[place[at] + np.uint32(k)] == ids[full + k]
+                np.add.at(edge, full[same], 1)
+                np.add.at(edge, full[same] + n, -1)
+                found += [owner[ends[c] : ends[c + 1]] for c in np.unique(at[same]).tolist()]
+                at = at + 1
+        return np.cumsum(edge[:-1]) > 0, {self.items[k] for k in (np.unique(np.concatenate(found)).tolist() if found else ())}
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -72,17 +92,20 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def blocks_of(benchmark: DataFrame, most_words: int) -> list:
-    """The items in blocks of at most so many words (a longer item is one block), each held by the driver in turn."""
+def blocks_of(benchmark: DataFrame, most_words: int, window: int):
+    """The items' words in blocks of at most so many words (or eight bytes of text each), held by the driver in turn. A longer item is cut into pieces that share window - 1 words, so that each of its windows stands in one."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    block, n = [], 0
+    block, size, step = [], 0, max(1, most_words - window + 1)
     for r in rows.toLocalIterator():
-        here = len(words_of(bytes(r.text)))
-        if block and n + here > most_words:
-            yield block
-            block, n = [], 0
-        block.append((r.item, bytes(r.text)))
-        n += here
+        words = words_of(bytes(r.text))
+        for at in range(0, max(1, len(words) - window + 1), step):
+            piece = words[at : at + step + window - 1]
+            here = len(piece) + sum(map(len, piece)) // 8
+            if block and size + here > most_words:
+                yield block
+                block, size = [], 0
+            block.append((r.item, piece))
+            size += here
     yield block
 
 
@@ -137,9 +160,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     spans are the maximal runs of hit words, [s, e) in words. The set of test windows is broadcast while it has at most
     block_words words; a larger benchmark is scanned block by block over a written copy of the documents, with the same
     result. Null text has no words; null item ids or texts are left out; equal items count one each; a benchmark
-    without words hits nothing; repeated rows each stay; extra columns of docs are ignored; no documents, no rows.
+    without words hits nothing; an item longer than a block is scanned in pieces, with the same result; repeated rows each stay; extra columns of docs are ignored; no documents, no rows.
     """
-    one, blocks = _first_two(blocks_of(benchmark, block_words))
+    one, blocks = _first_two(blocks_of(benchmark, block_words, window))
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if one is not None:
         return _scanned(placed, docs.sparkSession.sparkContext.broadcast(Windows(one, window)), True)
@@ -167,15 +190,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     original text, whatever the number of blocks. Null text is kept; repeated rows are each judged; no documents, no rows.
     """
     sc, names, schema = docs.sparkSession.sparkContext, docs.columns, docs.schema
-    one, blocks = _first_two(blocks_of(benchmark, block_words))
+    one, blocks = _first_two(blocks_of(benchmark, block_words, window))
     if one is not None:
         shared = sc.broadcast(Windows(one, window))
 
         def drop(batches):
             for batch in batches:
-                words = [words_of(t or b"") for t in texts_of(batch)]
-                hits = [int(shared.value.scan(w)[0].sum()) for w in words]
-                yield batch.filter(pa.array([not (n and per_words * n >= len(w)) for n, w in zip(hits, words)], pa.bool_()))
+                clean = []
+                for text in texts_of(batch):
+                    words = words_of(text or b"")
+                    n = int(shared.value.scan(words)[0].sum())
+                    clean.append(not (n and per_words * n >= len(words)))
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         def cut(batches, at=names.index("text")):
             for batch in batches:

@@ -420,6 +420,28 @@ def test_tally(spark):
     assert sum(got.column("seen").to_pylist()) == sum(n > 0 for n in want.values())
 
 
+def test_windows_against_plain_sets(monkeypatch):
+    """Packed windows, in one block or with items cut into pieces, against sets of tuples; also where all windows have one hash."""
+    rng = random.Random(11)
+    items = [(f"i{k}", [w.encode() for w in words(rng, n, 6)]) for k, n in enumerate((0, 1, 2, 3, 3, 4, 9, 60, 60))]
+    text = [w.encode() for w in words(rng, 3000, 7)]
+    want, holders = np.zeros(len(text), bool), set()
+    for item, ws in items:
+        n = min(3, len(ws))
+        for k in range(len(ws) - n + 1 if n else 0):
+            for at in (a for a in range(len(text) - n + 1) if text[a : a + n] == ws[k : k + n]):
+                want[at : at + n] = True
+                holders.add(item)
+    pieces = [(i, ws[at : at + 5]) for i, ws in items for at in range(0, max(1, len(ws) - 2), 3)]
+    for hashed in (decontam.Windows.roll, lambda columns: np.zeros(len(columns[0]), np.uint64)):
+        monkeypatch.setattr(decontam.Windows, "roll", staticmethod(hashed))
+        for given in (items, pieces):
+            hit, found = decontam.Windows(given, 3).scan(text)
+            assert (hit == want).all() and found == holders
+            assert not decontam.Windows(given, 3).scan([])[0].size
+    assert not decontam.Windows([], 3).scan(text)[0].any()
+
+
 def test_decontamination(spark, texts):
     rng = random.Random(8)
     items = [(f"i{k}", " ".join(words(rng, n, 900))) for k, n in enumerate((5, 13, 14, 40))] + [("n", None), ("e", ""), (None, "w1 w2")]

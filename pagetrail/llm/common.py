@@ -72,7 +72,7 @@ def unused(name: str, taken: list[str]) -> str:
 
 #: Rows of a batch that a task's Python holds at once; whole texts are some kilobytes, long ones a hundred.
 BATCH = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def release() -> None:

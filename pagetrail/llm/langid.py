@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.llm.common import in_batches, mod_crc32
+from pagetrail.llm.common import in_batches, mod_crc32, release
 
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -105,7 +105,7 @@ def sample_of(docs: DataFrame, label: str, most: int) -> list[tuple[np.ndarray,
     """At most so many different texts of each label, as (buckets, counts, label): those with the smallest hash.
 
     Copies of a text count as one and are reduced to it before any reaches the driver; so do only the buckets and
-    counts of the chosen, at most DIMS numbers a text however long it is.
+    counts of the chosen, packed, at most DIMS numbers of each a text however long it is.
     """
     keyed = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).alias("y"), F.xxhash64("text").alias("h"))
     n = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
@@ -116,16 +116,16 @@ def sample_of(docs: DataFrame, label: str, most: int) -> list[tuple[np.ndarray,
     def run(batches):
         for batch in batches:
             found = [grams(t.as_py()) for t in batch.column("text")]
-            at, counts = (pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1))
+            at, counts = (pa.array([f[k].astype("<i4").tobytes() for f in found], pa.binary()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), at, counts], names=["h", "y", "at", "n"])
 
-    schema = keyed.select("h", "y", F.array(F.lit(0)).alias("at"), F.array(F.lit(0)).alias("n")).schema
+    schema = keyed.select("h", "y", F.lit(b"").alias("at"), F.lit(b"").alias("n")).schema
     rows = in_batches(keyed.where(unit < share[F.col("y")]).dropDuplicates(["y", "h"]), run, schema).collect() if n else []
     out, left = [], dict.fromkeys(n, most)
     for r in sorted(rows, key=lambda r: (r["h"], r["y"])):
         if left[r["y"]] > 0:
             left[r["y"]] -= 1
-            out.append((np.array(r["at"], np.int64), np.array(r["n"], np.int64), r["y"]))
+            out.append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4"), r["y"]))
     return out
 
 
@@ -145,6 +145,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     if not k:
         return model
     data = [(*model.weighted(at, n), languages.index(y)) for at, n, y in rows]
+    del rows
     held, data = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     z, n, w = np.zeros((DIMS + 1, k)), np.zeros((DIMS + 1, k)), np.zeros((DIMS + 1, k))
     order = np.random.default_rng(0)
@@ -165,6 +166,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     if scores:
         losses = {t: -sum(np.log(max(softmax(s / t)[y], 1e-12)) for s, y in scores) for t in np.geomspace(0.05, 5, 60)}
         model.temperature = float(min(losses, key=losses.get))
+    del data, held, scores, z, n, w
+    release()
     return model
 
 

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from pagetrail.schema import GONE, RECHECKABLE
 
 
-def verify_sources(recorded: DataFrame, refetched: DataFrame, refetched_obs: DataFrame) -> DataFrame:
+def verify_sources(recorded: DataFrame, refetched: DataFrame, refetched_obs: DataFrame, by: str = "canonical_url") -> DataFrame:
     """What became of each recorded page: key, source_status, new_content_hash, note.
 
     recorded(key, canonical_url, content_hash, targets array<string>); refetched(canonical_url, status, http_status,
     content_hash, is_blank); refetched_obs(canonical_url, value_normalized). In this order: blocked; any other failure or
     no second crawl unknown; 404 or 410 gone; a blank page without observations removed; targets of which none is left
-    data removed; the same hash unchanged; else changed.
+    data removed; the same hash unchanged; else changed. by: the column that says which page it is, for pages that share
+    an address. Every recorded row gives one row: of several crawls of a page, that which shows most counts (retrieved,
+    not gone, not blank, the smallest hash).
     """
-    values = refetched_obs.groupBy("canonical_url").agg(F.collect_set("value_normalized").alias("present"))
-    page = refetched.select("canonical_url", "status", "http_status", F.col("content_hash").alias("new_content_hash"), "is_blank")
-    rows = recorded.join(page, "canonical_url", "left").join(values, "canonical_url", "left")
+    values = refetched_obs.groupBy(by).agg(F.collect_set("value_normalized").alias("present"))
+    shows = F.struct(F.coalesce(F.col("status") != "RETRIEVED", F.lit(True)), F.coalesce(F.col("http_status").isin(404, 410), F.lit(False)), F.coalesce("is_blank", F.lit(False)), "content_hash", "status", "http_status")
+    page = refetched.groupBy(by).agg(F.min_by(F.struct("status", "http_status", F.col("content_hash").alias("new_content_hash"), "is_blank"), shows).alias("_page")).select(by, "_page.*")
+    rows = recorded.join(page, by, "left").join(values, by, "left")
     none = F.array().cast("array<string>")
     present, targets = F.coalesce("present", none), F.coalesce("targets", none)
     left = F.array_intersect(targets, present)

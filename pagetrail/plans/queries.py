@@ -25,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over as many tasks as a shuffle has: a small file of keys is one task's, but what is made of them below may be a thousand times its size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # Inputs that Spark derives from the given tables.
 
 
@@ -72,7 +77,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(' Oak Street","addressCountry":"'), F.col("n_name"), F.lit('"},"sameAs":["https://github.com/user'), k, F.lit('"]}</script></head><body><p>Born 3 May 1980. Lives at '), k, F.lit(' Elm Tree Road, '), F.initcap("n_name"), F.lit('.</p><p>Phone: 020 7946 '), F.lpad(k, 6, "0"),
         F.lit('</p><a href="mailto:c'), k, F.lit('@mail.example.com?subject=x">mail</a><a href="tel:+4420'), F.lpad(k, 8, "7"), F.lit('">call</a><a href="https://www.linkedin.com/in/user'), k, F.lit('">in</a></body></html>'),
     )
-    return c.select(F.concat(F.lit("https://people.example.org/c/"), k).alias("url"), page.alias("html"), F.lit("text/html").alias("content_type"), F.lit(True).alias("from_search"), F.lit("s2").alias("scan_id"), F.col("c_custkey").cast("long").alias("position"))
+    return spread(c.select("c_custkey", "c_name", "c_mktsegment", "n_name"), "c_custkey").select(F.concat(F.lit("https://people.example.org/c/"), k).alias("url"), page.alias("html"), F.lit("text/html").alias("content_type"), F.lit(True).alias("from_search"), F.lit("s2").alias("scan_id"), F.col("c_custkey").cast("long").alias("position"))
 
 
 def case_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,10 +334,10 @@ def i17_i18_verify(spark, sf_dir):
     n = F.col("page_id")
     p = read(spark, sf_dir, "pages")
     text = H.visible_text(F.col("html"))
-    recorded = p.select(n.alias("key"), F.col("url").alias("canonical_url"), F.sha2("html", 256).alias("content_hash"), F.when(n % 2 == 0, F.array(F.lit("x@example.com"))).otherwise(F.array().cast("array<string>")).alias("targets"))
-    again = p.where(n % 13 != 0).select(F.col("url").alias("canonical_url"), F.when(n % 11 == 0, "RETRIEVAL_BLOCKED").when(n % 11 == 1, "TIMEOUT").otherwise("RETRIEVED").alias("status"), F.when(n % 11 == 2, 404).when(n % 11 == 3, 410).otherwise(200).alias("http_status"), F.sha2(F.when(n % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")), 256).alias("content_hash"), (n % 7 == 0).alias("is_blank"))
-    seen = p.where(n % 4 == 0).select(F.col("url").alias("canonical_url"), F.lit("x@example.com").alias("value_normalized"))
-    v = verify.verify_sources(recorded, again, seen)
+    recorded = p.select(n.alias("key"), "page_id", F.col("url").alias("canonical_url"), F.sha2("html", 256).alias("content_hash"), F.when(n % 2 == 0, F.array(F.lit("x@example.com"))).otherwise(F.array().cast("array<string>")).alias("targets"))
+    again = p.where(n % 13 != 0).select("page_id", F.when(n % 11 == 0, "RETRIEVAL_BLOCKED").when(n % 11 == 1, "TIMEOUT").otherwise("RETRIEVED").alias("status"), F.when(n % 11 == 2, 404).when(n % 11 == 3, 410).otherwise(200).alias("http_status"), F.sha2(F.when(n % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")), 256).alias("content_hash"), (n % 7 == 0).alias("is_blank"))
+    seen = p.where(n % 4 == 0).select("page_id", F.lit("x@example.com").alias("value_normalized"))
+    v = verify.verify_sources(recorded, again, seen, by="page_id")
     cases = p.select(n.alias("case_id"), F.element_at(F.array(*map(F.lit, STATES)), (n % len(STATES) + 1).cast("int")).alias("state"))
     return verify.advance_cases(cases, v.withColumnRenamed("key", "case_id"))
 
@@ -408,5 +413,5 @@ def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-_HELPERS = {"read", "crawl", "enrolled", "customers", "profiles", "case_events", "rated", "flat", "scan"}
+_HELPERS = {"read", "spread", "crawl", "enrolled", "customers", "profiles", "case_events", "rated", "flat", "scan"}
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in _HELPERS}

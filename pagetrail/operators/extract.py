@@ -203,6 +203,16 @@ def term_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return holding(texts, wanted.select("needle")).join(wanted, "needle").select("source_id", "subject_id", "kind", "value")
 
 
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """As term_matches, counted: (source_id, kind, n_terms, n_values) of the terms that each text holds.
+
+    A text meets each different term once, with the number of subjects who have it, so a place that a third of all texts
+    name and a third of all subjects live in makes no product of both.
+    """
+    wanted = _needles(terms).groupBy("kind", "needle").agg(F.count("*").alias("n"), F.count_distinct("value").alias("v"))
+    return holding(texts, wanted.select("needle")).join(wanted, "needle").groupBy("source_id", "kind").agg(F.sum("n").alias("n_terms"), F.sum("v").alias("n_values"))
+
+
 def subject_observations(parsed: DataFrame, terms: DataFrame) -> DataFrame:
     """Observations of the subjects' own names, usernames and domains where a page's text holds them, and of places and employers of any subject.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetrail.functions.text import py_strip
+from pagetrail.functions.text import let, py_strip
 
 # Entities that are decoded (numeric ones too, see unescape); others stay as they are.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&middot;", "·"), ("&eacute;", "é"), ("&amp;", "&"))
@@ -50,9 +50,8 @@ def title(html: Column) -> Column:
 def meta(html: Column) -> Column:
     """Lower-cased property (or name) to content; of several the last."""
     tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "property"), F.lit("")), attribute(t, "name"))).alias("key"), attribute(t, "content").alias("value")))
-    kept = F.filter(tags, lambda t: (t["key"] != "") & (t["value"] != ""))
-    last = F.filter(kept, lambda t, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda u: u["key"] == t["key"]))
-    return F.map_from_entries(last)
+    last = lambda kept: F.filter(kept, lambda t, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda u: u["key"] == t["key"]))
+    return F.map_from_entries(let(F.filter(tags, lambda t: (t["key"] != "") & (t["value"] != "")), last))
 
 
 def jsonld_blocks(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ NO_PERSON = (
 SEPARATORS = (" - ", " – ", " — ", " | ", " · ", ": ")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row: an expression that is named several times may be run as often, and inside a lambda again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def py_strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -125,11 +132,13 @@ def page_topic_name(title: Column) -> Column:
 
 def snippet(text: Column, needle: Column, width: int = 80) -> Column:
     """The needle with so many characters around it, cut marks where text is left out; the needle itself if it isn't there."""
-    at = F.instr(F.lower(text), F.lower(needle)) - 1
-    start = F.greatest(at - width, F.lit(0))
-    end = F.least(at + F.length(needle) + width, F.length(text))
-    around = F.concat(F.when(start > 0, "…").otherwise(""), py_strip(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "…").otherwise(""))
-    return F.when(at < 0, F.left(needle, F.lit(2 * width))).otherwise(around)
+    def cut(at: Column) -> Column:
+        start = F.greatest(at - width, F.lit(0))
+        end = F.least(at + F.length(needle) + width, F.length(text))
+        around = F.concat(F.when(start > 0, "…").otherwise(""), py_strip(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "…").otherwise(""))
+        return F.when(at < 0, F.left(needle, F.lit(2 * width))).otherwise(around)
+
+    return let(F.instr(F.lower(text), F.lower(needle)) - 1, cut)
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -137,8 +146,6 @@ def found(text: Column, pattern: str) -> Column:
 
     A match's start is the length of all gaps and matches before it, which one fold over both arrays sums up.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
     kind = "array<struct<hit:string,start:int,before:string>>"
     init = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
@@ -148,7 +155,11 @@ def found(text: Column, pattern: str) -> Column:
         item = F.struct(x["h"].alias("hit"), start.alias("start"), before.alias("before"))
         return F.struct((start + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(F.aggregate(F.filter(both, lambda x: x["h"].isNotNull()), init, step, lambda acc: acc["out"]))
+    def places(hits: Column) -> Column:
+        both = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+        return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(F.aggregate(F.filter(both, lambda x: x["h"].isNotNull()), init, step, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
 def severity_rank(s: Column) -> Column:

@@ -159,12 +159,15 @@ def link_hits(links: Column) -> Column:
 def page_observations(parsed: DataFrame) -> DataFrame:
     """parsed pages to observation rows of page facts (subject_id null): source_id and the fields of HIT.
 
-    All kinds in one pass over the page: an array of hits for each kind, then a single explode.
+    All kinds in one pass over the page: an array of hits for each kind, then a single explode. The page is parsed once
+    even where parsing is part of the same plan.
     """
-    p = F.col("parsed")
-    kinds = {"h_title": title_hits(p), "h_jsonld": F.when(F.size(p["jsonld"]) > 0, jsonld_hits(p["jsonld"])).otherwise(F.array().cast(NO_HITS)), "h_email": email_hits(p["text"]), "h_phone": phone_hits(p["text"]), "h_birth": birth_hits(p["text"]), "h_postal": postal_hits(p["text"]), "h_link": link_hits(p["links"])}
-    rows = parsed.select("source_id", *(v.alias(k) for k, v in kinds.items()))
-    return rows.select("source_id", F.inline(F.concat(*kinds))).withColumn("subject_id", F.lit(None).cast("string"))
+
+    def hits(p: Column) -> Column:
+        people = F.when(F.size(p["jsonld"]) > 0, jsonld_hits(p["jsonld"])).otherwise(F.array().cast(NO_HITS))
+        return F.concat(title_hits(p), people, email_hits(p["text"]), phone_hits(p["text"]), birth_hits(p["text"]), postal_hits(p["text"]), link_hits(p["links"]))
+
+    return parsed.select("source_id", F.inline(T.let(F.col("parsed"), hits))).withColumn("subject_id", F.lit(None).cast("string"))
 
 
 def subject_terms(subjects: DataFrame) -> DataFrame:

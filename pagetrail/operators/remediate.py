@@ -70,7 +70,7 @@ def routes(findings: DataFrame, subjects: DataFrame, registry: DataFrame, today:
     live = registry.where(~T.registry_expired(F.col("last_verified"), F.col("expires_after_days"), today)).select(F.col("id").alias("registry_id"), "provider", "route_type", F.explode("applies_to").alias("category"))
     who = subjects.select("subject_id", countries(F.col("locations")).alias("countries"), "personal_domains")
     domain = F.lower(F.coalesce("registrable_domain", F.lit("")))
-    rows = findings.select("finding_id", "subject_id", "category", domain.alias("domain")).join(who, "subject_id")
+    rows = findings.select("finding_id", "subject_id", "category", domain.alias("domain")).join(who.hint("merge"), "subject_id")  # never broadcast: a file of subjects is small, their arrays are not
     in_us, in_eu = F.arrays_overlap("countries", literals(US)), F.arrays_overlap("countries", literals(EU_EEA_UK))
     rows = rows.select("finding_id", "category", U.is_user_controlled(F.col("domain"), F.col("personal_domains")).alias("own"), U.is_gov(F.col("domain")).alias("gov"), in_us.alias("us"), in_eu.alias("eu"), (F.size("countries") > 0).alias("placed"))
     option = lambda rank, name, when, good, why, relevant: F.when(when, F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("registry_id"), good.alias("recommended"), F.lit(why).alias("reason"), F.lit(relevant).alias("jurisdiction_relevant")))
@@ -79,9 +79,12 @@ def routes(findings: DataFrame, subjects: DataFrame, registry: DataFrame, today:
         option(1, "user_controlled_remove", own, yes, OWN, True), option(2, "california_drop", F.col("us"), ~own, DROP, True), option(3, "generic_gdpr_erasure", F.col("eu"), ~own, ERASURE, True),
         option(4, "generic_gdpr_rectification", F.col("eu"), no, RECTIFY, True), option(5, "google_personal_info", yes, ~(own | F.col("placed")), DELIST, False), option(6, "generic_publisher_contact", yes, no, PUBLISHER, False),
     ))
-    each = rows.select("finding_id", "category", F.inline(options)).join(live, ["registry_id", "category"])
+    # which routes a category has is known before the options are made, so no finding is shuffled to learn that it has none
+    offered = live.groupBy("category").agg(F.collect_set("registry_id").alias("ids"))
+    rows = rows.join(F.broadcast(offered), "category", "left").withColumn("options", F.filter(options, lambda o: F.coalesce(F.array_contains("ids", o["registry_id"]), F.lit(False))))
+    each = rows.select("finding_id", "category", F.inline("options")).join(F.broadcast(live), ["registry_id", "category"])
     chosen = each.select("finding_id", "rank", "registry_id", F.col("route_type").alias("route"), "provider", "recommended", "reason", "jurisdiction_relevant")
-    empty = rows.join(chosen.select("finding_id").distinct().withColumn("some", F.lit(True)), "finding_id", "left").where("gov OR some IS NULL")
+    empty = rows.where("gov OR size(options) = 0")
     last = empty.select("finding_id", F.lit(7).alias("rank"), F.lit(None).cast("string").alias("registry_id"), F.lit("NO_ACTION_AVAILABLE").alias("route"), F.lit("(none)").alias("provider"), F.col("gov").alias("recommended"), F.when(F.col("gov"), PUBLIC).otherwise(NONE).alias("reason"), F.lit(False).alias("jurisdiction_relevant"))
     return chosen.unionByName(last)
 

@@ -223,12 +223,13 @@ def subject_observations(parsed: DataFrame, terms: DataFrame) -> DataFrame:
     them to those of its subjects that something else points to.
     """
     wanted = _needles(terms.where(F.col("kind").isin(*TOKEN_KINDS)))
-    found = durable(holding(parsed.select("source_id", F.col("parsed.text").alias("text")), wanted.select("needle")))
+    found = holding(parsed.select("source_id", F.col("parsed.text").alias("text")), wanted.select("needle"))
     kind, order = F.lit(None).cast("string"), F.lit(0)
     for name, (observed, rank) in TOKEN_KINDS.items():
         kind, order = F.when(F.col("kind") == name, observed).otherwise(kind), F.when(F.col("kind") == name, rank).otherwise(order)
     typed = wanted.select("subject_id", "needle", "value", kind.alias("type"), order.alias("kind_rank"), F.col("kind").isin(*SHARED_KINDS).alias("shared"))
-    own = typed.where("NOT shared").select("subject_id", "needle", "value", "type", "kind_rank")
+    # a text holds a needle once, so rows that are one for each subject, needle and type stay so, and nobody's snippets are shuffled to find that out
+    own = typed.where("NOT shared").groupBy("subject_id", "needle", "type").agg(F.min(F.struct("kind_rank", "value")).alias("_first")).select("subject_id", "needle", "_first.value", "type", "_first.kind_rank")
     shared = typed.where("shared").groupBy("needle", "type", "kind_rank").agg(F.min("value").alias("value")).select(F.lit(None).cast("string").alias("subject_id"), "needle", "value", "type", "kind_rank")
     rows = found.join(own.unionByName(shared), "needle")
     return rows.select("source_id", "subject_id", "type", F.col("needle").alias("value"), F.col("value").alias("display"), "snippet", F.lit(False).alias("sensitive"), F.lit(TOKENS).alias("extractor"), F.lit(2).alias("extractor_rank"), "kind_rank", F.lit(0).alias("pos"))
@@ -303,7 +304,7 @@ def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[
         hits = hits.unionByName(found.select(*FIELDS))
     hits = durable(first_wins(hits))
     if terms is not None:
-        own = first_wins(subject_observations(parsed, terms).select(*FIELDS))
+        own = subject_observations(parsed, terms).select(*FIELDS)
         own = own.join(hits.select("source_id", "type", "value"), ["source_id", "type", "value"], "left_anti").select(*FIELDS)
         hits = hits.unionByName(own)
     key = F.sha2(F.concat_ws("|", "source_id", F.coalesce("subject_id", F.lit("")), "type", "value"), 256)

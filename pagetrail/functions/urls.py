@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pagetrail.functions.text import py_strip
+from pagetrail.functions.text import let, py_strip
 from pagetrail.schema import GENERIC_ROUTING, GOV_SUFFIXES, PLATFORMS, ROUTING, USER_CONTROLLED, literal_map, literals, one_of
 
 # Query keys that only track.
@@ -51,18 +51,20 @@ def port(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-cased; user-info, default port, tracking keys, fragment and final slashes dropped; null for a bad port."""
-    u = py_strip(url)
-    kind, name, at = scheme(u), host(u), port(u)
+    return let(let(py_strip(url), lambda u: F.struct(scheme(u).alias("kind"), host(u).alias("name"), port(u).alias("at"), _part(u, 3).alias("path"), _part(u, 4).alias("query"))), _canonical)
+
+
+def _canonical(parts: Column) -> Column:
+    kind, name, at, path = parts["kind"], parts["name"], parts["at"], parts["path"]
     number = F.try_to_number(F.nullif(at, F.lit("")), F.lit("99999"))
     bad = (at != "") & (~at.rlike(r"^[0-9]+$") | F.coalesce(number > 65535, F.lit(True)))
     shown = F.when((at == "") | (number == 0) | ((kind == "http") & (number == 80)) | ((kind == "https") & (number == 443)), name).otherwise(F.concat(name, F.lit(":"), number.cast("int").cast("string")))
-    path = _part(u, 3)
     path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, r"/+$", ""))
     key = lambda pair: F.lower(F.substring_index(pair, "=", 1))
-    kept = F.filter(F.split(_part(u, 4), "&"), lambda p: (p != "") & ~one_of(key(p), TRACKING) & ~key(p).startswith("utm_"))
-    query = F.array_join(kept, "&")
+    kept = F.filter(F.split(parts["query"], "&"), lambda p: (p != "") & ~one_of(key(p), TRACKING) & ~key(p).startswith("utm_"))
+    query = F.when(parts["query"] == "", "").otherwise(let(F.array_join(kept, "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
     front = F.when(name != "", F.concat(F.when(kind == "", "").otherwise(F.concat(kind, F.lit(":"))), F.lit("//"), shown)).otherwise(F.when(kind == "", "").otherwise(F.concat(kind, F.lit(":"))))
-    return F.when(bad, F.lit(None)).otherwise(F.concat(front, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
+    return F.when(bad, F.lit(None)).otherwise(F.concat(front, path, query))
 
 
 #: A short list of public suffix rules, in the syntax of the public list: "*." stands for any one label, "!" excepts a name from such a rule.
@@ -95,21 +97,30 @@ def _is_rule(rules: Sequence[str]) -> Callable[[Column], Column]:
 
 def public_suffix_labels(name: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
     """How many labels of a host are its public suffix: of the rules that fit the longest, an excepting one before all others; 0 if none fits."""
+    return let(F.split(name, r"\."), lambda parts: _suffix_labels(parts, rules))
+
+
+def _suffix_labels(parts: Column, rules: Sequence[str]) -> Column:
     fits = _is_rule(rules)
-    parts = F.split(name, r"\.")
     size = F.size(parts)
     ends = F.transform(F.sequence(F.lit(1), size), lambda k: F.array_join(F.slice(parts, size - k + 1, k), "."))
-    excepted = F.array_position(F.transform(ends, lambda e: fits(F.concat(F.lit("!"), e))), F.lit(True))
-    # a wildcard takes one label more than what stands after it
-    longest = F.array_max(F.transform(ends, lambda e, i: F.when(fits(e) | ((i > 0) & fits(F.concat(F.lit("*."), F.array_join(F.slice(parts, size - i + 1, i), ".")))), i + 1).otherwise(0)))
-    return F.when(excepted > 0, (excepted - 1).cast("int")).otherwise(longest)
+
+    def of(ends: Column) -> Column:
+        excepted = F.array_position(F.transform(ends, lambda e: fits(F.concat(F.lit("!"), e))), F.lit(True))
+        # a wildcard takes one label more than what stands after it
+        longest = F.array_max(F.transform(ends, lambda e, i: F.when(fits(e) | ((i > 0) & fits(F.concat(F.lit("*."), F.get(ends, i - 1)))), i + 1).otherwise(0)))
+        return let(excepted, lambda x: F.when(x > 0, (x - 1).cast("int")).otherwise(longest))
+
+    return let(ends, of)
 
 
 def registrable(name: Column, rules: Sequence[str] = SUFFIX_RULES) -> Column:
     """The public suffix of a host and one label; the whole host if it has no known suffix or is one."""
-    parts = F.split(name, r"\.")
-    k = public_suffix_labels(name, rules)
-    return F.when((k > 0) & (k < F.size(parts)), F.array_join(F.slice(parts, F.size(parts) - k, k + 1), ".")).otherwise(name)
+    def of(name: Column, parts: Column) -> Column:
+        size = F.size(parts)
+        return let(_suffix_labels(parts, rules), lambda k: F.when((k > 0) & (k < size), F.array_join(F.slice(parts, size - k, k + 1), ".")).otherwise(name))
+
+    return let(name, lambda n: let(F.split(n, r"\."), lambda parts: of(n, parts)))
 
 
 def with_registrable_domain(df: DataFrame, url: str, rules: Sequence[str] = SUFFIX_RULES, out: str = "registrable_domain") -> DataFrame:

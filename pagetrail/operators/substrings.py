@@ -84,19 +84,29 @@ def anchors(needles: DataFrame, texts: np.ndarray, own: np.ndarray) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for needle in batch.column("needle").to_pylist():
-                data = np.frombuffer(needle.encode(), np.uint8)
-                w = width_of(len(data))
-                keys = _keys(_windows(data)[: len(data) - w + 1], w)
-                i, slots = WIDTHS.index(w), _slot(keys, w)
-                cost = (texts[i, slots] + 1.0) * own[i, slots]
-                cost[(data[: len(keys)] & 0xC0) == 0x80] = np.inf  # inside a character
-                at = int(cost.argmin())
-                rows.append((needle, w, int(keys[at].astype(np.int64)), len(data[:at].tobytes().decode()), int(_hashes(keys[at : at + 1], w).astype(np.int64)[0]), int(_salts(texts[i, slots[at]]))))
-            columns = list(zip(*rows)) or [[]] * 6
-            types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["needle", "width", "key", "off", "hash", "salts"])
+            whole = _Batch(batch.column("needle"))
+            first, size = whole.starts[:-1], np.diff(whole.starts)
+            windows, inside = _windows(whole.data), (whole.data & 0xC0) == 0x80  # inside: not where a character begins
+            width = np.minimum(size, WIDTHS[-1])
+            places = size - width + 1
+            begin = np.cumsum(places) - places
+            row = np.repeat(np.arange(len(size)), places)
+            at = first[row] + np.arange(len(row)) - begin[row]
+            keys, slots, hashes, cost = windows[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64), np.zeros(len(at))
+            for i, w in enumerate(WIDTHS):
+                of = np.flatnonzero(width[row] == w)
+                keys[of] = _keys(keys[of], w)
+                slots[of], hashes[of] = _slot(keys[of], w), _hashes(keys[of], w)
+                cost[of] = (texts[i, slots[of]] + 1.0) * own[i, slots[of]]
+            cost[inside[at]] = np.inf
+            least = np.flatnonzero(cost == np.minimum.reduceat(cost, begin)[row]) if len(cost) else np.zeros(0, np.int64)
+            best = least[np.searchsorted(least, begin)] if len(cost) else least  # of equal ones a needle's first
+            chars = np.append(0, np.cumsum(~inside))
+            salts = np.zeros(len(best), np.int32)
+            for i, w in enumerate(WIDTHS):
+                salts[width == w] = _salts(texts[i, slots[best[width == w]]])
+            columns = (width.astype(np.int32), keys[best].astype(np.int64), (chars[at[best]] - chars[first]).astype(np.int32), hashes[best].astype(np.int64), salts)
+            yield pa.RecordBatch.from_arrays([batch.column("needle"), *map(pa.array, columns)], names=["needle", "width", "key", "off", "hash", "salts"])
 
     return needles.mapInArrow(run, ANCHOR)
 
@@ -202,7 +212,9 @@ def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """
     texts = texts.select(F.col("source_id").cast("string").alias("source_id"), "text").where("text <> ''")
     low = texts.withColumn("low", F.lower("text"))
-    needles = durable(needles.select("needle").where(F.char_length("needle") >= 3).distinct())
+    # dealt over as many tasks as a shuffle has: needles are few bytes, but what is done with each is much more than reading it
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needles = durable(needles.select("needle").where(F.char_length("needle") >= 3).distinct().repartition(parts, "needle"))
     count, longest = needles.agg(F.count("*"), F.max(F.char_length("needle"))).first()
     if not count:
         return texts.sparkSession.createDataFrame([], "source_id string, needle string, at int, snippet string")

@@ -56,7 +56,7 @@ def enrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects from customer and nation, with two-part names, handles, emails, phones and places."""
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey").cast("string")
     number = F.concat(F.lit("+44 20 "), F.substring(F.lpad(k, 9, "7"), 1, 4), F.lit(" "), F.substring(F.lpad(k, 9, "7"), 5, 5))
     return c.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,13 @@ class Scan:
     sources: DataFrame
     observations: DataFrame
     matches: DataFrame
-    findings: DataFrame
+    terms: DataFrame
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Worked out and written when first asked for: who only reads matches doesn't wait for them."""
+        own = resolve.own_identifiers(self.observations, resolve.anchored(self.matches), self.terms)
+        return durable(assess.findings_of(own, self.matches, self.sources))
 
 
 def sources_of(pages: DataFrame, suffix_rules: Sequence[str] = U.SUFFIX_RULES) -> DataFrame:
@@ -36,12 +43,21 @@ def sources_of(pages: DataFrame, suffix_rules: Sequence[str] = U.SUFFIX_RULES) -
     return rows.withColumn("source_id", F.sha2(F.concat_ws("|", F.coalesce("scan_id", F.lit("")), F.coalesce("canonical_url", "url", F.lit(""))), 256))
 
 
-def one_per_source(rows: DataFrame) -> DataFrame:
-    """One row of each source_id (of several, that of the smallest content hash). Only rows of sources that occur again are shuffled with their html."""
-    again = durable(rows.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n > 1").select("source_id"))
-    rest = [c for c in rows.columns if c != "source_id"]
-    first = rows.join(again, "source_id", "left_semi").groupBy("source_id").agg(F.min_by(F.struct(*rest), F.struct("content_hash", F.xxhash64(*(c for c in rest if c != "html")))).alias("_row"))
-    return rows.join(again, "source_id", "left_anti").unionByName(first.select("source_id", "_row.*"))
+def parsed_sources(pages: DataFrame, suffix_rules: Sequence[str] = U.SUFFIX_RULES) -> DataFrame:
+    """sources_of(pages), parsed (if RETRIEVED) and written, one row of each source_id: of several that of the smallest content hash.
+
+    Urls are read and pages parsed in one pass. What is asked of the ids afterwards is asked of the written rows: a
+    filter on an id sinks below a shuffle, so it would read every url again, in the tasks of the input's few files.
+    """
+    rows = sources_of(pages, suffix_rules)
+    rest = [c for c in rows.columns if c not in ("source_id", "html")]
+    parsed = extract.parse_pages(rows.withColumn("_tied", F.xxhash64(*rest)))
+    every = durable(parsed.withColumn("parsed", F.when(F.col("status") == "RETRIEVED", F.col("parsed"))))
+    again = durable(every.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n > 1").select("source_id"))
+    if again.isEmpty():
+        return every.drop("_tied")
+    first = every.join(again, "source_id", "left_semi").groupBy("source_id").agg(F.min_by(F.struct(*rest, "parsed"), F.struct("content_hash", "_tied")).alias("_row"))
+    return every.drop("_tied").join(again, "source_id", "left_anti").unionByName(durable(first.select("source_id", "_row.*")))
 
 
 def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: Sequence[str] = U.SUFFIX_RULES, decisions: DataFrame | None = None, terms: DataFrame | None = None) -> Scan:
@@ -50,8 +66,7 @@ def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: S
     Pages are parsed once and their facts found once, whatever the number of subjects; only retrieved pages are read,
     the others keep a source row with their status. Subjects meet pages by joins on identifiers. Raw pages end here.
     """
-    found = one_per_source(sources_of(pages, suffix_rules))
-    kept = durable(extract.parse_pages(found).withColumn("parsed", F.when(F.col("status") == "RETRIEVED", F.col("parsed"))))
+    kept = parsed_sources(pages, suffix_rules)
     parsed = kept.where("parsed IS NOT NULL").select("source_id", "content_type", "parsed")
     terms = durable(extract.subject_terms(subjects)) if terms is None else terms
     obs = durable(extract.observations(parsed, terms, list(extra)))
@@ -61,5 +76,4 @@ def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: S
     if decisions is not None:
         keyed = matches.join(sources.select("source_id", "canonical_url"), "source_id")
         matches = resolve.apply_decisions(keyed, decisions, ["subject_id", "canonical_url"]).select(*matches.columns)
-    own = resolve.own_identifiers(obs, resolve.anchored(matches), terms)
-    return Scan(sources, obs, matches, durable(assess.findings_of(own, matches, sources)))
+    return Scan(sources, obs, matches, terms)

@@ -11,7 +11,7 @@ from pagetrail.functions.text import let, py_strip
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&middot;", "·"), ("&eacute;", "é"), ("&amp;", "&"))
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>"
-_ATTR = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_ATTR = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def decode_body(body: Column) -> Column:
@@ -20,15 +20,19 @@ def decode_body(body: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    def decoded(text: Column) -> Column:
+        out = text
+        for name, char in ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+    return let(text, decoded)
 
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value in a tag, unescaped; '' if it isn't there."""
-    pattern = rf"(?is)[\s\"']{name}{_ATTR}"
-    return unescape(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
+    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return unescape(let(F.regexp_extract(tag, rf"(?is)[\s\"']{name}{_ATTR}", 1), bare))
 
 
 def lines(text: Column) -> Column:
@@ -44,12 +48,12 @@ def visible_text(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.nullif(py_strip(unescape(F.regexp_extract(F.regexp_replace(html, r"(?is)<!--.*?-->|<svg\b.*?</svg\s*>", ""), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))), F.lit(""))
+    return let(py_strip(unescape(F.regexp_extract(F.regexp_replace(html, r"(?is)<!--.*?-->|<svg\b.*?</svg\s*>", ""), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))), lambda t: F.when(t != "", t))
 
 
 def meta(html: Column) -> Column:
     """Lower-cased property (or name) to content; of several the last."""
-    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "property"), F.lit("")), attribute(t, "name"))).alias("key"), attribute(t, "content").alias("value")))
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: F.struct(F.lower(let(attribute(t, "property"), lambda p: F.when(p != "", p).otherwise(attribute(t, "name")))).alias("key"), attribute(t, "content").alias("value")))
     last = lambda kept: F.filter(kept, lambda t, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda u: u["key"] == t["key"]))
     return F.map_from_entries(let(F.filter(tags, lambda t: (t["key"] != "") & (t["value"] != "")), last))
 

@@ -52,18 +52,19 @@ def _dots(n: Column) -> Column:
 
 def mask_email(value: Column) -> Column:
     """First letter and domain stay: j•••@example.com. Without "@" all dots; null stays null."""
-    v = py_strip(value)
-    at = F.instr(v, "@")
-    local, domain = F.substring(v, F.lit(1), at - 1), F.substring(v, at + 1, F.length(v))
-    some = F.concat(F.left(local, F.lit(1)), _dots(F.greatest(F.length(local) - 1, F.lit(3))), F.lit("@"), domain)
-    return F.when(at == 0, _dots(F.greatest(F.length(v), F.lit(3)))).when(at == 1, F.concat(F.lit(f"{DOT * 3}@"), domain)).otherwise(some)
+
+    def mask(v: Column, at: Column) -> Column:
+        local, domain = F.substring(v, F.lit(1), at - 1), F.substring(v, at + 1, F.length(v))
+        some = F.concat(F.left(local, F.lit(1)), _dots(F.greatest(F.length(local) - 1, F.lit(3))), F.lit("@"), domain)
+        return F.when(at == 0, _dots(F.greatest(F.length(v), F.lit(3)))).when(at == 1, F.concat(F.lit(f"{DOT * 3}@"), domain)).otherwise(some)
+
+    return let(py_strip(value), lambda v: mask(v, F.instr(v, "@")))
 
 
 def mask_phone(value: Column) -> Column:
     """The last two digits and a leading "+" stay; up to two digits: all dots."""
-    d = digits(value)
     plus = F.when(F.regexp_replace(value, r"(?U)^\s+", "").startswith("+"), "+").otherwise("")
-    return F.when(F.length(d) <= 2, _dots(F.greatest(F.length(value), F.lit(3)))).otherwise(F.concat(plus, _dots(F.length(d) - 2), F.right(d, F.lit(2))))
+    return let(digits(value), lambda d: F.when(F.length(d) <= 2, _dots(F.greatest(F.length(value), F.lit(3)))).otherwise(F.concat(plus, _dots(F.length(d) - 2), F.right(d, F.lit(2)))))
 
 
 def redact(value: Column) -> Column:
@@ -110,9 +111,8 @@ def phone_match(candidate: Column, phones: Column) -> Column:
 
 def phone_plausible(raw: Column) -> Column:
     """Seven to 15 digits, no date, no more separators than digits."""
-    n = F.length(digits(raw))
     separators = F.length(raw) - F.length(F.translate(raw, " .-()", ""))
-    return n.between(7, 15) & ~py_strip(raw).rlike(DATE_SHAPED) & (separators <= n)
+    return let(F.length(digits(raw)), lambda n: n.between(7, 15) & ~py_strip(raw).rlike(DATE_SHAPED) & (separators <= n))
 
 
 def page_topic_name(title: Column) -> Column:
@@ -144,8 +144,10 @@ def snippet(text: Column, needle: Column, width: int = 80) -> Column:
 def found(text: Column, pattern: str) -> Column:
     """All matches as array<struct<hit, start, before>>: start from 0, before the CONTEXT characters in front.
 
-    A match's start is the length of all gaps and matches before it, which one fold over both arrays sums up.
+    A match's start is the length of all gaps and matches before it, which one fold over both arrays sums up. A gap is
+    what stands between the end of one match and the next one, found by the pattern again (split would compile it for each row).
     """
+    gap = rf"(?s)\G(.*?)(?:{pattern})"
     kind = "array<struct<hit:string,start:int,before:string>>"
     init = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
@@ -156,8 +158,8 @@ def found(text: Column, pattern: str) -> Column:
         return F.struct((start + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
     def places(hits: Column) -> Column:
-        both = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-        return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(F.aggregate(F.filter(both, lambda x: x["h"].isNotNull()), init, step, lambda acc: acc["out"]))
+        both = F.zip_with(F.regexp_extract_all(text, F.lit(gap), F.lit(1)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+        return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(F.aggregate(both, init, step, lambda acc: acc["out"]))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 

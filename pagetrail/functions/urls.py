@@ -39,9 +39,7 @@ def authority(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-cased, without port and brackets; '' if there is none."""
-    a = authority(url)
-    plain = F.regexp_replace(a, r":[^:\]]*$", "")
-    return F.lower(F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(plain))
+    return F.lower(let(authority(url), lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(a, r":[^:\]]*$", ""))))
 
 
 def port(url: Column) -> Column:
@@ -147,13 +145,14 @@ _PLATFORM = r"(?:^|\.)(" + "|".join(d.replace(".", r"\.") for d, _ in PLATFORMS)
 
 def parse_social(url: Column) -> Column:
     """struct<platform, username> of a known platform's url, else null. The first path segment that doesn't route and has no dot is the handle."""
-    domain = F.regexp_extract(host(url), _PLATFORM, 1)
-    platform = F.try_element_at(literal_map(dict(PLATFORMS)), domain)
     routing = F.create_map(*[x for d, label in PLATFORMS for x in (F.lit(d), literals(ROUTING.get(label, GENERIC_ROUTING)))])
-    words = F.try_element_at(routing, domain)
-    segments = F.filter(F.split(_part(url, 3), "/"), lambda s: (s != "") & ~F.array_contains(words, F.lower(s)))
-    handles = F.filter(F.transform(segments, lambda s: F.regexp_replace(s, "^@", "")), lambda s: (s != "") & ~F.contains(s, F.lit(".")))
-    return F.when(domain != "", F.struct(platform.alias("platform"), F.get(handles, F.lit(0)).alias("username")))
+
+    def profile(domain: Column, words: Column) -> Column:
+        segments = F.filter(F.split(_part(url, 3), "/"), lambda s: (s != "") & ~F.array_contains(words, F.lower(s)))
+        handles = F.filter(F.transform(segments, lambda s: F.regexp_replace(s, "^@", "")), lambda s: (s != "") & ~F.contains(s, F.lit(".")))
+        return F.struct(F.try_element_at(literal_map(dict(PLATFORMS)), domain).alias("platform"), F.get(handles, F.lit(0)).alias("username"))
+
+    return let(F.regexp_extract(host(url), _PLATFORM, 1), lambda domain: F.when(domain != "", let(F.try_element_at(routing, domain), lambda words: profile(domain, words))))
 
 
 #: IPv4 ranges that must never be fetched (fixed values: special-purpose address registry).

@@ -123,7 +123,8 @@ def phone_hits(text: Column) -> Column:
 
 
 def birth_hits(text: Column) -> Column:
-    kept = F.filter(T.found(text, T.DATE), lambda x: x["before"].rlike(T.BIRTH_CUE))
+    dates = F.when(text.rlike(T.BIRTH_CUE), T.found(text, T.DATE))  # most texts announce no birth, and aren't searched for dates
+    kept = F.filter(F.coalesce(dates, F.array().cast("array<struct<hit:string,start:int,before:string>>")), lambda x: x["before"].rlike(T.BIRTH_CUE))
     return F.transform(kept, lambda x, i: _hit("DATE_OF_BIRTH", F.lower(x["hit"]), x["hit"], T.snippet(text, x["hit"]), "pii", (1, 2), i, True))
 
 
@@ -156,8 +157,19 @@ def link_hits(links: Column) -> Column:
     return F.flatten(F.transform(read, of))
 
 
-def page_observations(parsed: DataFrame) -> DataFrame:
-    """parsed pages to observation rows of page facts (subject_id null): source_id and the fields of HIT.
+def once_each(hits: Column) -> Column:
+    """A page's hits, of those of one type and value the first (see first_wins): sorted, so that a page of any number of hits takes no longer than its sort."""
+    order = ("type", "value", "extractor_rank", "kind_rank", "pos", "snippet", "display", "sensitive", "extractor")
+
+    def first(h: Column, i: Column, rows: Column) -> Column:
+        last = F.get(rows, i - 1)
+        return (i == 0) | ~(h["type"].eqNullSafe(last["type"]) & h["value"].eqNullSafe(last["value"]))
+
+    return T.let(F.array_sort(F.transform(hits, lambda h: F.struct(*(h[c].alias(c) for c in order)))), lambda rows: F.filter(rows, lambda h, i: first(h, i, rows)))
+
+
+def page_observations(parsed: DataFrame, once: bool = False) -> DataFrame:
+    """parsed pages to observation rows of page facts (subject_id null): source_id and the fields of HIT. once: each row's hits by once_each.
 
     All kinds in one pass over the page: an array of hits for each kind, then a single explode. The page is parsed once
     even where parsing is part of the same plan.
@@ -165,7 +177,8 @@ def page_observations(parsed: DataFrame) -> DataFrame:
 
     def hits(p: Column) -> Column:
         people = F.when(F.size(p["jsonld"]) > 0, jsonld_hits(p["jsonld"])).otherwise(F.array().cast(NO_HITS))
-        return F.concat(title_hits(p), people, email_hits(p["text"]), phone_hits(p["text"]), birth_hits(p["text"]), postal_hits(p["text"]), link_hits(p["links"]))
+        every = F.concat(title_hits(p), people, email_hits(p["text"]), phone_hits(p["text"]), birth_hits(p["text"]), postal_hits(p["text"]), link_hits(p["links"]))
+        return once_each(every) if once else every
 
     return parsed.select("source_id", F.inline(T.let(F.col("parsed"), hits))).withColumn("subject_id", F.lit(None).cast("string"))
 
@@ -289,26 +302,32 @@ def first_wins(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """All observations of parsed pages, de-duplicated, as observation rows with deterministic ids; seen_at orders those of a source as they were found.
+def observed(hits: DataFrame) -> DataFrame:
+    """Hits with FIELDS as observation rows."""
+    key = F.sha2(F.concat_ws("|", "source_id", F.coalesce("subject_id", F.lit("")), "type", "value"), 256)
+    return hits.select(key.alias("obs_id"), "source_id", "subject_id", "type", F.col("value").alias("value_normalized"), F.col("display").alias("display_value"), F.col("snippet").alias("evidence_snippet"), "extractor", F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.col("sensitive").alias("is_sensitive"), F.struct("extractor_rank", "kind_rank", "pos").alias("seen_at"))
+
+
+def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[Callable[[DataFrame], DataFrame]] = (), unique: bool = False) -> DataFrame:
+    """All observations of parsed pages, de-duplicated, as written observation rows with deterministic ids; seen_at orders those of a source as they were found.
 
     Page facts have no subject and are found once per page; subject rows come from terms. extra: functions from the
     parsed pages to further hits with FIELDS, checked against them. A subject's row, or that of a place or
-    employer in the text, gives way to an equal page fact.
+    employer in the text, gives way to an equal page fact. unique: no two rows of parsed have one source_id; then page
+    facts are de-duplicated where the page is read, and shuffled only where there are extra ones to compare them with.
     """
-    hits = page_observations(parsed).select(*FIELDS)
+    hits = page_observations(parsed, once=True).select(*FIELDS)
     for more in extra:
         found = more(parsed)
         if missing := set(FIELDS) - set(found.columns):
             raise ValueError(f"an extractor lacks the columns {sorted(missing)}")
         hits = hits.unionByName(found.select(*FIELDS))
-    hits = durable(first_wins(hits))
-    if terms is not None:
-        own = subject_observations(parsed, terms).select(*FIELDS)
-        own = own.join(hits.select("source_id", "type", "value"), ["source_id", "type", "value"], "left_anti").select(*FIELDS)
-        hits = hits.unionByName(own)
-    key = F.sha2(F.concat_ws("|", "source_id", F.coalesce("subject_id", F.lit("")), "type", "value"), 256)
-    return hits.select(key.alias("obs_id"), "source_id", "subject_id", "type", F.col("value").alias("value_normalized"), F.col("display").alias("display_value"), F.col("snippet").alias("evidence_snippet"), "extractor", F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.col("sensitive").alias("is_sensitive"), F.struct("extractor_rank", "kind_rank", "pos").alias("seen_at"))
+    facts = durable(observed(hits if unique and not extra else first_wins(hits)))
+    if terms is None:
+        return facts
+    equal = facts.where(F.col("type").isin(*{observed for observed, _ in TOKEN_KINDS.values()})).select("source_id", "type", F.col("value_normalized").alias("value"))
+    own = subject_observations(parsed, terms).select(*FIELDS).join(equal, ["source_id", "type", "value"], "left_anti").select(*FIELDS)
+    return facts.unionByName(durable(observed(own)))
 
 
 def script_shells(pages: DataFrame, obs: DataFrame, least: int = 400) -> DataFrame:

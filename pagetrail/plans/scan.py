@@ -69,7 +69,7 @@ def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: S
     kept = parsed_sources(pages, suffix_rules)
     parsed = kept.where("parsed IS NOT NULL").select("source_id", "content_type", "parsed")
     terms = durable(extract.subject_terms(subjects)) if terms is None else terms
-    obs = durable(extract.observations(parsed, terms, list(extra)))
+    obs = extract.observations(parsed, terms, list(extra), unique=True)
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("title"))
     sources = durable(kept.drop("parsed").join(titles, "source_id", "left"))
     matches = durable(resolve.resolve(sources, obs, terms))

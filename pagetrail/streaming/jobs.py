@@ -47,31 +47,39 @@ def followed(spark: SparkSession, path: str) -> tuple[Stored, Stored]:
     return Stored(spark, f"{path}/pages", ["source_id"], kind(FOLLOWED)), Stored(spark, f"{path}/findings", ["source_id"], kind(FOUND))
 
 
-def follow_pages(stream: DataFrame, subjects: DataFrame, path: str, checkpoint: str, extra: Sequence = ()) -> StreamingQuery:
+def follow_pages(stream: DataFrame, subjects: DataFrame | None, path: str, checkpoint: str, extra: Sequence = (), terms: DataFrame | None = None) -> StreamingQuery:
     """Keeps the findings of a stream of pages (url, html, content_type, from_search, at timestamp) up to date in stored tables (see followed).
 
     Each page, known by its canonical url, has one state: the hash and time of its newest content. Of a micro-batch only
     pages whose content is new go on to be parsed and matched; their findings take the place of the page's older ones,
     and where nothing is found any more the older ones go. A page that couldn't be read, or a copy older than the one
     known, changes nothing. Only buckets of the stored tables that hold such pages are rewritten. Both tables take a
-    batch under its number, so one that runs again, whole or in part, counts once. Terms are prepared once a stream. extra: as in scan().
+    batch under its number, so one that runs again, whole or in part, counts once. A batch without new content is not
+    scanned, one of which all is known writes nothing. Terms are prepared once a stream, if they aren't at hand. extra, terms: as in scan().
     """
     spark = stream.sparkSession
     pages, findings = followed(spark, path)
-    terms = durable(subject_terms(subjects))
+    terms = durable(subject_terms(subjects)) if terms is None else terms
 
     def run(batch: DataFrame, number: int) -> None:
         rows = sources_of(batch.withColumn("scan_id", F.lit(""))).where("status = 'RETRIEVED'")
+        rows = durable(rows.select("source_id", "canonical_url", "content_hash", "at", "scan_id", "url", "html", "content_type", "from_search"))
         seen = rows.select("source_id", "canonical_url", "content_hash", "at")
-        last = durable(seen.groupBy("source_id").agg(F.max_by(F.struct("canonical_url", "content_hash", "at"), F.struct("at", "content_hash")).alias("x")).select("source_id", "x.*"))
+        last = seen.groupBy("source_id").agg(F.max_by(F.struct("canonical_url", "content_hash", "at"), F.struct("at", "content_hash")).alias("x")).select("source_id", "x.*")
         known = pages.read().select("source_id", F.col("content_hash").alias("_hash"), F.col("at").alias("_at"))
         newer = durable(last.join(known, "source_id", "left").where("_at IS NULL OR at > _at").withColumn("changed", F.coalesce(F.col("content_hash") != F.col("_hash"), F.lit(True))).drop("_hash", "_at"))
+        if newer.isEmpty():
+            return
         fresh = newer.where("changed")
+        if not fresh.isEmpty():
+            follow(rows, fresh, number)
+        pages.upsert(newer, "at", change=f"batch {number}")
+
+    def follow(rows: DataFrame, fresh: DataFrame, number: int) -> None:
         changed = rows.join(fresh.select("source_id", "content_hash", "at"), ["source_id", "content_hash", "at"], "left_semi").select("scan_id", "url", "html", "content_type", "from_search")
         found = scan(changed, None, extra, terms=terms).findings
         out = found.join(fresh.select("source_id", "canonical_url", "at"), "source_id").select(*(f.split()[0] for f in FOUND.split(", ")))
         findings.replace(fresh.select("source_id"), out, change=f"batch {number}")
-        pages.upsert(newer, "at", change=f"batch {number}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -205,6 +205,11 @@ SHARED_KINDS = ("CITY", "COUNTRY", "EMPLOYER")
 TOKENS = "subject_tokens"
 
 
+def lone_name() -> Column:
+    """Whether a term is a name of fewer than two tokens. Texts may hold it anywhere ("ent " stands in half of all pages), yet it points to nobody (see name_matches) and gives no finding."""
+    return (F.col("kind") == "NAME") & F.col("first_token").isNull()
+
+
 def _needles(terms: DataFrame) -> DataFrame:
     return terms.where(F.length("value") >= 3).withColumn("needle", F.lower("value"))
 
@@ -323,11 +328,14 @@ def observations(parsed: DataFrame, terms: DataFrame | None = None, extra: list[
             raise ValueError(f"an extractor lacks the columns {sorted(missing)}")
         hits = hits.unionByName(found.select(*FIELDS))
     facts = durable(observed(hits if unique and not extra else first_wins(hits)))
-    if terms is None:
-        return facts
+    return facts if terms is None else facts.unionByName(term_observations(parsed, terms, facts))
+
+
+def term_observations(parsed: DataFrame, terms: DataFrame, facts: DataFrame) -> DataFrame:
+    """The written observation rows of subject_observations(parsed, terms) that equal no row of facts."""
     equal = facts.where(F.col("type").isin(*{observed for observed, _ in TOKEN_KINDS.values()})).select("source_id", "type", F.col("value_normalized").alias("value"))
     own = subject_observations(parsed, terms).select(*FIELDS).join(equal, ["source_id", "type", "value"], "left_anti").select(*FIELDS)
-    return facts.unionByName(durable(observed(own)))
+    return durable(observed(own))
 
 
 def script_shells(pages: DataFrame, obs: DataFrame, least: int = 400) -> DataFrame:

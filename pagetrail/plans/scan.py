@@ -19,14 +19,20 @@ from pagetrail.sources import tables
 @dataclass
 class Scan:
     sources: DataFrame
-    observations: DataFrame
+    parsed: DataFrame
+    telling: DataFrame
     matches: DataFrame
     terms: DataFrame
 
+    @cached_property
+    def observations(self) -> DataFrame:
+        """telling, and where pages hold a subject's name of one token. No match or finding needs those, of which there are as many as pages times names that they hold: sought and written when first asked for."""
+        return self.telling.unionByName(extract.term_observations(self.parsed, self.terms.where(extract.lone_name()), self.telling))
+
     @cached_property
     def findings(self) -> DataFrame:
         """Worked out and written when first asked for: who only reads matches doesn't wait for them."""
-        own = resolve.own_identifiers(self.observations, resolve.anchored(self.matches), self.terms)
+        own = resolve.own_identifiers(self.telling, resolve.anchored(self.matches), self.terms)
         return durable(assess.findings_of(own, self.matches, self.sources))
 
 
@@ -69,11 +75,11 @@ def scan(pages: DataFrame, subjects: DataFrame | None, extra=(), suffix_rules: S
     kept = parsed_sources(pages, suffix_rules)
     parsed = kept.where("parsed IS NOT NULL").select("source_id", "content_type", "parsed")
     terms = durable(extract.subject_terms(subjects)) if terms is None else terms
-    obs = extract.observations(parsed, terms, list(extra), unique=True)
+    obs = extract.observations(parsed, terms.where(~extract.lone_name()), list(extra), unique=True)
     titles = obs.where("type = 'PAGE_TITLE'").groupBy("source_id").agg(F.min_by("display_value", "obs_id").alias("title"))
     sources = durable(kept.drop("parsed").join(titles, "source_id", "left"))
     matches = durable(resolve.resolve(sources, obs, terms))
     if decisions is not None:
         keyed = matches.join(sources.select("source_id", "canonical_url"), "source_id")
         matches = resolve.apply_decisions(keyed, decisions, ["subject_id", "canonical_url"]).select(*matches.columns)
-    return Scan(sources, obs, matches, terms)
+    return Scan(sources, parsed, obs, matches, terms)

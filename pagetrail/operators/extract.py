@@ -206,7 +206,7 @@ TOKENS = "subject_tokens"
 
 
 def lone_name() -> Column:
-    """Whether a term is a name of fewer than two tokens. Texts may hold it anywhere ("ent " stands in half of all pages), yet it points to nobody (see name_matches) and gives no finding."""
+    """Whether a term is a name of fewer than two tokens. Texts may hold it anywhere ("ent " stands in nearly half of all pages), yet it points to nobody (see name_matches) and gives no finding."""
     return (F.col("kind") == "NAME") & F.col("first_token").isNull()
 
 
